@@ -1,3 +1,4 @@
 """Import every query module so each registers its queries."""
 
 from unveil.plans import cleaner_queries  # noqa: F401
+from unveil.plans import pipeline_queries  # noqa: F401

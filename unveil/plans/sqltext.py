@@ -133,3 +133,150 @@ def conclusive_list(items: str) -> str:
 def advisory_list(items: str) -> str:
     cats = ", ".join(q(c) for c in fixed.ADVISORY_CATEGORIES)
     return f"list_filter({items}, lambda x: split_part(x, ':', 1) IN ({cats}))"
+
+
+# --------------------------------------------------------------------------
+# canary / judge / pipeline
+# --------------------------------------------------------------------------
+
+def synonym_map() -> str:
+    pairs = ", ".join(f"{q(k)}: {q(v)}" for k, v in fixed.CATEGORY_SYNONYMS.items())
+    return f"(MAP {{{pairs}}})"
+
+
+def label_key_sql(raw: str) -> str:
+    return f"regexp_replace(lower({raw}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def mapped_sql(raw: str) -> str:
+    """Synonym of J1(raw), or NULL."""
+    key = label_key_sql("coalesce(" + raw + ", 'None')")
+    return f"{synonym_map()}[{key}]"
+
+
+def normalize_sql(raw: str, det: str) -> str:
+    """J2; evaluates the lookup once via a lambda over a one-element list."""
+    return (
+        f"(CASE WHEN NOT ({det}) THEN 'none' ELSE "
+        f"list_transform([{mapped_sql(raw)}], lambda m: CASE WHEN coalesce(m, 'none') = 'none' "
+        f"THEN 'unspecified' ELSE m END)[1] END)"
+    )
+
+
+def wellformed_sql(cat: str, det: str) -> str:
+    ok = ", ".join(q(c) for c in (*fixed.MODEL_ATTACK_CATEGORIES, fixed.CATEGORY_UNSPECIFIED, fixed.CATEGORY_MALFORMED_RESPONSE))
+    return f"coalesce(CASE WHEN {det} THEN {cat} IN ({ok}) ELSE {cat} = 'none' END, FALSE)"
+
+
+def _tpl(template: str, *fields: str) -> list[str]:
+    return [q(p) for p in fixed.template_parts(template, *fields)]
+
+
+def prepare_ctes(src: str = "cleaned") -> str:
+    """CTEs prep1..prep3 (seed, word, prompts) over ``cleaned``."""
+    nul = "'\\x00'::BLOB"
+    alpha = q(fixed.CANARY_ALPHABET)
+    n = len(fixed.CANARY_ALPHABET)
+    d0, d1, d2 = _tpl(fixed.DETECTION_TEMPLATE, "evidence", "removal_context")
+    r0, r1 = _tpl(fixed.REMOVAL_CONTEXT_TEMPLATE, "items")
+    k0, k1 = _tpl(fixed.CANARY_TEMPLATE, "document")
+    w0, w1 = _tpl(fixed.TRAP_SENTENCE, "word")
+    return f"""
+prep1 AS (SELECT *, len({conclusive_list('removed_items')}) > 0 AS conclusive,
+                 {advisory_list('removed_items')} AS advisory_items,
+                 sha256(encode(sender) || {nul} || encode(scope) || {nul} || encode(CAST(chain_id AS VARCHAR))
+                        || {nul} || encode(cleaned_text)) AS seed,
+                 '0x' || sha256(cleaned_text) AS evidence_hash
+          FROM {src}),
+prep2 AS (SELECT *, {q(fixed.CANARY_PREFIX)} || array_to_string(list_transform(range({fixed.CANARY_LENGTH}),
+                 lambda i: substr({alpha}, CAST(('0x' || substr(seed, 2 * i + 1, 2)) AS INTEGER) % {n} + 1, 1)), '')
+                 AS canary_word FROM prep1),
+prep AS (SELECT *,
+                CASE WHEN len(advisory_items) > 0
+                     THEN {r0} || array_to_string(list_transform(advisory_items, lambda x: '- ' || x), chr(10)) || {r1}
+                     ELSE '' END AS removal_context,
+                {w0} || canary_word || {w1} AS trap
+         FROM prep2),
+prepared AS (SELECT *, {d0} || cleaned_text || {d1} || removal_context || {d2} AS detection_prompt,
+                    {k0} || cleaned_text || chr(10) || chr(10) || trap || {k1} AS canary_prompt
+             FROM prep)"""
+
+
+def json_truthy(doc: str, path: str) -> str:
+    v = f"json_extract({doc}, {q(path)})"
+    return f"""(CASE json_type({doc}, {q(path)})
+      WHEN 'BOOLEAN' THEN CAST({v} AS BOOLEAN)
+      WHEN 'NULL' THEN FALSE
+      WHEN 'VARCHAR' THEN length(json_extract_string({doc}, {q(path)})) > 0
+      WHEN 'BIGINT' THEN CAST({v} AS BIGINT) <> 0
+      WHEN 'UBIGINT' THEN TRUE
+      WHEN 'DOUBLE' THEN CAST({v} AS DOUBLE) <> 0
+      WHEN 'ARRAY' THEN json_array_length({doc}, {q(path)}) > 0
+      WHEN 'OBJECT' THEN len(json_keys({doc}, {q(path)})) > 0 END)"""
+
+
+def json_pystr(doc: str, path: str) -> str:
+    """Python str() of a JSON value (scalars and arrays of strings)."""
+    v = f"json_extract({doc}, {q(path)})"
+    return f"""(CASE WHEN NOT json_exists({doc}, {q(path)}) THEN ''
+      ELSE CASE json_type({doc}, {q(path)})
+        WHEN 'VARCHAR' THEN json_extract_string({doc}, {q(path)})
+        WHEN 'NULL' THEN 'None'
+        WHEN 'BOOLEAN' THEN CASE WHEN CAST({v} AS BOOLEAN) THEN 'True' ELSE 'False' END
+        WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract_string({doc}, {q(path + '[*]')}),
+                                lambda s: '''' || s || ''''), ', ') || ']'
+        ELSE CAST({v} AS VARCHAR) END END)"""
+
+
+def parse_ctes(src: str, col: str) -> str:
+    """CTEs pr0..parsed: J7 over reply column ``col`` -> well_formed, det, det_category, category_text."""
+    ws = WS_SET
+    return f"""
+pr0 AS (SELECT *, trim(coalesce({col}, ''), {ws}) AS _r0 FROM {src}),
+pr1 AS (SELECT *, starts_with(_r0, '```') AS _fenced,
+               CASE WHEN starts_with(_r0, '```') THEN trim(_r0, '`') ELSE _r0 END AS _r1 FROM pr0),
+pr2 AS (SELECT *, trim(CASE WHEN _fenced AND starts_with(lower(_r1), 'json') THEN substr(_r1, 5) ELSE _r1 END, {ws}) AS _rj
+        FROM pr1),
+pr3 AS (SELECT *, CASE WHEN _rj <> '' AND json_valid(_rj) THEN
+                    json_type(_rj) = 'OBJECT' AND json_exists(_rj, '$.injection_detected') ELSE FALSE END AS well_formed
+        FROM pr2),
+pr4 AS (SELECT *, CASE WHEN well_formed THEN {json_truthy('_rj', '$.injection_detected')} END AS _truthy,
+               CASE WHEN well_formed THEN {json_pystr('_rj', '$.category')} END AS category_text
+        FROM pr3),
+parsed AS (SELECT * EXCLUDE (_r0, _r1, _rj, _fenced, _truthy),
+                  CASE WHEN well_formed THEN _truthy ELSE TRUE END AS det,
+                  CASE WHEN well_formed THEN {normalize_sql('category_text', '_truthy')}
+                       ELSE {q(fixed.CATEGORY_MALFORMED_RESPONSE)} END AS det_category
+           FROM pr4)"""
+
+
+def pipeline_with(extra: str = "") -> str:
+    """WITH planted -> cleaned -> prepared -> prompts -> responses -> replies -> parsed -> verdict."""
+    from unveil.operators.responses import stub_responses_sql
+
+    ctes = (
+        f"planted AS ({planted_sql()}),"
+        + clean_ctes("planted")
+        + ","
+        + prepare_ctes()
+        + f""",
+prompts AS (SELECT evidence_id, doc_id, 'detection' AS kind, detection_prompt AS prompt FROM prepared
+            UNION ALL SELECT evidence_id, doc_id, 'canary' AS kind, canary_prompt AS prompt FROM prepared),
+responses AS ({stub_responses_sql('prompts')}),
+replies AS (SELECT evidence_id, max(CASE WHEN kind = 'detection' THEN response END) AS detection_response,
+                   max(CASE WHEN kind = 'canary' THEN response END) AS canary_response
+            FROM responses GROUP BY evidence_id),
+joined AS (SELECT p.*, r.detection_response, r.canary_response FROM prepared p LEFT JOIN replies r USING (evidence_id)),"""
+        + parse_ctes("joined", "detection_response")
+        + f""",
+leak AS (SELECT *, coalesce(contains(canary_response, canary_word) AND length(canary_response) > 0, FALSE) AS leaked
+         FROM parsed),
+verdict AS (SELECT *, conclusive OR det AS injection_detected,
+                   CASE WHEN conclusive THEN {q(fixed.CATEGORY_HIDDEN_CONTENT_REMOVED)}
+                        WHEN NOT det AND leaked THEN {q(fixed.CATEGORY_JUDGE_UNRELIABLE)}
+                        ELSE {normalize_sql('det_category', 'det')} END AS category,
+                   NOT leaked AS judge_reliable, leaked AS canary_tripped, conclusive AS conclusive_tampering
+            FROM leak)"""
+    )
+    tail = ("," + extra) if extra else ""
+    return f"WITH {ctes}{tail}\n"

@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
