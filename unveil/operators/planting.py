@@ -124,11 +124,13 @@ def plant(docs: DataFrame) -> DataFrame:
         sender_of(d).alias("sender"),
         F.lit(SCOPE).alias("scope"),
         F.lit(CHAIN_ID).alias("chain_id"),
+        "lang",
+        "source",
     )
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plant(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return plant(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 # --------------------------------------------------------------------------
@@ -163,5 +165,7 @@ SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS evidence_id,
             ELSE CASE doc_id % {n} {' '.join(text_cases)} ELSE text END END AS text,
        '0x' || substr(sha256(CAST(doc_id % 50 AS VARCHAR)), 1, 40) AS sender,
        {sql_str(SCOPE)} AS scope,
-       {sql_str(CHAIN_ID)} AS chain_id
+       {sql_str(CHAIN_ID)} AS chain_id,
+       lang,
+       source
 FROM documents"""

@@ -3,3 +3,4 @@
 from unveil.plans import cleaner_queries  # noqa: F401
 from unveil.plans import pipeline_queries  # noqa: F401
 from unveil.plans import ledger_queries  # noqa: F401
+from unveil.plans import evaluation_queries  # noqa: F401
