@@ -261,3 +261,49 @@ def template_parts(template: str, *fields: str) -> list[str]:
         head, tail = pieces[-1].split("{" + name + "}")
         pieces[-1:] = [head, tail]
     return [p.replace("{{", "{").replace("}}", "}") for p in pieces]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: receipt structure template (key -> nested template or leaf
+# type; leaf types: bool, str, int, dict, list, "str|None"). Keys required,
+# extra keys allowed; an int leaf also accepts a boolean.
+# ---------------------------------------------------------------------------
+
+RECEIPT_TEMPLATE = {
+    "consensus_data": {
+        "final": "bool",
+        "leader_receipt": {
+            "args": "list",
+            "class_name": "str",
+            "contract_state": "str",
+            "eq_outputs": {"leader": "dict"},
+            "error": "str|None",
+            "execution_result": "str",
+            "gas_used": "int",
+            "method": "str",
+            "mode": "str",
+            "node_config": {
+                "address": "str",
+                "config": "dict",
+                "model": "str",
+                "provider": "str",
+                "stake": "int",
+                "plugin": "str",
+                "plugin_config": "dict",
+            },
+            "vote": "str",
+        },
+        "validators": "list",
+        "votes": "dict",
+    },
+    "created_at": "str",
+    "data": {
+        "function_args": "str",
+        "function_name": "str",
+    },
+    "from_address": "str",
+    "hash": "str",
+    "status": "str",
+    "to_address": "str",
+    "type": "int",
+    "value": "int",
+}
