@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from unveil.functions import fixed
 from unveil.functions.udfs import nfkc_if_changed, python_repr_all
+from unveil.session import ship_package
 
 ENTRY_TYPE = "struct<category:string,n:bigint,payload:string>"
 LOG_TYPE = f"array<{ENTRY_TYPE}>"
@@ -164,6 +165,7 @@ def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False) -> D
     With ``keep_stages`` the per-stage text columns ``_t0``..``_t8`` stay in
     the output (used by the per-operator queries).
     """
+    ship_package(df.sparkSession)
     src = F.col(text_col)
     base = df.columns
     d = df.select(

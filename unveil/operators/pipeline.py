@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from unveil.functions import canary as T
 from unveil.functions import judge as J
 from unveil.functions.cleaner import advisory_items, clean, is_conclusive, result_barrier
+from unveil.session import ship_package
 
 VERDICT_COLUMNS = (
     "injection_detected",
@@ -87,6 +88,7 @@ def attach_replies(prepared: DataFrame, responses: DataFrame) -> DataFrame:
 
 def verdicts(scored: DataFrame, skip_model_when_conclusive: bool = False) -> DataFrame:
     """J7, T5, J8 over prepared rows that carry detection_response/canary_response."""
+    ship_package(scored.sparkSession)
     parsed = J.parse_response(F.col("detection_response"))
     leaked = T.canary_tripped(F.col("canary_response"), F.col("canary_word"))
     j = scored.select("*", parsed.alias("_det"), leaked.alias("_leaked"))

@@ -96,6 +96,10 @@ def score_with(prompts: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series])
     batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` prompts.
     """
 
+    from unveil.session import ship_package
+
+    ship_package(prompts.sparkSession)
+
     def run(batches):
         for pdf in batches:
             out = pdf[["evidence_id", "kind"]].copy()

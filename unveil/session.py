@@ -51,3 +51,28 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared work folder for one job's tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``unveil`` importable in executors' Python workers (once per app).
+
+    The Arrow UDFs and ``mapInPandas`` functions live in this package; the
+    package is zipped on the driver and handed to ``addPyFile``, which
+    distributes it like ``--py-files``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="unveil-pyfiles-")
+    archive = shutil.make_archive(
+        os.path.join(out, "unveil"), "zip", root_dir=pkg_root, base_dir="unveil"
+    )
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
