@@ -150,3 +150,39 @@ def top_categories(cleaned: DataFrame, k: int = 3) -> DataFrame:
     return e.groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("entries")).orderBy(
         F.desc("entries"), "category"
     ).limit(k)
+
+
+def python_clean(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The row-wise Python cleaner over Arrow batches (parity path, slow)."""
+    from unveil.session import ship_package
+
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        from unveil.functions.rowwise import clean_row
+
+        for pdf in batches:
+            res = [clean_row(None if t is None else str(t)) for t in pdf[text_col]]
+            yield pdf[["evidence_id"]].assign(
+                cleaned_text=[r[0] for r in res], removed_items=[r[1] for r in res]
+            )
+
+    return df.select("evidence_id", text_col).mapInPandas(
+        run, "evidence_id string, cleaned_text string, removed_items array<string>"
+    )
+
+
+def parity_diff(native: DataFrame, python: DataFrame) -> DataFrame:
+    """Rows present in one cleaner output and not the other, both ways."""
+    cols = ["evidence_id", "cleaned_text", "removed_items"]
+    a, b = native.select(*cols), python.select(*cols)
+    tagged = (
+        a.exceptAll(b).select(F.lit("native").alias("side"))
+        .unionByName(b.exceptAll(a).select(F.lit("python").alias("side")))
+        .unionByName(a.select(F.lit("row").alias("side")))
+    )
+    return tagged.agg(
+        _n(F.col("side") == "native").alias("native_only"),
+        _n(F.col("side") == "python").alias("python_only"),
+        _n(F.col("side") == "row").alias("rows"),
+    )

@@ -116,3 +116,13 @@ UNION ALL SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARC
 def s1_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = evidence_union(spark, sf_dir)
     return ev.select("evidence_id", "origin", blen(F.col("text")).alias("text_len"), sha(F.col("text")).alias("text_hash"))
+
+
+@register("e6_parity_diff")
+def e6_parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native chain vs row-wise Python cleaner over the planted table (rows-only)."""
+    from unveil.plans.common import spread
+
+    src = spread(planted(spark, sf_dir), "evidence_id")
+    native = planted_cleaned(spark, sf_dir)
+    return E.parity_diff(native, E.python_clean(src))
