@@ -57,17 +57,49 @@ def already_screened_message(evidence_id) -> F.Column:
 
 
 def first_submissions(subs: DataFrame) -> DataFrame:
-    """Mark the first submission per evidence_id (by arrival, then sub_id).
+    """(evidence_id, sub_id) of the first submission per id (by arrival, then sub_id).
 
-    The winner is found with a partial aggregate (min of a struct), so a
-    hot id is reduced map-side; the marker join is on (evidence_id, sub_id),
-    which spreads the hot id's rows over partitions by sub_id.
+    Runs on the three key columns only. The winner comes from a partial
+    aggregate (min of a struct), so a hot id is reduced map-side before the
+    shuffle and never gathered into one task.
     """
-    w = subs.groupBy("evidence_id").agg(F.min(F.struct("arrival", "sub_id")).alias("_w"))
-    w = w.select("evidence_id", F.col("_w.sub_id").alias("sub_id"), F.lit(True).alias("is_first"))
-    return subs.join(w, ["evidence_id", "sub_id"], "left").select(
-        "*", F.coalesce(F.col("is_first"), F.lit(False)).alias("_first")
-    ).drop("is_first").withColumnRenamed("_first", "is_first")
+    w = subs.select("evidence_id", "sub_id", "arrival").groupBy("evidence_id").agg(
+        F.min(F.struct("arrival", "sub_id")).alias("_w")
+    )
+    return w.select("evidence_id", F.col("_w.sub_id").alias("sub_id"))
+
+
+def ids_in_ledger(spark: SparkSession, ledger_path: str, ids: DataFrame, exclude_batch: int | None = None) -> DataFrame:
+    """The subset of ``ids`` (evidence_id) already stored.
+
+    A left-semi join whose build side is the (usually small) id list: AQE can
+    broadcast it from runtime statistics and stream the ledger's evidence_id
+    column without shuffling it; past the threshold it falls back to a
+    shuffle join. Partition pruning drops the excluded batch.
+    """
+    led = read_ledger(spark, ledger_path)
+    if exclude_batch is not None:
+        led = led.where(F.col("batch_id") != exclude_batch)
+    return led.select("evidence_id").join(ids.select("evidence_id"), "evidence_id", "left_semi").distinct()
+
+
+def classify_submissions(spark: SparkSession, subs: DataFrame, ledger_path: str, batch_id: int) -> DataFrame:
+    """subs + ``state``: fresh (first and unseen), stale (first, already stored), duplicate.
+
+    Winners and membership are decided on key columns; the text side is
+    shuffled once, by (evidence_id, sub_id), which also spreads a hot id.
+    """
+    firsts = first_submissions(subs)
+    known = ids_in_ledger(spark, ledger_path, firsts, exclude_batch=batch_id).select(
+        "evidence_id", F.lit(True).alias("_known")
+    )
+    tagged = firsts.join(known, "evidence_id", "left").select(
+        "evidence_id", "sub_id",
+        F.when(F.col("_known"), F.lit("stale")).otherwise(F.lit("fresh")).alias("_state"),
+    )
+    return subs.join(tagged, ["evidence_id", "sub_id"], "left").select(
+        "*", F.coalesce(F.col("_state"), F.lit("duplicate")).alias("state")
+    ).drop("_state")
 
 
 def screen_and_record(
@@ -84,12 +116,9 @@ def screen_and_record(
     already in the ledger are rejected *before* scoring.
     """
     spark = subs.sparkSession
-    marked = first_submissions(subs)
-    known = read_ledger(spark, ledger_path).where(F.col("batch_id") != batch_id).select("evidence_id")
-    firsts = marked.where("is_first")
-    fresh = firsts.join(known, "evidence_id", "left_anti")
-    stale = firsts.join(known, "evidence_id", "left_semi")
-    losers = marked.where(~F.col("is_first"))
+    marked = classify_submissions(spark, subs, ledger_path, batch_id)
+    fresh = marked.where(F.col("state") == "fresh").drop("state")
+    rejects = marked.where(F.col("state") != "fresh")
 
     v = verdicts(scorer(prepare(fresh))).withColumn("submitted_by", F.col("sender"))
     outcome_cols = ["batch_id", "evidence_id", "sub_id", "status", "message"]
@@ -98,7 +127,7 @@ def screen_and_record(
         F.lit("recorded").alias("status"), F.lit(None).cast("string").alias("message"),
         *[F.col(c).cast(LEDGER_SCHEMA[c].dataType).alias(c) for c in RECORD_FIELDS if c != "evidence_id"],
     )
-    rejected = stale.unionByName(losers).select(
+    rejected = rejects.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"), "evidence_id", "sub_id",
         F.lit("rejected").alias("status"), already_screened_message(F.col("evidence_id")).alias("message"),
         *[F.lit(None).cast(LEDGER_SCHEMA[c].dataType).alias(c) for c in RECORD_FIELDS if c != "evidence_id"],
@@ -127,10 +156,12 @@ def screen_and_record(
 def get_records(spark: SparkSession, ledger_path: str, requests: DataFrame) -> DataFrame:
     """L3/S3: bulk keyed lookup; every request comes back with ``found``.
 
-    requests(evidence_id). Left join on evidence_id: AQE broadcasts the
-    request side when its runtime size allows, else shuffles both; the
-    ledger scan reads only the record columns.
+    The ledger is first semi-joined with the request ids (broadcastable build
+    side, ledger streamed), so only matching records take part in the final
+    left join with the requests.
     """
+    ids = requests.select("evidence_id")
     led = read_ledger(spark, ledger_path).select(*RECORD_FIELDS)
-    j = requests.join(led, "evidence_id", "left")
+    hits = led.join(ids.distinct(), "evidence_id", "left_semi")
+    j = requests.join(hits, "evidence_id", "left")
     return j.select("*", F.col("evidence_hash").isNotNull().alias("found"))

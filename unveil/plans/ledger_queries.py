@@ -105,7 +105,7 @@ def run_scenario(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     ledger_path, outcome_path = os.path.join(root, "ledger"), os.path.join(root, "outcome")
     subs = scenario_submissions(spark, sf_dir)
     for b in range(N_BATCHES):
-        batch = spread(subs.where(F.col("batch_id") == b), "evidence_id")
+        batch = subs.where(F.col("batch_id") == b)
         L.screen_and_record(batch, ledger_path, outcome_path, b, stub_scorer())
     return ledger_path, spark.read.parquet(outcome_path)
 
