@@ -106,3 +106,14 @@ def test_flagship_entry(spark):
 
     rows = entry.entry(spark).collect()
     assert sum(r.docs for r in rows) == 200
+
+
+def test_hot_id_first_wins(spark, tmp_path):
+    """One id holding a third of the batch: exactly its earliest arrival is recorded."""
+    rows = [(f"id-{i}", f"text {i}") for i in range(40)] + [("hot", f"hot text {i}") for i in range(20)]
+    subs = _evidence(spark, rows).withColumn("arrival", 1000 - F.col("sub_id"))  # later rows arrive first
+    out = L.screen_and_record(subs, str(tmp_path / "l"), str(tmp_path / "o"), 0, _scorer(False, False)).collect()
+    hot = [r for r in out if r.evidence_id == "hot"]
+    assert len(hot) == 20
+    assert [r.sub_id for r in hot if r.status == "recorded"] == [59]
+    assert sum(r.status == "recorded" for r in out) == 41
