@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from unveil.functions import fixed
+from unveil.operators.layout import spread
 from unveil.operators.pipeline import prepare, verdicts
 
 LEDGER_SCHEMA = T.StructType(
@@ -116,6 +117,7 @@ def screen_and_record(
     already in the ledger are rejected *before* scoring.
     """
     spark = subs.sparkSession
+    subs = spread(subs, "evidence_id", "sub_id")
     marked = classify_submissions(spark, subs, ledger_path, batch_id)
     fresh = marked.where(F.col("state") == "fresh").drop("state")
     rejects = marked.where(F.col("state") != "fresh")

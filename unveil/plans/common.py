@@ -6,26 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unveil.functions.cleaner import clean
+from unveil.operators.layout import spread  # noqa: F401  (re-exported)
 from unveil.operators.planting import planted
 
 SEP = chr(1)  # joins payload lists before hashing; never occurs in the data
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy text work enough tasks.
-
-    Large inputs already arrive in many file splits and are left alone (no
-    shuffle). A small input read as a handful of splits is hash-partitioned
-    (on ``key`` when given, so a later join on it can reuse the layout).
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    n = max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key) if key else df.repartition(n)
-
-
 def planted_cleaned(spark: SparkSession, sf_dir: str, keep_stages: bool = False) -> DataFrame:
     return clean(spread(planted(spark, sf_dir), "evidence_id"), "text", keep_stages=keep_stages)
 

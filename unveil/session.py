@@ -57,16 +57,21 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``unveil`` importable in executors' Python workers (once per app).
+    """Make ``unveil`` importable in local-mode Python workers (once per app).
 
-    The Arrow UDFs and ``mapInPandas`` functions live in this package; the
-    package is zipped on the driver and handed to ``addPyFile``, which
-    distributes it like ``--py-files``.
+    The Arrow UDFs and ``mapInPandas`` functions live in this package. In
+    local mode (tests, bench, driver checks) the package is zipped and handed
+    to ``addPyFile``; cluster deployments pass it with ``--py-files``.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    if not sc.master.startswith("local"):
+        # On a cluster the package is deployed the standard way
+        # (--py-files / spark.submit.pyFiles); nothing is staged locally.
+        _SHIPPED.add(app)
+        return
     import shutil
 
     pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
