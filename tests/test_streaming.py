@@ -53,3 +53,23 @@ def test_ledger_stream_and_replay(spark, tmp_path):
     batch = spark.read.parquet(os.path.join(src, f"part={last}"))
     L.screen_and_record(batch, led, out, int(last), stub_scorer())
     assert sorted(r.evidence_id for r in L.read_ledger(spark, led).collect()) == ["a", "b", "c"]
+
+
+def test_screen_stream_with_static_replies(spark, tmp_path):
+    src = str(tmp_path / "in")
+    _write_batches(spark, src)
+    replies = spark.createDataFrame(
+        [("a", "detection", '{"injection_detected": false, "category": "none"}'), ("a", "canary", "Summary."),
+         ("b", "detection", '```json\n{"injection_detected": true, "category": "role play"}\n```'),
+         ("b", "canary", "Summary.")],
+        "evidence_id string, kind string, response string")
+    stream = read_evidence_stream(spark, src + "/*")
+    q = (screen_stream(stream, responses=replies).writeStream.format("memory").queryName("st1_static")
+         .option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {}
+    for r in spark.sql("SELECT evidence_id, category FROM st1_static").collect():
+        got.setdefault(r.evidence_id, set()).add(r.category)
+    assert got["a"] == {"none"}
+    assert got["b"] == {"fake_role"}
+    assert got["c"] == {"unspecified"}  # no reply -> malformed -> unspecified

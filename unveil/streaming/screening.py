@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from unveil.operators import ledger as L
-from unveil.operators.pipeline import VERDICT_COLUMNS, prepare, verdicts
+from unveil.operators.pipeline import VERDICT_COLUMNS, attach_replies, prepare, verdicts
 from unveil.session import ensure_checkpoint_dir
 
 EVIDENCE_SCHEMA = (
@@ -35,9 +35,16 @@ def read_evidence_stream(spark: SparkSession, input_dir: str, schema: str = EVID
     return r.parquet(input_dir)
 
 
-def screen_stream(stream: DataFrame, scorer, *carry: str) -> DataFrame:
-    """ST1: stream of evidence rows -> stream of verdicts (no state)."""
-    v = verdicts(scorer(prepare(stream)))
+def screen_stream(stream: DataFrame, scorer=None, *carry: str, responses: DataFrame | None = None) -> DataFrame:
+    """ST1: stream of evidence rows -> stream of verdicts (no state).
+
+    Replies come from an in-place ``scorer`` or from a static reply table
+    (evidence_id, kind, response) joined stream-static on evidence_id; the
+    static side is folded per id once and a missing reply fails closed.
+    """
+    p = prepare(stream)
+    scored = scorer(p) if scorer is not None else attach_replies(p, responses)
+    v = verdicts(scored)
     return v.select("evidence_id", *carry, *VERDICT_COLUMNS)
 
 
