@@ -1,0 +1,27 @@
+"""Public entry points, one per call of the screened API, over DataFrames.
+
+    clean(df)                       -> cleaned_text, removed, removed_items
+    conclusive_removals / advisory_removals (column functions)
+    derive_seed / generate_secret_word / build_trap_instruction / canary_tripped
+    build_detection_prompt / build_canary_prompt / parse_judge_response
+    normalize_category / category_is_wellformed / combine_verdict
+    check(evidence, responses=... | scorer=...)     -> verdict per row, nothing stored
+    screen_and_record(subs, ledger, outcome, batch_id, scorer)
+    get_records(spark, ledger, requests)            -> bulk get_record with ``found``
+"""
+
+from unveil.functions.canary import canary_tripped, canary_word as generate_secret_word  # noqa: F401
+from unveil.functions.canary import seed_hex as derive_seed  # noqa: F401
+from unveil.functions.canary import trap_sentence as build_trap_instruction  # noqa: F401
+from unveil.functions.cleaner import advisory_items as advisory_removals  # noqa: F401
+from unveil.functions.cleaner import clean  # noqa: F401
+from unveil.functions.cleaner import conclusive_items as conclusive_removals  # noqa: F401
+from unveil.functions.judge import canary_prompt as build_canary_prompt  # noqa: F401
+from unveil.functions.judge import category_is_wellformed, combine_verdict, normalize_category  # noqa: F401
+from unveil.functions.judge import detection_prompt as build_detection_prompt  # noqa: F401
+from unveil.functions.judge import parse_response as parse_judge_response  # noqa: F401
+from unveil.operators.consensus import panel_acceptance, validator_votes  # noqa: F401
+from unveil.operators.ledger import get_records, screen_and_record  # noqa: F401
+from unveil.operators.pipeline import screen as check  # noqa: F401
+from unveil.operators.responses import score_with  # noqa: F401
+from unveil.streaming.screening import screen_stream, start_ledger_stream  # noqa: F401

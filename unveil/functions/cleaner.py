@@ -225,11 +225,12 @@ def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False) -> D
             ),
         ).alias("removed"),
     )
+    stages = [f"_t{i}" for i in range(9)] if keep_stages else []
+    # Materialise the chain before the repr UDF reads the log; otherwise the
+    # UDF's input projection re-evaluates the inlined stage expressions.
+    d = d.select(*base, result_barrier(["cleaned_text", "removed", *stages]))
     d = with_rendered_items(d)
-    results = ["cleaned_text", "removed", "removed_items"]
-    if keep_stages:
-        results += [f"_t{i}" for i in range(9)]
-    return d.select(*base, result_barrier(results))
+    return d.select(*base, result_barrier(["cleaned_text", "removed", "removed_items", *stages]))
 
 
 def result_barrier(cols: list[str]) -> Column:
