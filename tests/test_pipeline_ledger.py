@@ -99,6 +99,10 @@ def test_ledger_cases(spark, tmp_path):
     req = spark.createDataFrame([("x",), ("missing",)], "evidence_id string")
     got = {r.evidence_id: r for r in L.get_records(spark, led, req).collect()}
     assert got["x"].found and got["x"].submitted_by == "sender" and not got["missing"].found
+    import pytest
+
+    with pytest.raises(L.RecordNotFound):
+        L.get_records(spark, led, req, strict=True)
 
 
 def test_flagship_entry(spark):
@@ -117,3 +121,10 @@ def test_hot_id_first_wins(spark, tmp_path):
     assert len(hot) == 20
     assert [r.sub_id for r in hot if r.status == "recorded"] == [59]
     assert sum(r.status == "recorded" for r in out) == 41
+
+
+def test_skip_model_when_conclusive(spark):
+    ev = _evidence(spark, [("a", CORPUS[0][1]), ("b", "An ordinary invoice.")])
+    v = {r.evidence_id: r for r in screen(ev, scorer=_scorer(False, True), skip_model_when_conclusive=True).collect()}
+    assert v["a"].conclusive_tampering and v["a"].judge_reliable is None and v["a"].canary_tripped is None
+    assert v["b"].judge_reliable is False and v["b"].canary_tripped is True

@@ -144,6 +144,15 @@ def removal_census(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def categories_per_document(cleaned: DataFrame) -> DataFrame:
+    """How many distinct removal categories each document tripped ("several
+    strips are more suspicious than one"), as a histogram."""
+    n = F.size(F.array_distinct(F.col("removed.category"))).cast("bigint")
+    return cleaned.select(n.alias("n_categories")).groupBy("n_categories").agg(
+        F.count(F.lit(1)).cast("bigint").alias("docs")
+    )
+
+
 def top_categories(cleaned: DataFrame, k: int = 3) -> DataFrame:
     """E8 top-k: the k most frequent removal categories (the limit is the feature)."""
     e = cleaned.select(F.explode("removed.category").alias("category"))

@@ -155,7 +155,11 @@ def screen_and_record(
     return out.select(*outcome_cols, "category", "evidence_hash")
 
 
-def get_records(spark: SparkSession, ledger_path: str, requests: DataFrame) -> DataFrame:
+class RecordNotFound(KeyError):
+    pass
+
+
+def get_records(spark: SparkSession, ledger_path: str, requests: DataFrame, strict: bool = False) -> DataFrame:
     """L3/S3: bulk keyed lookup; every request comes back with ``found``.
 
     The ledger is first semi-joined with the request ids (broadcastable build
@@ -166,4 +170,9 @@ def get_records(spark: SparkSession, ledger_path: str, requests: DataFrame) -> D
     led = read_ledger(spark, ledger_path).select(*RECORD_FIELDS)
     hits = led.join(ids.distinct(), "evidence_id", "left_semi")
     j = requests.join(hits, "evidence_id", "left")
-    return j.select("*", F.col("evidence_hash").isNotNull().alias("found"))
+    out = j.select("*", F.col("evidence_hash").isNotNull().alias("found"))
+    if strict:  # a missing key is an error, as for a single keyed get
+        miss = out.where(~F.col("found")).select("evidence_id").limit(1).collect()
+        if miss:
+            raise RecordNotFound(miss[0].evidence_id)
+    return out

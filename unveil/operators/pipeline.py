@@ -114,13 +114,18 @@ def verdicts(scored: DataFrame, skip_model_when_conclusive: bool = False) -> Dat
     return out.select(*base, result_barrier(derived))
 
 
-def screen(evidence: DataFrame, responses: DataFrame | None = None, scorer=None, *carry: str) -> DataFrame:
+def screen(evidence: DataFrame, responses: DataFrame | None = None, scorer=None, *carry: str,
+           skip_model_when_conclusive: bool = False) -> DataFrame:
     """P4 ``check`` over a table: verdict per evidence row, nothing stored.
 
     Replies come either from ``responses`` (evidence_id, kind, response),
     joined on evidence_id, or from ``scorer(prepared) -> prepared`` adding
-    detection_response/canary_response in place (no shuffle).
+    detection_response/canary_response in place (no shuffle). Default is
+    parity: the model is consulted even when the cleaner was conclusive.
+    With ``skip_model_when_conclusive`` the judge fields of conclusive rows
+    are null (callers can then drop those rows before scoring).
     """
     p = prepare(evidence)
     scored = scorer(p) if scorer is not None else attach_replies(p, responses)
-    return verdicts(scored).select("evidence_id", *carry, *VERDICT_COLUMNS, "removed")
+    v = verdicts(scored, skip_model_when_conclusive=skip_model_when_conclusive)
+    return v.select("evidence_id", *carry, *VERDICT_COLUMNS, "removed")

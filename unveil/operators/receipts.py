@@ -86,6 +86,11 @@ def parse_receipts(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
     )
 
 
+def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R1 output -> (good rows, quarantined rows with error_reason)."""
+    return parsed.where(F.col("ok")).drop("error_reason"), parsed.where(~F.col("ok"))
+
+
 def conformance(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
     """R2: required keys present with the template's leaf types; first failing path."""
     d = with_variant(receipts, json_col)

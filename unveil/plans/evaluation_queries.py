@@ -126,3 +126,13 @@ def e6_parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = spread(planted(spark, sf_dir), "evidence_id")
     native = planted_cleaned(spark, sf_dir)
     return E.parity_diff(native, E.python_clean(src))
+
+
+@register(
+    "e8_categories_per_doc",
+    planted_clean_with()
+    + """SELECT CAST(len(list_distinct(list_transform(removed, lambda e: e.category))) AS BIGINT) AS n_categories,
+       CAST(count(*) AS BIGINT) AS docs FROM cleaned GROUP BY 1""",
+)
+def e8_categories_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.categories_per_document(planted_cleaned(spark, sf_dir))
