@@ -16,6 +16,7 @@ FRAGMENTS = [
     "SYSTEM:", "system :", "Assistant:", "instructions:", "### System", "#Instruction\n", "## instructions:",
     "[INST]", "[/inst]", "[SYSTEM]", "[instruction]", "ＳＹＳＴＥＭ：",
     "\n", "\n\n\n", " \t\n", "  ", "　", " ", "\x85", "\x1c", "\xa0",
+    "e\u0301", "\u0301", "\u1100\u1161", "\u11a8", "\u0b47\u0b3e", "\u0327\u0301", "\u2460", "\u00bd",
     "word", "Système", "déjà", "ﬁle", "'", '"', "\\", "é", "x" * 3,
 ]
 

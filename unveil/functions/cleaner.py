@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from unveil.functions import fixed
 from unveil.functions.udfs import nfkc_if_changed, python_repr_all
+from unveil.functions.unicode_sets import nfkc_suspects
 from unveil.session import ship_package
 
 ENTRY_TYPE = "struct<category:string,n:bigint,payload:string>"
@@ -132,9 +133,17 @@ def c5_invisible_controls(t: Column) -> tuple[Column, Column]:
 
 
 def c6_nfkc_changed(t: Column) -> Column:
-    """NFKC text or null if unchanged; only non-ASCII rows reach Python."""
+    """NFKC text or null if unchanged.
+
+    Only rows holding an NFKC-suspect character (quick-check No/Maybe or a
+    combining mark; see ``unicode_sets``) reach Python; the test is one JVM
+    ``translate`` pass, and is skipped for pure-ASCII rows (byte length ==
+    char length). Everything else is provably already normalised.
+    """
+    suspects = nfkc_suspects()
     non_ascii = F.octet_length(t) != F.length(t)
-    return nfkc_if_changed(F.when(non_ascii, t))
+    suspect = non_ascii & (F.length(F.translate(t, suspects, "")) != F.length(t))
+    return nfkc_if_changed(F.when(suspect, t))
 
 
 def c7_labels(t: Column) -> Column:
