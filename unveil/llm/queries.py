@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from unveil.llm import languages, toxicity
 from unveil.llm.near_dedup import near_duplicates
-from unveil.llm.shared import table
+from unveil.llm.shared import id_fold, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -44,3 +46,21 @@ FROM sets s JOIN (SELECT node, min(root) AS root FROM reach GROUP BY 1) r ON r.n
 @query("op2_near_duplicates", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_mixtures")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = id_fold(F.col("doc_id"), 5)
+    model = languages.learn(docs.where(fold != 0))
+    held = docs.select("doc_id", "text", (fold == 0).alias("held_out"))
+    return languages.identify(held, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@query("op1_toxicity_nnpu")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    fold = id_fold(F.col("doc_id"), 5)
+    model = toxicity.learn(docs.where(fold != 0), labels.where(fold != 0))
+    return toxicity.score(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")

@@ -84,9 +84,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
-    """64-bit hash of each span, A-Z folded to a-z; equal bytes have equal hashes."""
-    out, first = np.empty(len(starts), np.uint64), 0
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths: tuple[int, ...], chunk: int = 1 << 19) -> np.ndarray:
+    """Hashes of the first ``w`` bytes of each span, a row for each w (0: the whole span).
+
+    A-Z folds to a-z; equal bytes have equal hashes. The sums behind the
+    hashes are made once per ``chunk`` bytes; only a longer span needs more.
+    """
+    out, first = np.empty((len(widths), len(starts)), np.uint64), 0
     while first < len(starts):
         base = int(starts[first])
         last = max(first + 1, int(np.searchsorted(ends, base + chunk, side="right")))
@@ -94,11 +98,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: i
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * _power("up", len(part) + 1)[: len(part)], out=sums[1:])
         s, e = starts[first:last] - base, ends[first:last] - base
-        out[first:last] = mix((sums[e] - sums[s]) * _power("down", len(part) + 1)[s] + (e - s).astype(np.uint64))
+        down = _power("down", len(part) + 1)[s]
+        for k, w in enumerate(widths):
+            z = np.minimum(e, s + w) if w else e
+            out[k, first:last] = mix((sums[z] - sums[s]) * down + (z - s).astype(np.uint64))
         first = last
     return out
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span, A-Z folded to a-z; equal bytes have equal hashes."""
+    return prefix_hashes(data, starts, ends, (0,))[0]
+
+
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive word hashes."""
     n = len(hashes) - width + 1
@@ -110,3 +122,28 @@ def chain(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def window_slots(data: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """For each byte a slot of 2**bits for the ``width`` bytes that end there, A-Z folded; blanks stand before the first byte."""
+    low = np.concatenate([np.full(width - 1, 32, np.uint8), LOWER[data]]).astype(np.uint64)
+    low[low == 10] = 32
+    key = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        key = (key << np.uint64(8)) | low[k : k + len(data)]
+    return ((key * np.uint64(_BASE)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between consecutive positions of ``first`` (an empty run sums to 0)."""
+    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+def has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row holds a Unicode letter; only rows without an ASCII letter are decoded."""
+    ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    found = per_row(ascii_letter, offsets) > 0
+    for i in np.flatnonzero(~found & (per_row(data >= 128, offsets) > 0)):
+        found[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    return found
