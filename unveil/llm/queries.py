@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unveil.llm import languages, toxicity
+from unveil.llm import fingerprints, languages, toxicity
 from unveil.llm.near_dedup import near_duplicates
 from unveil.llm.shared import id_fold, table
 
@@ -64,3 +64,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = id_fold(F.col("doc_id"), 5)
     model = toxicity.learn(docs.where(fold != 0), labels.where(fold != 0))
     return toxicity.score(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_prefix_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
