@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unveil.llm import fingerprints, languages, toxicity
+from unveil.llm import fingerprints, languages, personal_data, toxicity
 from unveil.llm.near_dedup import near_duplicates
 from unveil.llm.shared import id_fold, table
 
@@ -69,3 +69,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_prefix_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(table(spark, sf_dir, "documents"))
