@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unveil.llm import fingerprints, languages, personal_data, toxicity
+from unveil.llm import fingerprints, languages, mixing, packing, personal_data, toxicity, vectors
 from unveil.llm.near_dedup import near_duplicates
 from unveil.llm.shared import id_fold, table
 
@@ -74,3 +74,48 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE per AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents GROUP BY 1),
+whole AS (SELECT sum(sqrt(CAST(chars AS DOUBLE))) AS w, CAST(sum(chars) AS DOUBLE) AS total FROM per),
+rates AS (SELECT source, CASE WHEN chars > 0 THEN sqrt(CAST(chars AS DOUBLE)) / w * total * 1.0 / chars ELSE 0.0 END AS rate FROM per, whole),
+terms(source, rate, k, p, cdf) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM terms WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
+drawn AS (
+  SELECT *, CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+counted AS (
+  SELECT d.*, CAST((SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.cdf <= d.u) AS INTEGER) AS n_copies FROM drawn d),
+copies AS (SELECT doc_id, text, lang, source, n_chars, n_copies, CAST(unnest(generate_series(1, n_copies)) AS INTEGER) AS copy_no FROM counted WHERE n_copies > 0)
+SELECT *, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy_no) AS shuffle_key FROM copies
+"""
+
+
+@query("op3_poisson_mix", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+OP9_SQL = """
+WITH good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+@query("op9_rotated_codes", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
