@@ -1,8 +1,74 @@
-"""Training-corpus pipeline; its stages follow."""
+"""From raw documents to packed training sequences, one operator a stage.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's ``docs``; all but the last return
+the columns that they were given. Nulls, empty texts, repeated rows and empty
+tables follow the operators' own rules.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from unveil.llm import languages, mixing, packing, personal_data
+from unveil.llm.near_dedup import near_duplicates
+from unveil.llm.shared import stored
+from unveil.session import ship_package
+
+# the model, the replication draw and the packing shards are not SQL
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without an identifiable language; a null ``lang`` takes the predicted one."""
+    ship_package(spark)
+    named = languages.identify(docs, languages.learn(docs), pred="__pred", score="__score", mix="__mix")
+    kept = named.where(F.col("__pred") != languages.UNKNOWN)
+    return kept.select(*[F.coalesce("lang", "__pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each near-duplicate class, and one row of a repeated id."""
+    ship_package(spark)
+    classes = stored(near_duplicates(docs), "classes-of-docs")
+    gone = classes.where("not kept").select("doc_id").distinct()
+    again = stored(classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not again.head(1):
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    alone = docs.join(gone.unionByName(again).hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return alone.unionByName(docs.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+
+
+def personal_data_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every personal identifier found in a text by its kind in brackets."""
+    ship_package(spark)
+    return personal_data.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or thins documents to the target source weights, in shuffled order."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every byte of every document, and an end mark each, in sequences of the permitted lengths."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data_removal),
+    ("source_mix", source_mix),
+    ("best_fit", best_fit),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, with what each keeps written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

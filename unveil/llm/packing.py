@@ -69,11 +69,18 @@ def pack_shard(lengths: list[int], capacities: tuple[int, ...], overhead: int =
 
 
 def pieces(docs: DataFrame, length, largest: int, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, piece, start, length: whole documents, cut only above ``largest``."""
+    """doc_id, copy, piece, start, length: whole documents, cut only above ``largest``.
+
+    Rows that repeat (doc_id, length) are told apart by ``copy``, from 1. They
+    are counted by a partial aggregate, so that a row that repeats without end
+    is dealt over the shards like any other.
+    """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), length.cast("bigint").alias("n")).where("n > 0")
-    cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / largest).cast("bigint"))))
+    copies = rows.groupBy("doc_id", "n").agg(F.count("*").alias("copies"))
+    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / largest).cast("bigint"))))
     start = F.col("piece") * largest
-    return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(largest), F.col("n") - start).cast("bigint").alias("length"))
+    return cut.select("doc_id", "copy", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(largest).cast("bigint"), F.col("n") - start).alias("length"))
 
 
 def pack(
@@ -85,14 +92,14 @@ def pack(
     overhead: int = OVERHEAD,
     length=None,
 ) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, bin_offset, bin_capacity.
+    """doc_id, copy, piece, start, length, bin_id, bin_offset, bin_capacity.
 
     The length of a document is its UTF-8 size in bytes plus one for the end
     mark, or the column given as ``length``; null and empty texts take the end
     mark alone. A document longer than the largest capacity is cut into pieces
     of that size and a rest. Every piece is placed once; bin_id is
-    ``shard:number``. Rows that repeat a doc_id are packed each on its own;
-    a null doc_id is kept. Other columns are not read.
+    ``shard:number``. Rows that repeat a doc_id are packed each on its
+    own; a null doc_id is kept. Other columns are not read.
 
     A shard holds ``shard`` pieces on average, whatever the size of the
     input, so a task packs a bounded number of small rows.
@@ -102,15 +109,15 @@ def pack(
     parts = pieces(docs, size, capacities[-1], doc_id)
     total = parts.agg(F.count("*")).first()[0]
     shards = max(1, -(-total // shard))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).cast("int"))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece", "length"), F.lit(shards)).cast("int"))
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
         bins, offsets, final = pack_shard(rows["length"].to_pylist(), capacities, overhead)
         number = rows["shard"][0].as_py()
         made = [pa.array([f"{number}:{b}" for b in bins]), pa.array(offsets, pa.int64()), pa.array([final[b] for b in bins], pa.int64())]
-        return pa.table([*(rows[c] for c in ("doc_id", "piece", "start", "length")), *made], names=["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "bin_capacity"])
+        return pa.table([*(rows[c] for c in ("doc_id", "copy", "piece", "start", "length")), *made], names=["doc_id", "copy", "piece", "start", "length", "bin_id", "bin_offset", "bin_capacity"])
 
     return dealt.groupBy("shard").applyInArrow(
-        run, "doc_id long, piece int, start long, length long, bin_id string, bin_offset long, bin_capacity long"
+        run, "doc_id long, copy long, piece int, start long, length long, bin_id string, bin_offset long, bin_capacity long"
     )

@@ -220,7 +220,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     first. A null text stays null; ``n_chars``, where present, is set anew.
     """
     found = extract(docs, doc_id, text).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.array_sort(F.transform("found", lambda s: F.struct(s["start"], s["stop"], s["kind"]))).alias("__spans"))
-    once = found.dropDuplicates(["__id", "__mark"])
+    once = found.dropDuplicates(["__id", "__mark"]).hint("merge")
     joined = docs.join(once, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text)) == F.col("__mark")), "left")
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unveil.llm import fingerprints, languages, mixing, packing, personal_data, token_files, toxicity, vectors
+from unveil.llm import context_tree, fingerprints, languages, mixing, packing, personal_data, token_files, toxicity, vectors
 from unveil.llm.near_dedup import near_duplicates
 from unveil.llm.shared import id_fold, table
 
@@ -126,3 +126,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_files.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_context_tree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = context_tree.score_texts(docs, id_fold(F.col("doc_id"), 10) != 0)
+    return out.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
