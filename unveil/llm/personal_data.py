@@ -217,27 +217,40 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """``docs`` with every span of its text replaced by its kind in brackets.
 
     Overlapping spans are replaced by one mark, that of the span that starts
-    first. A null text stays null; ``n_chars``, where present, is set anew.
+    first. A null text stays null; ``n_chars``, where present, is set anew for
+    the texts that change.
     """
     found = extract(docs, doc_id, text).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.array_sort(F.transform("found", lambda s: F.struct(s["start"], s["stop"], s["kind"]))).alias("__spans"))
     once = found.dropDuplicates(["__id", "__mark"]).hint("merge")
     joined = docs.join(once, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text)) == F.col("__mark")), "left")
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    place = docs.columns.index(text)
+    sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), names[s["kind"]])).otherwise(acc["out"])
-        return F.struct(piece.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
-
-    marked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
-    clean = F.when(F.col("__spans").isNotNull(), marked).otherwise(F.col(text))
-    out = []
-    for c in docs.columns:
-        if c == text:
-            out.append(clean.alias(c))
-        elif c == "n_chars":
-            out.append(F.length(clean).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(c))
-    return joined.select(*out)
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(len(docs_names))
+            bodies, columns = batch.column(place), list(batch.columns[: len(docs_names)])
+            at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                texts = bodies.to_pylist()
+                for i in at:
+                    texts[i] = _replaced(texts[i], spans[int(i)].as_py())
+                columns[place] = pa.array(texts, bodies.type)
+                if sized is not None:
+                    sizes = columns[sized].to_pylist()
+                    for i in at:
+                        sizes[i] = len(texts[i])
+                    columns[sized] = pa.array(sizes, columns[sized].type)
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    return joined.select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(run, docs.schema)
+
+
+def _replaced(text: str, spans: list[dict]) -> str:
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
+        at = max(at, s["stop"])
+    return "".join([*out, text[at:]])

@@ -67,7 +67,7 @@ class WordwiseTokenizer:
     followed by a non-blank, so texts whose blanks are all of that kind can be
     cut there, and each distinct " word" is encoded once. It also cuts between
     letters and the marks that follow them, so " word," is " word" and ",".
-    Other texts go to the tokenizer whole. The word table is emptied when it
+    Other texts, and those with a NUL, go to the tokenizer whole. The word table is emptied when it
     has grown large.
     """
 
@@ -152,7 +152,7 @@ class WordwiseTokenizer:
             self._clear()
         look, rows, odd = self.words.__getitem__, [], []
         for i, t in enumerate(texts):
-            if "  " in t or " \n" in t or t.endswith(" ") or (not plain_space and ODD_SPACE.search(t)):
+            if "\0" in t or "  " in t or " \n" in t or t.endswith(" ") or (not plain_space and ODD_SPACE.search(t)):
                 odd.append(i)
                 t = ""
             first, *rest = t.split(" ")
