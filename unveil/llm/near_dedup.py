@@ -247,15 +247,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
     meeting = stored(buckets.join(hubs, "bucket").select("bucket", "rep", "n", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "buckets")
+    # texts move once: only documents that share a bucket are ever compared
+    meets = meeting.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = stored(rows.join(meets, "doc_id", "left_semi"), "texts")
     pairs = meeting.where(f"rep != hub and 100 * least(n, hub_n) >= {threshold} * greatest(n, hub_n)").select("hub", F.col("rep").alias("member"))
-    links = stored(confirmed(stored(pairs.distinct(), "pairs"), rows, threshold), "links")
+    links = stored(confirmed(stored(pairs.distinct(), "pairs"), texts, threshold), "links")
     first = components(links, "hub", "member")
     # a repeated doc_id may represent several sets: one row per id is enough here
     sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"))
     known = stored(
         sizes.join(first, sizes.rep == first.node, "left").select("rep", "n", F.coalesce("component", "rep").alias("component")), "known"
     )
-    rest = stored(leftover_links(meeting.select("bucket", "rep"), known, rows, threshold), "leftover")
+    rest = stored(leftover_links(meeting.select("bucket", "rep"), known, texts, threshold), "leftover")
     again = linkable.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     repeats = linkable.join(again, "doc_id").join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("rep").alias("hub"), F.col("doc_id").alias("member"))
     last = components(links.unionByName(rest).unionByName(repeats), "hub", "member")
