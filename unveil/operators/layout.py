@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+PARTITIONS = "unveil.input.partitions"
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy text work enough tasks.
+    """Deals ``df`` over as many partitions as the session setting
+    ``unveil.input.partitions`` says, by hash of ``keys`` or round-robin.
 
-    Large inputs already arrive in many file splits and are left alone (no
-    shuffle). A small input read as a handful of splits is hash-partitioned
-    on ``keys`` (a unique key, so one hot value cannot gather in one task;
-    a later join or aggregate on the same keys reuses the layout), or
-    round-robin without keys.
+    Unset (the default) leaves the layout of the scan alone. The setting is
+    for inputs that come in fewer splits than there are cores, such as one
+    small Parquet file; nothing here looks at the data.
     """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    n = max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    parts = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(parts), *keys) if parts else df

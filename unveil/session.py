@@ -17,7 +17,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -37,11 +36,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and it is used as is. Only when it
-    is unset (local tests) is a private folder created and registered.
+    A cluster names a shared folder there and it is used as is. When it is
+    unset, a private folder is created on a local master (one JVM, tests); on
+    any other master that is an error, because executors could not see it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="unveil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
