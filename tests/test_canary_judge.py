@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from unveil.functions import canary as T
 from unveil.functions import judge as J
-from unveil.functions.udfs import parse_verdict_text
+from unveil.functions.udfs import strict_verdict
 
 
 def test_known_canary_word(spark):
@@ -42,7 +42,7 @@ REPLIES = [
     ('{"injection_detected": false, "category": "none"}', False, "none"),
     ('```json\n{"injection_detected": true, "category": "hidden_instruction"}\n```', True, "hidden_instruction"),
     ('```\n{"injection_detected": true, "category": "fake_role"}\n```', True, "fake_role"),
-    ("I refuse to answer in JSON today.", True, "malformed_judge_response"),
+    ("No structured answer from me, sorry.", True, "malformed_judge_response"),
     ('{"category": "none"}', True, "malformed_judge_response"),
     ('{"injection_detected": false}', False, "none"),
     ('{"injection_detected": true}', True, "unspecified"),
@@ -61,6 +61,9 @@ REPLIES = [
     ('{"injection_detected": NaN}', True, "unspecified"),
     ('{"injection_detected": 1' + "0" * 5000 + "}", True, "malformed_judge_response"),
     ("[" * 100000 + "]" * 100000, True, "malformed_judge_response"),
+    ('{"injection_detected": true, "category": "\\ud800"}', True, "unspecified"),
+    ('{"injection_detected": true, "category": "fake\\ud800 role"}', True, "fake_role"),
+    ('  ```JSON {"injection_detected": false}```  ', False, "none"),
 ]
 
 
@@ -71,9 +74,22 @@ def test_parse_table(spark):
         assert (row.p.detected, row.p.category) == (det, cat), raw[:60] if raw else raw
 
 
+def test_decoded_replies(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES (1, named_struct('injection_detected', false, 'category', 'none')),
+        (2, named_struct('injection_detected', true, 'category', 'Jailbreak!')),
+        (3, named_struct('injection_detected', CAST(NULL AS BOOLEAN), 'category', 'none')), (4, NULL) AS t(k, r)"""
+    )
+    for reply in (F.col("r"), F.when(F.col("r").isNotNull(), F.try_parse_json(F.to_json("r")))):
+        got = {x.k: (x.p.detected, x.p.category) for x in df.select("k", J.parse_response(reply, decoded=True).alias("p")).collect()}
+        assert got == {1: (False, "none"), 2: (True, "hidden_instruction"), 3: (True, "malformed_judge_response"), 4: (True, "malformed_judge_response")}
+    m = spark.sql("SELECT map('injection_detected', CAST(false AS BOOLEAN)) AS r")
+    assert m.select(J.parse_response(F.col("r"), decoded=True).alias("p")).first().p.category == "none"
+
+
 def test_parse_never_raises():
     for raw, _, _ in REPLIES:
-        parse_verdict_text(raw)
+        strict_verdict(raw)
 
 
 SYNONYMS = [

@@ -17,6 +17,7 @@ FRAGMENTS = [
     "[INST]", "[/inst]", "[SYSTEM]", "[instruction]", "ＳＹＳＴＥＭ：",
     "\n", "\n\n\n", " \t\n", "  ", "　", " ", "\x85", "\x1c", "\xa0",
     "e\u0301", "\u0301", "\u1100\u1161", "\u11a8", "\u0b47\u0b3e", "\u0327\u0301", "\u2460", "\u00bd",
+    '<ſpan style="color:white">', "</ſpan>", "<İmg alt=\"look\">", "<ımg alt='look'>",
     "word", "Système", "déjà", "ﬁle", "'", '"', "\\", "é", "x" * 3,
 ]
 

@@ -96,26 +96,42 @@ def native_repr(p: Column) -> Column:
 # stages: each takes the current text column, returns (text, log)
 # --------------------------------------------------------------------------
 
+def _after_last_close(t: Column) -> Column:
+    """What follows the last ``-->`` (all of ``t`` without one): no comment ends there."""
+    return F.substring_index(t, "-->", -1)
+
+
+def _up_to_last_close(t: Column) -> Column:
+    """The part in which comments can lie; every open in it but those in its last bytes has a close."""
+    return F.left(t, F.length(t) - F.length(_after_last_close(t)))
+
+
 def c1_count(t: Column) -> Column:
-    return F.when(t.contains("<!--"), F.regexp_count(t, F.lit(fixed.HTML_COMMENT))).otherwise(F.lit(0))
+    return F.when(t.contains("<!--"), F.regexp_count(_up_to_last_close(t), F.lit(fixed.HTML_COMMENT))).otherwise(F.lit(0))
+
+
+def c1_text(t: Column, n: Column) -> Column:
+    cut = F.regexp_replace(_up_to_last_close(t), fixed.HTML_COMMENT, "")
+    return F.when(n > 0, F.concat(cut, _after_last_close(t))).otherwise(t)
 
 
 def c1_html_comments(t: Column) -> tuple[Column, Column]:
     n = c1_count(t)
-    out = F.when(n > 0, F.regexp_replace(t, fixed.HTML_COMMENT, "")).otherwise(t)
-    return out, count_entry(fixed.CAT_HTML_COMMENTS, n)
+    return c1_text(t, n), count_entry(fixed.CAT_HTML_COMMENTS, n)
 
 
-def _has_close_tag(t: Column) -> Column:
-    return t.contains("</") & t.rlike(r"(?i)</(?:span|div|p|font)>")
+def _may_hide(t: Column) -> Column:
+    """Necessary for a hidden styled element; linear, with the pattern's own flags."""
+    return t.contains("</") & t.rlike(fixed.CLOSE_TAG_GATE) & t.rlike(fixed.HIDDEN_STYLED_GATE)
 
 
 def c2_payloads(t: Column) -> Column:
-    return F.when(_has_close_tag(t), _extract_all(t, fixed.HIDDEN_STYLED, 2)).otherwise(_empty_strings())
+    return F.when(_may_hide(t), _extract_all(t, fixed.HIDDEN_STYLED, 2)).otherwise(_empty_strings())
 
 
 def c3_alts(t: Column) -> Column:
-    return F.when(t.rlike("(?i)<img"), _extract_all(t, fixed.IMAGE_ALT, 1)).otherwise(_empty_strings())
+    gate = t.contains("<") & t.rlike(fixed.IMAGE_GATE) & t.rlike(fixed.ALT_GATE)
+    return F.when(gate, _extract_all(t, fixed.IMAGE_ALT, 1)).otherwise(_empty_strings())
 
 
 def nonblank(arr: Column) -> Column:
@@ -155,7 +171,7 @@ def c8_brackets(t: Column) -> Column:
 
 
 def c9_tidy(t: Column) -> Column:
-    out = F.regexp_replace(t, fixed.TRAILING_BLANKS, "\n")
+    out = F.regexp_replace(t, fixed.TRAILING_BLANKS_LINEAR, "\n")
     out = F.regexp_replace(out, fixed.BLANK_RUN, "\n\n")
     return py_strip(out)
 
@@ -168,11 +184,12 @@ def _replace_if(t: Column, found: Column, pattern: str) -> Column:
 # the chain
 # --------------------------------------------------------------------------
 
-def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False) -> DataFrame:
+def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False, render: bool = True) -> DataFrame:
     """C0..C11 + C12 over ``text_col``; adds cleaned_text, removed, removed_items.
 
     With ``keep_stages`` the per-stage text columns ``_t0``..``_t8`` stay in
-    the output (used by the per-operator queries).
+    the output (used by the per-operator queries). ``render=False`` leaves
+    out removed_items and the repr UDF behind it.
     """
     ship_package(df.sparkSession)
     src = F.col(text_col)
@@ -185,7 +202,7 @@ def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False) -> D
     d = d.select("*", c1_count(F.col("_t0")).alias("_n1"))
     d = d.select(
         "*",
-        F.when(F.col("_n1") > 0, F.regexp_replace("_t0", fixed.HTML_COMMENT, "")).otherwise(F.col("_t0")).alias("_t1"),
+        c1_text(F.col("_t0"), F.col("_n1")).alias("_t1"),
         count_entry(fixed.CAT_HTML_COMMENTS, F.col("_n1")).alias("_l1"),
     )
     d = d.select("*", c2_payloads(F.col("_t1")).alias("_p2"))
@@ -238,6 +255,8 @@ def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False) -> D
     # Materialise the chain before the repr UDF reads the log; otherwise the
     # UDF's input projection re-evaluates the inlined stage expressions.
     d = d.select(*base, result_barrier(["cleaned_text", "removed", *stages]))
+    if not render:
+        return d
     d = with_rendered_items(d)
     return d.select(*base, result_barrier(["cleaned_text", "removed", "removed_items", *stages]))
 

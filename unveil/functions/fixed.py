@@ -79,9 +79,16 @@ HIDDEN_STYLED = (
 )
 HIDDEN_STYLED_TAGS = ("span", "div", "p", "font")
 
+# Necessary for any C2 match: one of the style tests and a closing tag.
+HIDDEN_STYLED_GATE = "(?iU)(?:" + HIDDEN_STYLE_TESTS + ")"
+CLOSE_TAG_GATE = "(?iU)</(?:span|div|p|font)>"
+
 # C3 image with alt text; greedy prefix, so the last alt wins.
 IMAGE_ALT_BODY = rf"<img\b[^>]*\balt{WS}*={WS}*{QUOTE}({NOT_QUOTE}*){QUOTE}[^>]*>"
 IMAGE_ALT = "(?iU)" + IMAGE_ALT_BODY
+# Necessary for any C3 match.
+IMAGE_GATE = "(?iU)<img"
+ALT_GATE = rf"(?iU)\balt{WS}*={WS}*{QUOTE}"
 
 # C7 fake role label at line start.
 ROLE_LABEL = (
@@ -96,6 +103,8 @@ ROLE_BRACKET = r"(?iU)\[/?(?:system|inst|instructions)\]"
 
 # C9 whitespace tidy.
 TRAILING_BLANKS = r"[ \t]+\n"
+# The same matches in linear time (Java and Python; RE2 has neither construct).
+TRAILING_BLANKS_LINEAR = r"(?<![ \t])[ \t]++\n"
 BLANK_RUN = r"\n{3,}"
 
 # ---------------------------------------------------------------------------

@@ -64,13 +64,36 @@ def canary_prompt(cleaned_text: Column, word: Column) -> Column:
     return F.concat(F.lit(a), cleaned_text, F.lit("\n\n"), trap_sentence(word), F.lit(b))
 
 
-def parse_response(raw: Column) -> Column:
+def reply_body(raw: Column) -> Column:
+    """The reply text without white space around it and without a Markdown fence."""
+    ws = F.lit(fixed.WHITESPACE_CHARS)
+    bare = F.btrim(raw, ws)
+    opened = F.btrim(bare, F.lit("`"))
+    inner = F.when(F.lower(F.left(opened, F.lit(4))) == "json", F.substr(opened, F.lit(5))).otherwise(opened)
+    return F.when(bare.startswith("```"), F.btrim(inner, ws)).otherwise(bare)
+
+
+def decoded_body(reply: Column) -> Column:
+    """A reply that arrives decoded (struct, map or variant) as JSON text.
+
+    A null field of a struct cannot be told from a missing one and is left
+    out, so that a null verdict counts as no verdict.
+    """
+    return F.to_json(reply)
+
+
+def parsed_reply(raw: Column, decoded: bool = False) -> Column:
+    """Strict JSON in the Arrow UDF: Spark's readers accept trailing text and single quotes."""
+    return parse_verdict(decoded_body(raw) if decoded else reply_body(raw))
+
+
+def parse_response(raw: Column, decoded: bool = False) -> Column:
     """struct<detected, category> from a detection reply; fails closed.
 
-    Strict JSON runs in the Arrow UDF (Spark's JSON readers accept trailing
-    text and single quotes); label normalisation stays native.
+    ``decoded`` says that the reply is a struct, map or variant instead of
+    text. Label normalisation stays native.
     """
-    p = parse_verdict(raw)
+    p = parsed_reply(raw, decoded)
     ok = p["well_formed"]
     detected = F.when(ok, p["detected"]).otherwise(F.lit(True))
     category = F.when(ok, normalize_category(p["category_text"], p["detected"])).otherwise(

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from unveil.functions import fixed
 
 
 @F.pandas_udf(T.StringType())
@@ -43,38 +42,25 @@ def python_repr_all(payloads: pd.Series) -> pd.Series:
     return payloads.map(one)
 
 
-_WS = fixed.WHITESPACE_CHARS
-_FENCE = "```"
+MALFORMED = (False, True, None)
 
 
-def _unfence(raw: str | None) -> str:
-    text = (raw or "").strip(_WS)
-    if text.startswith(_FENCE):
-        text = text.strip("`")
-        if text.lower().startswith("json"):
-            text = text[4:]
-    return text.strip(_WS)
+def strict_verdict(body: str | None) -> tuple[bool, bool, str | None]:
+    """(well_formed, detected, category_text) of one reply without its fence.
 
-
-def parse_verdict_text(raw: str | None) -> tuple[bool, bool, str | None]:
-    """(well_formed, detected, category_text) for one detection reply.
-
-    Strict JSON (Python's decoder); the verdict key is read from an object
-    and judged by Python truthiness. ``category_text`` is ``str()`` of the
-    category value ('' when absent), to be canonicalised natively. Any
-    failure -- bad JSON, non-object, missing key, decoder limits -- is
-    reported as not well formed, never raised.
+    Python's strict JSON decoder and truthiness are the rule here; everything
+    that is not an object with a verdict key, or that the decoder refuses, is
+    malformed. A category that UTF-8 cannot carry (a lone surrogate) keeps its
+    other characters: labels compare by letters and digits only.
     """
     try:
-        data = json.loads(_unfence(raw))
-        if not isinstance(data, dict):
-            return (False, True, None)
-        if "injection_detected" not in data:
-            return (False, True, None)
-        detected = bool(data["injection_detected"])
-        return (True, detected, str(data.get("category", "")))
+        found = json.loads(body or "")
+        if not isinstance(found, dict):
+            return MALFORMED
+        label = str(found.get("category", "")).encode("utf-8", "ignore").decode()
+        return True, bool(found["injection_detected"]), label
     except Exception:  # noqa: BLE001 -- one reply must not fail a job
-        return (False, True, None)
+        return MALFORMED
 
 
 VERDICT_SCHEMA = T.StructType(
@@ -88,5 +74,5 @@ VERDICT_SCHEMA = T.StructType(
 
 @F.pandas_udf(VERDICT_SCHEMA)
 def parse_verdict(raw: pd.Series) -> pd.DataFrame:
-    rows = [parse_verdict_text(r) for r in raw]
+    rows = [strict_verdict(r) for r in raw]
     return pd.DataFrame(rows, columns=["well_formed", "detected", "category_text"])

@@ -117,13 +117,13 @@ def label_completeness(planted: DataFrame) -> DataFrame:
     )
 
 
-def judge_reliability(panel: DataFrame, conclusive: DataFrame) -> DataFrame:
+def judge_reliability(panel: DataFrame) -> DataFrame:
     """Per judge, canary leaks and clean-but-unreliable readings.
 
-    conclusive(evidence_id, conclusive) comes from the cleaner; the join is on
-    evidence_id and the aggregate is partial per task.
+    ``conclusive`` (from the cleaner) travels with the panel rows, so this is
+    one partial aggregate and no join.
     """
-    j = panel.where(F.col("status") == "success").join(conclusive, "evidence_id", "left")
+    j = panel.where(F.col("status") == "success")
     unreliable_clean = ~F.col("conclusive") & ~F.col("injection_detected") & F.col("canary_leaked")
     return j.groupBy("judge_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("readings"),
@@ -133,14 +133,26 @@ def judge_reliability(panel: DataFrame, conclusive: DataFrame) -> DataFrame:
 
 
 def removal_census(cleaned: DataFrame) -> DataFrame:
-    """Entries and documents per (source, category), with cube totals."""
-    e = cleaned.select("evidence_id", "source", F.explode("removed").alias("e")).select(
-        "evidence_id", "source", F.col("e.category").alias("category")
-    )
-    return e.cube("source", "category").agg(
-        (F.grouping("source") * 2 + F.grouping("category")).cast("int").alias("level"),
-        F.count(F.lit(1)).cast("bigint").alias("entries"),
-        F.count_distinct("evidence_id").cast("bigint").alias("docs"),
+    """Entries and documents per (source, category), with cube totals.
+
+    ``removed`` is one array per document, so a document gives one row for
+    each of its categories and one for its total; counting rows then counts
+    documents, and neither ids nor a cube over the entries is needed. The
+    totals over sources come from the small per-source table.
+    """
+    log = F.col("removed.category")
+
+    def row(category, entries):
+        return F.struct(category.alias("category"), category.isNull().cast("int").alias("is_total"), entries.cast("bigint").alias("entries"))
+
+    per_category = F.transform(F.array_distinct(log), lambda c: row(c, F.size(F.filter(log, lambda x: x == c))))
+    rows = F.concat(per_category, F.array(row(F.lit(None).cast("string"), F.size(log))))
+    exploded = cleaned.where(F.size("removed") > 0).select("source", F.inline(rows))
+    sums = [F.sum("entries").alias("entries"), F.sum("docs").alias("docs")]
+    by_source = exploded.withColumn("docs", F.lit(1).cast("bigint")).groupBy("source", "category", "is_total").agg(*sums)
+    overall = by_source.groupBy("category", "is_total").agg(*sums).select(F.lit(None).cast("string").alias("source"), "*")
+    return by_source.select("source", "category", F.col("is_total").alias("level"), "entries", "docs").unionByName(
+        overall.select("source", "category", (F.col("is_total") + 2).alias("level"), "entries", "docs")
     )
 
 
@@ -182,16 +194,20 @@ def python_clean(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def parity_diff(native: DataFrame, python: DataFrame) -> DataFrame:
-    """Rows present in one cleaner output and not the other, both ways."""
-    cols = ["evidence_id", "cleaned_text", "removed_items"]
-    a, b = native.select(*cols), python.select(*cols)
-    tagged = (
-        a.exceptAll(b).select(F.lit("native").alias("side"))
-        .unionByName(b.exceptAll(a).select(F.lit("python").alias("side")))
-        .unionByName(a.select(F.lit("row").alias("side")))
-    )
-    return tagged.agg(
-        _n(F.col("side") == "native").alias("native_only"),
-        _n(F.col("side") == "python").alias("python_only"),
-        _n(F.col("side") == "row").alias("rows"),
+    """Rows present in one cleaner output and not the other, both ways.
+
+    Each side becomes one digest a row; equal rows meet in a partial aggregate
+    on (evidence_id, digest), so no text is shuffled and either side runs once.
+    """
+    digest = F.sha2(F.to_json(F.struct("cleaned_text", "removed_items")), 256)
+
+    def side(df, n, p):
+        return df.select("evidence_id", digest.alias("digest"), F.lit(n).alias("n"), F.lit(p).alias("p"))
+
+    met = side(native, 1, 0).unionByName(side(python, 0, 1)).groupBy("evidence_id", "digest").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return met.agg(
+        total(F.greatest(F.col("n") - F.col("p"), F.lit(0))).alias("native_only"),
+        total(F.greatest(F.col("p") - F.col("n"), F.lit(0))).alias("python_only"),
+        total(F.col("n")).alias("rows"),
     )

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unveil.functions.cleaner import is_conclusive
-from unveil.operators import consensus as K
 from unveil.operators import evaluation as E
 from unveil.operators.planting import planted
 from unveil.plans.common import blen, planted_cleaned, sha
 from unveil.plans.ledger_queries import PANEL_SQL
+from unveil.plans.standins import synthetic_panel
 from unveil.plans.pipeline_queries import planted_verdicts
 from unveil.plans.registry import register
 from unveil.plans.sqltext import pipeline_with, planted_clean_with, q
@@ -80,8 +80,7 @@ FROM panel p LEFT JOIN verdict v ON p.evidence_id = v.evidence_id
 WHERE p.status = 'success' GROUP BY p.judge_id""",
 )
 def e7_judge_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = planted_verdicts(spark, sf_dir)
-    return E.judge_reliability(K.synthetic_panel(v), v.select("evidence_id", "conclusive"))
+    return E.judge_reliability(synthetic_panel(planted_verdicts(spark, sf_dir)))
 
 
 @register(
@@ -93,7 +92,7 @@ FROM (SELECT evidence_id, source, unnest(removed).category AS category FROM clea
 GROUP BY CUBE (source, category)""",
 )
 def e8_removal_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.removal_census(planted_cleaned(spark, sf_dir))
+    return E.removal_census(planted_cleaned(spark, sf_dir, render=False))
 
 
 @register(
@@ -104,7 +103,7 @@ FROM (SELECT unnest(removed).category AS category FROM cleaned)
 GROUP BY category ORDER BY entries DESC, category LIMIT 3""",
 )
 def e8_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.top_categories(planted_cleaned(spark, sf_dir), 3)
+    return E.top_categories(planted_cleaned(spark, sf_dir, render=False), 3)
 
 
 @register(
@@ -118,9 +117,12 @@ def s1_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("evidence_id", "origin", blen(F.col("text")).alias("text_len"), sha(F.col("text")).alias("text_hash"))
 
 
-@register("e6_parity_diff")
+@register(
+    "e6_parity_diff",
+    "SELECT CAST(0 AS BIGINT) AS native_only, CAST(0 AS BIGINT) AS python_only, CAST(count(*) AS BIGINT) AS rows FROM documents",
+)
 def e6_parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Native chain vs row-wise Python cleaner over the planted table (rows-only)."""
+    """Native chain vs the independent row-wise scanner over the planted table."""
     from unveil.plans.common import spread
 
     src = spread(planted(spark, sf_dir), "evidence_id")
@@ -135,4 +137,4 @@ def e6_parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
        CAST(count(*) AS BIGINT) AS docs FROM cleaned GROUP BY 1""",
 )
 def e8_categories_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.categories_per_document(planted_cleaned(spark, sf_dir))
+    return E.categories_per_document(planted_cleaned(spark, sf_dir, render=False))
