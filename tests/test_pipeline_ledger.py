@@ -2,13 +2,15 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from corpus_rows import CORPUS
 from unveil.operators import consensus as K
 from unveil.operators import ledger as L
-from unveil.operators.pipeline import prepare, prompt_table, screen, verdicts
+from unveil.operators.pipeline import prepare, prompt_table, replies_by_evidence, screen, verdicts
+from unveil.operators.responses import model_scorer, score_with, table_scorer
 
 
 def _evidence(spark, rows):
@@ -60,8 +62,42 @@ def test_reply_table_join_path(spark):
          ("a", "canary", "A summary."), ("b", "canary", "A summary.")],
         "evidence_id string, kind string, response string")
     v = {r.evidence_id: r for r in screen(ev, responses=replies).collect()}
-    assert v["a"].category == "hidden_instruction"
-    assert (v["b"].injection_detected, v["b"].category) == (True, "unspecified")  # missing reply fails closed
+    assert v["a"].category == "hidden_instruction" and v["a"].reply_state == "complete"
+    b = v["b"]  # a reply that has not arrived is no verdict
+    assert (b.injection_detected, b.category, b.judge_reliable, b.reply_state) == (None, None, None, "missing_detection")
+
+
+def test_repeated_replies_fail_closed(spark):
+    ev = _evidence(spark, [("a", "An ordinary invoice."), ("b", "Another one."), ("c", CORPUS[2][1])])
+    word = {r.evidence_id: r.canary_word for r in prepare(ev).collect()}
+    clean = '{"injection_detected": false, "category": "none"}'
+    replies = spark.createDataFrame(
+        [("a", "detection", clean), ("a", "canary", "zzz harmless"), ("a", "canary", f"XG-{word['a']} as asked"),
+         ("b", "detection", clean), ("b", "detection", "not json"), ("b", "canary", None)],
+        "evidence_id string, kind string, response string")
+    v = {r.evidence_id: r for r in screen(ev, responses=replies).collect()}
+    assert (v["a"].canary_tripped, v["a"].judge_reliable, v["a"].category) == (True, False, "judge_unreliable")
+    assert (v["b"].injection_detected, v["b"].category, v["b"].judge_reliable) == (True, "unspecified", True)
+    assert v["c"].injection_detected and v["c"].category == "hidden_content_removed" and v["c"].judge_reliable is None
+
+
+def test_real_scorers_reach_every_entry_point(spark, tmp_path):
+    ev = _evidence(spark, [("a", "An ordinary invoice."), ("b", "Another one.")])
+
+    def model(pdf):
+        says = '{"injection_detected": true, "category": "base64"}'
+        return pdf["kind"].map(lambda k: says if k == "detection" else "A summary.")
+
+    inline = {r.evidence_id: r.category for r in screen(ev, scorer=model_scorer(model)).collect()}
+    folded = replies_by_evidence(score_with(prompt_table(prepare(ev)), model))
+    table = {r.evidence_id: r.category for r in screen(ev, scorer=table_scorer(folded)).collect()}
+    assert inline == table == {"a": "encoded_payload", "b": "encoded_payload"}
+    part = replies_by_evidence(score_with(prompt_table(prepare(ev)), model).where("evidence_id = 'a'"))
+    led, out = str(tmp_path / "ledger"), str(tmp_path / "outcome")
+    got = {r.evidence_id: r.status for r in L.screen_and_record(ev, led, out, 0, table_scorer(part)).collect()}
+    assert got == {"a": "recorded", "b": "unscored"} and L.read_ledger(spark, led).count() == 1
+    later = {r.evidence_id: r.status for r in L.screen_and_record(ev, led, out, 1, table_scorer(folded)).collect()}
+    assert later == {"a": "rejected", "b": "recorded"}
 
 
 def test_panel(spark):
@@ -78,8 +114,10 @@ def test_panel(spark):
        "category string, canary_leaked boolean")
     votes = {r.evidence_id: r.agree for r in K.validator_votes(panel).collect()}
     assert votes == {"agree": True, "none_label": False, "no_leader": False, "canary": False}
-    acc = {r.evidence_id: r.accepted for r in K.panel_acceptance(K.validator_votes(panel)).collect()}
+    acc = {r.evidence_id: r.accepted for r in K.panel_acceptance(panel).collect()}
     assert acc["agree"] and not acc["canary"]
+    alone = K.panel_acceptance(panel.where("mode = 'leader'")).collect()
+    assert len(alone) == 4 and not any(r.n_validators or r.accepted for r in alone)
 
 
 def test_ledger_cases(spark, tmp_path):
@@ -93,18 +131,60 @@ def test_ledger_cases(spark, tmp_path):
     r1 = {r.evidence_id: r.status for r in L.screen_and_record(b1, led, out, 1, score).collect()}
     assert r1 == {"y": "rejected", "z": "recorded"}
     assert L.read_ledger(spark, led).count() == 3
-    # replay batch 1: rewrites its own partition, adds nothing
-    L.screen_and_record(b1, led, out, 1, score)
+    # replay batch 1: gives back what is stored, adds nothing
+    r2 = {r.evidence_id: r.status for r in L.screen_and_record(b1, led, out, 1, score).collect()}
+    assert r2 == r1
+    # other submissions under a used number change nothing
+    with pytest.raises(L.BatchConflict):
+        L.screen_and_record(_evidence(spark, [("w", "other")]), led, out, 1, score)
     assert sorted(r.evidence_id for r in L.read_ledger(spark, led).collect()) == ["x", "y", "z"]
     req = spark.createDataFrame([("x",), ("missing",)], "evidence_id string")
     got = {r.evidence_id: r for r in L.get_records(spark, led, req).collect()}
     assert got["x"].found and got["x"].submitted_by == "sender" and not got["missing"].found
-    import pytest
-
+    plan = L.get_records(spark, led, req)._jdf.queryExecution().toString()
+    assert "id_bucket" in plan[plan.index("PartitionFilters"):]
+    kept = sorted(map(str, L.read_ledger(spark, led).collect()))
+    assert sorted(map(str, L.compact(spark, led, str(tmp_path / "compact")).collect())) == kept
     with pytest.raises(L.RecordNotFound):
         L.get_records(spark, led, req, strict=True)
 
 
+def test_ledger_odd_submissions(spark, tmp_path):
+    led, out, score = str(tmp_path / "ledger"), str(tmp_path / "outcome"), _scorer(False, False)
+    b = _evidence(spark, [("d", "text d"), (None, "no id"), ("e", "text e")])
+    twice = b.unionByName(b.where("evidence_id = 'd'"))
+    r = {(x.evidence_id, x.sub_id): x for x in L.screen_and_record(twice, led, out, 0, score, "job-1").collect()}
+    assert len(r) == 3 and r[("d", 0)].status == "recorded" and r[("e", 2)].status == "recorded"
+    assert (r[(None, 1)].status, r[(None, 1)].message) == ("rejected", "Evidence id is missing")
+    assert sorted(x.evidence_id for x in L.read_ledger(spark, led).collect()) == ["d", "e"]
+    # another writer uses the same number
+    other = _evidence(spark, [("f", "text f"), ("d", "again")])
+    r = {x.evidence_id: x.status for x in L.screen_and_record(other, led, out, 0, score, "job-2").collect()}
+    assert r == {"f": "recorded", "d": "rejected"} and L.read_ledger(spark, led).count() == 3
+
+
+def test_the_text_is_scanned_once(spark, tmp_path, monkeypatch):
+    src = str(tmp_path / "subs")
+    _evidence(spark, [("x", "first x"), ("y", "first y"), ("x", "second x")]).write.parquet(src)
+    plans = []
+    publish = L._publish
+    monkeypatch.setattr(L, "_publish", lambda rows, *a: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), publish(rows, *a)))
+    L.screen_and_record(spark.read.parquet(src), str(tmp_path / "l"), str(tmp_path / "o"), 0, _scorer(False, False))
+    scans = [line for line in plans[0].split("\n") if "FileScan" in line and src in line]
+    assert len(scans) == 1 and "text" in scans[0]
+
+
+def test_shared_folder_is_needed_off_a_local_master(spark, monkeypatch):
+    from unveil import session
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Far)
+
+
 def test_flagship_entry(spark):
     import __spark_entry__ as entry
 

@@ -5,7 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from unveil.operators import ledger as L
-from unveil.operators.responses import stub_scorer
+from unveil.operators.pipeline import replies_by_evidence
+from unveil.plans.standins import stub_scorer
 from unveil.streaming.screening import (
     read_evidence_stream,
     screen_stream,
@@ -48,11 +49,17 @@ def test_ledger_stream_and_replay(spark, tmp_path):
     assert ids == ["a", "b", "c"]
     outcome = spark.read.parquet(out)
     assert outcome.where(F.col("status") == "rejected").count() == 2
-    # a replayed micro-batch rewrites itself instead of rejecting itself
-    last = outcome.agg(F.max("batch_id")).first()[0]
+    # a replayed micro-batch gets back what it stored
+    last, writer = outcome.orderBy(F.desc("batch_id")).select("batch_id", "writer").first()
     batch = spark.read.parquet(os.path.join(src, f"part={last}"))
-    L.screen_and_record(batch, led, out, int(last), stub_scorer())
+    L.screen_and_record(batch, led, out, int(last), stub_scorer(), writer)
     assert sorted(r.evidence_id for r in L.read_ledger(spark, led).collect()) == ["a", "b", "c"]
+    # a fresh checkpoint is another writer: epoch 0 again, and no record is lost
+    before = {r.evidence_id: r.evidence_hash for r in L.read_ledger(spark, led).collect()}
+    q = start_ledger_stream(read_evidence_stream(spark, src + "/*", max_files=1), led, out, stub_scorer(), checkpoint=str(tmp_path / "ck4"))
+    q.awaitTermination(180)
+    assert {r.evidence_id: r.evidence_hash for r in L.read_ledger(spark, led).collect()} == before
+    assert spark.read.parquet(out).select("writer").distinct().count() == 2
 
 
 def test_screen_stream_with_static_replies(spark, tmp_path):
@@ -64,7 +71,8 @@ def test_screen_stream_with_static_replies(spark, tmp_path):
          ("b", "canary", "Summary.")],
         "evidence_id string, kind string, response string")
     stream = read_evidence_stream(spark, src + "/*")
-    q = (screen_stream(stream, responses=replies).writeStream.format("memory").queryName("st1_static")
+    folded = replies_by_evidence(replies)
+    q = (screen_stream(stream, folded=folded).writeStream.format("memory").queryName("st1_static")
          .option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start())
     q.awaitTermination(120)
     got = {}
@@ -72,4 +80,4 @@ def test_screen_stream_with_static_replies(spark, tmp_path):
         got.setdefault(r.evidence_id, set()).add(r.category)
     assert got["a"] == {"none"}
     assert got["b"] == {"fake_role"}
-    assert got["c"] == {"unspecified"}  # no reply -> malformed -> unspecified
+    assert got["c"] == {None}  # its replies have not arrived: no verdict yet

@@ -11,38 +11,6 @@ from pyspark.sql import functions as F
 
 from unveil.functions.judge import category_is_wellformed
 
-FLIP_DETECT_EVERY = 7  # validator/leader detection bit flipped where (key + judge) % 7 = 0
-FLIP_LEAK_EVERY = 11  # canary bit flipped where (key + 2 * judge) % 11 = 0
-LEADER_MISSING_EVERY = 41  # leader returned nothing where key % 41 = 0
-PANEL_SIZE = 5  # leader + 4 validators
-
-
-def synthetic_panel(scored: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Deterministic panel from per-document model results (test scaffolding).
-
-    scored needs evidence_id, key_col, model_detected, model_category,
-    canary_leaked. Judge 0 leads; bits flip by key arithmetic.
-    """
-    key = F.col(key_col)
-    d = scored.select(
-        "evidence_id", key.alias("_key"), "model_detected", "model_category", "canary_leaked",
-        F.explode(F.sequence(F.lit(0), F.lit(PANEL_SIZE - 1))).alias("judge_id"),
-    )
-    j = F.col("judge_id")
-    k = F.col("_key")
-    missing = (j == 0) & (k % LEADER_MISSING_EVERY == 0)
-    det = F.when((k + j) % FLIP_DETECT_EVERY == 0, ~F.col("model_detected")).otherwise(F.col("model_detected"))
-    leak = F.when((k + 2 * j) % FLIP_LEAK_EVERY == 0, ~F.col("canary_leaked")).otherwise(F.col("canary_leaked"))
-    return d.select(
-        "evidence_id",
-        j.cast("int").alias("judge_id"),
-        F.when(j == 0, F.lit("leader")).otherwise(F.lit("validator")).alias("mode"),
-        F.when(missing, F.lit("error")).otherwise(F.lit("success")).alias("status"),
-        F.when(~missing, det).alias("injection_detected"),
-        F.when(~missing, F.col("model_category")).alias("category"),
-        F.when(~missing, leak).alias("canary_leaked"),
-    )
-
 
 def validator_votes(panel: DataFrame) -> DataFrame:
     """P5: each validator's vote on its leader.
@@ -71,14 +39,17 @@ def validator_votes(panel: DataFrame) -> DataFrame:
     return j.select("evidence_id", "judge_id", F.coalesce(agree, F.lit(False)).alias("agree"))
 
 
-def panel_acceptance(votes: DataFrame, threshold: float = 0.5) -> DataFrame:
+def panel_acceptance(panel: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Accepted when agreeing validators exceed ``threshold`` of the panel.
 
     The threshold is not fixed by the screened system (its runtime decides);
-    the default is a strict majority. Partial aggregation per task first.
+    the default is a strict majority. An id without a validator stays, with
+    no votes and not accepted. Partial aggregation per task first.
     """
-    g = votes.groupBy("evidence_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_validators"),
+    votes = validator_votes(panel).select("evidence_id", "agree")
+    every = votes.unionByName(panel.where(F.col("mode") != "validator").select("evidence_id", F.lit(None).cast("boolean").alias("agree")))
+    g = every.groupBy("evidence_id").agg(
+        F.count("agree").cast("bigint").alias("n_validators"),
         F.count_if("agree").cast("bigint").alias("n_agree"),
     )
     return g.select("*", (F.col("n_agree") > F.col("n_validators") * F.lit(threshold)).alias("accepted"))

@@ -1,11 +1,14 @@
 """Write-once verdict ledger.
 
-Layout: parquet under ``ledger_path`` partitioned by ``batch_id``; rows of a
-batch are sorted by evidence_id so parquet min/max statistics let point
-lookups skip row groups. Each batch is written with dynamic partition
-overwrite: a replayed batch rewrites exactly its own partition, and the
-membership test ignores that partition, so replays are idempotent. Spark's
-commit protocol stages files and publishes them at job commit.
+Layout: Parquet under ``ledger_path``, partitioned by ``writer``, ``batch_id``
+and ``id_bucket`` (a hash of the id). A batch is named by its writer (a job or
+a stream's checkpoint) and its number, so writers never touch each other's
+partitions. A batch decides on key columns alone, writes that decision to the
+shared folder, reads the texts of the winners once, and publishes. Replaying a
+batch with the submissions it had gives back what is stored; other submissions
+under a used number are refused. Lookups carry the bucket of the ids they ask
+for, which prunes partitions. Spark's commit protocol stages files and
+publishes them at job commit.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from unveil.functions import fixed
-from unveil.operators.layout import spread
 from unveil.operators.pipeline import prepare, verdicts
+from unveil.session import work_path
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -29,78 +32,93 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("evidence_hash", T.StringType()),
         T.StructField("removed_items", T.ArrayType(T.StringType())),
         T.StructField("submitted_by", T.StringType()),
+        T.StructField("writer", T.StringType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("id_bucket", T.IntegerType()),
     ]
 )
-RECORD_FIELDS = [f.name for f in LEDGER_SCHEMA.fields if f.name != "batch_id"]
+PARTITIONS = ("writer", "batch_id", "id_bucket")
+RECORD_FIELDS = [f.name for f in LEDGER_SCHEMA.fields if f.name not in PARTITIONS]
+BUCKETS = 16
 
 
-def ledger_rows(verdict: DataFrame, batch_id: int) -> DataFrame:
+class BatchConflict(ValueError):
+    """A used batch number came back with other submissions."""
+
+
+def id_bucket(evidence_id: F.Column) -> F.Column:
+    """The ledger partition of an id."""
+    return F.conv(F.substring(F.sha2(evidence_id, 256), 1, 1), 16, 10).cast("int")
+
+
+def ledger_rows(verdict: DataFrame, batch_id: int, writer: str = "batch") -> DataFrame:
     """L1: verdict + hash + removals + submitter, fixed schema."""
+    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields if f.name in RECORD_FIELDS]
     return verdict.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields if f.name != "batch_id"],
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
+        *fields, F.lit(writer).alias("writer"), F.lit(batch_id).cast("bigint").alias("batch_id"), id_bucket(F.col("evidence_id")).alias("id_bucket")
     )
 
 
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    except Exception as e:  # noqa: BLE001 -- no batch written yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], LEDGER_SCHEMA)
-        raise
+    return _read(spark, ledger_path, LEDGER_SCHEMA)
 
 
-def already_screened_message(evidence_id) -> F.Column:
+def reject_message(evidence_id: F.Column) -> F.Column:
     head, tail = fixed.template_parts(fixed.LEDGER_MESSAGE, "evidence_id")
-    return F.concat(F.lit(head), evidence_id, F.lit(tail))
+    return F.when(evidence_id.isNull(), F.lit("Evidence id is missing")).otherwise(F.concat(F.lit(head), evidence_id, F.lit(tail)))
 
 
-def first_submissions(subs: DataFrame) -> DataFrame:
-    """(evidence_id, sub_id) of the first submission per id (by arrival, then sub_id).
+def ids_in_ledger(spark: SparkSession, ledger_path: str, ids: DataFrame, writer: str, batch_id: int) -> DataFrame:
+    """The subset of ``ids`` (evidence_id) that other batches have stored.
 
-    Runs on the three key columns only. The winner comes from a partial
-    aggregate (min of a struct), so a hot id is reduced map-side before the
-    shuffle and never gathered into one task.
+    A left-semi join on bucket and id whose build side is the (usually small)
+    id list; the batch's own partition is pruned. Stored ids are unique.
     """
-    w = subs.select("evidence_id", "sub_id", "arrival").groupBy("evidence_id").agg(
-        F.min(F.struct("arrival", "sub_id")).alias("_w")
-    )
-    return w.select("evidence_id", F.col("_w.sub_id").alias("sub_id"))
+    led = read_ledger(spark, ledger_path).where(~((F.col("writer") == writer) & (F.col("batch_id") == batch_id)))
+    keyed = ids.select("evidence_id", id_bucket(F.col("evidence_id")).alias("id_bucket"))
+    return led.select("evidence_id", "id_bucket").join(keyed, ["id_bucket", "evidence_id"], "left_semi").select("evidence_id")
 
 
-def ids_in_ledger(spark: SparkSession, ledger_path: str, ids: DataFrame, exclude_batch: int | None = None) -> DataFrame:
-    """The subset of ``ids`` (evidence_id) already stored.
+def classify_submissions(spark: SparkSession, subs: DataFrame, ledger_path: str, batch_id: int, writer: str = "batch") -> DataFrame:
+    """(evidence_id, sub_id, state), one row for each pair in ``subs``; reads no text.
 
-    A left-semi join whose build side is the (usually small) id list: AQE can
-    broadcast it from runtime statistics and stream the ledger's evidence_id
-    column without shuffling it; past the threshold it falls back to a
-    shuffle join. Partition pruning drops the excluded batch.
+    state: fresh (first of a new id, by arrival, then sub_id), stale (first of
+    a stored id), duplicate, or null_id. Both aggregates are partial, so a hot
+    id is reduced before the shuffle.
     """
-    led = read_ledger(spark, ledger_path)
-    if exclude_batch is not None:
-        led = led.where(F.col("batch_id") != exclude_batch)
-    return led.select("evidence_id").join(ids.select("evidence_id"), "evidence_id", "left_semi").distinct()
-
+    pairs = subs.groupBy("evidence_id", "sub_id").agg(F.min("arrival").alias("arrival"))
+    firsts = pairs.where(F.col("evidence_id").isNotNull()).groupBy("evidence_id").agg(F.min(F.struct("arrival", "sub_id")).alias("_w"))
+    known = ids_in_ledger(spark, ledger_path, firsts, writer, batch_id).select("evidence_id", F.lit(True).alias("_known"))
+    tagged = firsts.join(known, "evidence_id", "left")
+    j = pairs.join(tagged, "evidence_id", "left")
+    state = (
+        F.when(F.col("evidence_id").isNull(), F.lit("null_id"))
+        .when(~F.col("sub_id").eqNullSafe(F.col("_w.sub_id")), F.lit("duplicate"))
+        .when(F.col("_known"), F.lit("stale")).otherwise(F.lit("fresh"))
+    )
+    return j.select("evidence_id", "sub_id", state.alias("state"))
+
+
+OUTCOME_SCHEMA = T.StructType(
+    [
+        T.StructField("evidence_id", T.StringType()),
+        T.StructField("sub_id", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("message", T.StringType()),
+        *[f for f in LEDGER_SCHEMA.fields if f.name in RECORD_FIELDS and f.name != "evidence_id"],
+        T.StructField("writer", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
 
-def classify_submissions(spark: SparkSession, subs: DataFrame, ledger_path: str, batch_id: int) -> DataFrame:
-    """subs + ``state``: fresh (first and unseen), stale (first, already stored), duplicate.
 
-    Winners and membership are decided on key columns; the text side is
-    shuffled once, by (evidence_id, sub_id), which also spreads a hot id.
-    """
-    firsts = first_submissions(subs)
-    known = ids_in_ledger(spark, ledger_path, firsts, exclude_batch=batch_id).select(
-        "evidence_id", F.lit(True).alias("_known")
-    )
-    tagged = firsts.join(known, "evidence_id", "left").select(
-        "evidence_id", "sub_id",
-        F.when(F.col("_known"), F.lit("stale")).otherwise(F.lit("fresh")).alias("_state"),
-    )
-    return subs.join(tagged, ["evidence_id", "sub_id"], "left").select(
-        "*", F.coalesce(F.col("_state"), F.lit("duplicate")).alias("state")
-    ).drop("_state")
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # noqa: BLE001 -- nothing written yet
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def screen_and_record(
@@ -109,50 +127,67 @@ def screen_and_record(
     outcome_path: str,
     batch_id: int,
     scorer,
+    writer: str = "batch",
 ) -> DataFrame:
     """L2 + S2 for one batch; returns the batch outcome read back from storage.
 
     subs needs evidence_id, sub_id, arrival, text, sender, scope, chain_id
-    (+ whatever ``scorer`` reads). Duplicates inside the batch and ids
-    already in the ledger are rejected *before* scoring.
+    (+ whatever ``scorer`` reads). One row is kept for each (evidence_id,
+    sub_id); of repeated rows any one text is taken. Duplicates, ids already
+    in the ledger and null ids are rejected before scoring. A winner whose
+    model replies have not arrived has status ``unscored`` and no record, so a
+    later batch may submit it again. A batch number that was used raises
+    ``BatchConflict`` when the submissions differ, and otherwise gives back
+    the stored outcome.
     """
     spark = subs.sparkSession
-    subs = spread(subs, "evidence_id", "sub_id")
-    marked = classify_submissions(spark, subs, ledger_path, batch_id)
-    fresh = marked.where(F.col("state") == "fresh").drop("state")
-    rejects = marked.where(F.col("state") != "fresh")
-
-    v = verdicts(scorer(prepare(fresh))).withColumn("submitted_by", F.col("sender"))
-    outcome_cols = ["batch_id", "evidence_id", "sub_id", "status", "message"]
-    recorded = v.select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), "evidence_id", "sub_id",
-        F.lit("recorded").alias("status"), F.lit(None).cast("string").alias("message"),
-        *[F.col(c).cast(LEDGER_SCHEMA[c].dataType).alias(c) for c in RECORD_FIELDS if c != "evidence_id"],
-    )
-    rejected = rejects.select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), "evidence_id", "sub_id",
-        F.lit("rejected").alias("status"), already_screened_message(F.col("evidence_id")).alias("message"),
-        *[F.lit(None).cast(LEDGER_SCHEMA[c].dataType).alias(c) for c in RECORD_FIELDS if c != "evidence_id"],
-    )
-    # 1) the batch outcome (verdicts included) is written and read back ...
-    (
-        recorded.unionByName(rejected)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(outcome_path)
-    )
-    out = spark.read.parquet(outcome_path).where(F.col("batch_id") == batch_id)
-    # 2) ... then the ledger partition is published from it, never re-scored.
-    (
-        ledger_rows(out.where(F.col("status") == "recorded"), batch_id)
-        .sortWithinPartitions("evidence_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(ledger_path)
-    )
-    return out.select(*outcome_cols, "category", "evidence_hash")
+    mine = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+    before = _read(spark, outcome_path, OUTCOME_SCHEMA).where(mine)
+    state_path = work_path(spark, "batch-state")
+    if before.head(1):
+        keys = ["evidence_id", "sub_id"]
+        old, new = before.select(*keys), subs.select(*keys).distinct()
+        if old.exceptAll(new).unionByName(new.exceptAll(old)).head(1):
+            raise BatchConflict(f"batch {batch_id} of writer {writer!r} is stored with other submissions")
+    else:
+        classify_submissions(spark, subs, ledger_path, batch_id, writer).write.parquet(state_path)
+        states = spark.read.parquet(state_path)
+        fresh = states.where("state = 'fresh'").select("evidence_id", "sub_id")
+        same = F.col("s.evidence_id").eqNullSafe(F.col("f.evidence_id")) & F.col("s.sub_id").eqNullSafe(F.col("f.sub_id"))
+        texts = subs.alias("s").join(fresh.alias("f"), same, "left_semi").dropDuplicates(["evidence_id", "sub_id"])
+        v = verdicts(scorer(prepare(texts))).withColumn("submitted_by", F.col("sender"))
+        scored = F.col("reply_state") == "complete"
+        recorded = v.select(
+            "evidence_id", "sub_id",
+            F.when(scored, F.lit("recorded")).otherwise(F.lit("unscored")).alias("status"),
+            F.when(~scored, F.concat(F.lit("replies: "), F.col("reply_state"))).alias("message"),
+            *[F.when(scored, F.col(c)).cast(LEDGER_SCHEMA[c].dataType).alias(c) for c in RECORD_FIELDS if c != "evidence_id"],
+        )
+        rejected = states.where("state != 'fresh'").select(
+            "evidence_id", "sub_id", F.lit("rejected").alias("status"), reject_message(F.col("evidence_id")).alias("message"),
+            *[F.lit(None).cast(LEDGER_SCHEMA[c].dataType).alias(c) for c in RECORD_FIELDS if c != "evidence_id"],
+        )
+        named = recorded.unionByName(rejected).select("*", F.lit(writer).alias("writer"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        _publish(named, outcome_path, ["writer", "batch_id"])
+    out = _read(spark, outcome_path, OUTCOME_SCHEMA).where(mine)
+    decided = out.where("status = 'recorded'")
+    # a batch lost before or during the second write is finished here, from what was decided
+    if read_ledger(spark, ledger_path).where(mine).count() != decided.count():
+        _publish(ledger_rows(decided, batch_id, writer), ledger_path, list(PARTITIONS))
+    return out.select("batch_id", "evidence_id", "sub_id", "status", "message", "category", "evidence_hash")
+
+
+def _publish(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Writes the partitions that ``rows`` names, and no other."""
+    rows.sortWithinPartitions(*by, "evidence_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def compact(spark: SparkSession, ledger_path: str, target_path: str, files: int = 1) -> DataFrame:
+    """The ledger rewritten with ``files`` files a bucket into a new path; small epochs stop adding up."""
+    led = read_ledger(spark, ledger_path)
+    salted = led.repartition(BUCKETS * files, "id_bucket", F.pmod(F.xxhash64("evidence_id"), F.lit(files)))
+    salted.sortWithinPartitions(*PARTITIONS, "evidence_id").write.partitionBy(*PARTITIONS).parquet(target_path)
+    return read_ledger(spark, target_path)
 
 
 class RecordNotFound(KeyError):
@@ -162,17 +197,17 @@ class RecordNotFound(KeyError):
 def get_records(spark: SparkSession, ledger_path: str, requests: DataFrame, strict: bool = False) -> DataFrame:
     """L3/S3: bulk keyed lookup; every request comes back with ``found``.
 
-    The ledger is first semi-joined with the request ids (broadcastable build
-    side, ledger streamed), so only matching records take part in the final
-    left join with the requests.
+    The buckets of the requests (``BUCKETS`` numbers at most) become a
+    partition filter of the ledger scan; the join then runs on bucket and id.
+    With ``strict`` a missing id raises, as a single keyed get does.
     """
-    ids = requests.select("evidence_id")
-    led = read_ledger(spark, ledger_path).select(*RECORD_FIELDS)
-    hits = led.join(ids.distinct(), "evidence_id", "left_semi")
-    j = requests.join(hits, "evidence_id", "left")
-    out = j.select("*", F.col("evidence_hash").isNotNull().alias("found"))
-    if strict:  # a missing key is an error, as for a single keyed get
-        miss = out.where(~F.col("found")).select("evidence_id").limit(1).collect()
+    asked = requests.select("*", id_bucket(F.col("evidence_id")).alias("id_bucket"))
+    buckets = [r.id_bucket for r in asked.select("id_bucket").where("id_bucket is not null").distinct().collect()]
+    led = read_ledger(spark, ledger_path).where(F.col("id_bucket").isin(buckets)).select(*RECORD_FIELDS, "id_bucket")
+    out = asked.join(led, ["id_bucket", "evidence_id"], "left").select(*requests.columns, *[c for c in RECORD_FIELDS if c != "evidence_id"])
+    out = out.select("*", F.col("evidence_hash").isNotNull().alias("found"))
+    if strict:
+        miss = out.where(~F.col("found")).select("evidence_id").head(1)
         if miss:
             raise RecordNotFound(miss[0].evidence_id)
     return out

@@ -1,10 +1,7 @@
-"""Model replies for the prompt table (P2 inputs).
+"""Model replies: hooks that plug a scorer or a reply table into the pipeline.
 
-``stub_responses`` is the deterministic stand-in used by tests and driver
-queries: a pure function of a numeric key and of the canary word carried in
-the canary prompt (no model, no network). ``score_with`` is the hook for a
-real scorer: a Python callable applied to Arrow batches of prompts inside
-the executors via ``mapInPandas``.
+A *scorer* is a function prepared -> prepared with reply columns. It can be
+passed to ``screen``, ``screen_and_record`` and both streams.
 """
 
 from __future__ import annotations
@@ -12,98 +9,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from unveil.operators.planting import sql_str
-
-# Detection replies chosen by key % len(DETECTION_REPLIES).
-DETECTION_REPLIES = (
-    '{"injection_detected": false, "category": "none", "reasoning": "ordinary evidence"}',
-    '{"injection_detected": true, "category": "hidden_instruction"}',
-    '{"injection_detected": true, "category": "Prompt Injection!!"}',
-    '```json\n{"injection_detected": true, "category": "fake_role"}\n```',
-    '```\n{"injection_detected": false, "category": "none"}\n```',
-    "I refuse to answer in JSON today.",
-    '{"injection_detected": false} trailing',
-    '{"category": "none"}',
-    '{"injection_detected": "false"}',
-    '{"injection_detected": null}',
-    '{"injection_detected": true, "category": "spooky vibes"}',
-    "",
-    '{"injection_detected": true, "category": ["base64"]}',
-)
-LEAK_EVERY = 5  # the canary reply repeats the word where key % 5 = 0
-WORD_PATTERN = r"reply only with the exact text (XG-[A-Z0-9]{10})"
-LEAK_REPLY = "Sure, here it is: "
-SAFE_REPLY = "A short summary of the document."
-
-
-def detection_reply(key: Column) -> Column:
-    k = key % len(DETECTION_REPLIES)
-    out = None
-    for i, r in enumerate(DETECTION_REPLIES):
-        out = (F.when if out is None else out.when)(k == i, F.lit(r))
-    return out
-
-
-def canary_reply(key: Column, prompt: Column) -> Column:
-    word = F.regexp_extract(prompt, WORD_PATTERN, 1)
-    return F.when(key % LEAK_EVERY == 0, F.concat(F.lit(LEAK_REPLY), word)).otherwise(F.lit(SAFE_REPLY))
-
-
-def stub_responses(prompts: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """prompts(evidence_id, kind, prompt, key) -> (evidence_id, kind, response)."""
-    key = F.col(key_col)
-    return prompts.select(
-        "evidence_id",
-        "kind",
-        F.when(F.col("kind") == "detection", detection_reply(key))
-        .otherwise(canary_reply(key, F.col("prompt")))
-        .alias("response"),
-    )
-
-
-def stub_scorer(key_col: str = "doc_id"):
-    """The stub as an in-place scorer over prepared rows (P2 (b), no shuffle)."""
-
-    def score(prepared: DataFrame) -> DataFrame:
-        key = F.col(key_col)
-        return prepared.select(
-            "*",
-            detection_reply(key).alias("detection_response"),
-            canary_reply(key, F.col("canary_prompt")).alias("canary_response"),
-        )
-
-    return score
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from unveil.operators.pipeline import attach_replies
+from unveil.session import ship_package
 
-def stub_responses_sql(prompts: str, key_col: str = "doc_id") -> str:
-    n = len(DETECTION_REPLIES)
-    cases = " ".join(f"WHEN {i} THEN {sql_str(r)}" for i, r in enumerate(DETECTION_REPLIES))
-    return f"""SELECT evidence_id, kind,
-       CASE WHEN kind = 'detection' THEN CASE {key_col} % {n} {cases} END
-            WHEN {key_col} % {LEAK_EVERY} = 0
-              THEN {sql_str(LEAK_REPLY)} || regexp_extract(prompt, {sql_str(WORD_PATTERN)}, 1)
-            ELSE {sql_str(SAFE_REPLY)} END AS response
-FROM {prompts}"""
+Model = Callable[[pd.DataFrame], pd.Series]
 
 
-def score_with(prompts: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Apply ``scorer`` (prompt batch -> reply Series) per Arrow batch.
+def score_with(prompts: DataFrame, model: Model) -> DataFrame:
+    """The reply table (evidence_id, kind, response) that ``model`` gives for a prompt table.
 
-    Runs where the prompts are (no shuffle); each executor calls the scorer on
-    batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` prompts.
+    ``model`` maps a batch of prompts to a Series of replies. It runs where
+    the prompts are, on Arrow batches of
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows.
     """
-
-    from unveil.session import ship_package
-
     ship_package(prompts.sparkSession)
 
     def run(batches):
         for pdf in batches:
             out = pdf[["evidence_id", "kind"]].copy()
-            out["response"] = scorer(pdf).astype(object).values
+            out["response"] = model(pdf).astype(object).values
             yield out
 
     return prompts.mapInPandas(run, "evidence_id string, kind string, response string")
+
+
+def model_scorer(model: Model) -> Callable[[DataFrame], DataFrame]:
+    """A scorer that asks ``model`` for both replies of each row in place, without a shuffle."""
+
+    def score(prepared: DataFrame) -> DataFrame:
+        ship_package(prepared.sparkSession)
+        names = prepared.columns
+        text = T.StringType()
+        schema = T.StructType([*prepared.schema.fields, T.StructField("detection_response", text), T.StructField("canary_response", text)])
+
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(names.index("evidence_id")).to_pylist()
+                replies = []
+                for kind in ("detection", "canary"):
+                    prompts = batch.column(names.index(f"{kind}_prompt")).to_pylist()
+                    asked = model(pd.DataFrame({"evidence_id": ids, "kind": kind, "prompt": prompts}))
+                    replies.append(pa.array([None if x is None else str(x) for x in asked], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *replies], [*names, "detection_response", "canary_response"])
+
+        return prepared.mapInArrow(run, schema)
+
+    return score
+
+
+def table_scorer(folded: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A scorer that reads a folded reply table (``replies_by_evidence``, written once)."""
+    return lambda prepared: attach_replies(prepared, folded)

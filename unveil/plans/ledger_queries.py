@@ -10,25 +10,26 @@ from pyspark.sql import functions as F
 from unveil.operators import consensus as K
 from unveil.operators import ledger as L
 from unveil.operators.planting import planted
-from unveil.operators.responses import stub_scorer
-from unveil.plans.common import SEP, bsize, sha, spread
+from unveil.plans import standins as X
+from unveil.plans.common import SEP, bsize, sha, stored
 from unveil.plans.pipeline_queries import planted_verdicts
 from unveil.plans.registry import register
+from unveil.plans.standins import stub_scorer
 from unveil.plans.sqltext import pipeline_with, wellformed_sql
 from unveil.session import work_path
 
 # ------------------------------------------------------------------ panel
 
 PANEL_SQL = f"""
-panel0 AS (SELECT evidence_id, doc_id, det, det_category, leaked, unnest(range({K.PANEL_SIZE})) AS j FROM verdict),
+panel0 AS (SELECT evidence_id, doc_id, det, det_category, leaked, unnest(range({X.PANEL_SIZE})) AS j FROM verdict),
 panel AS (SELECT evidence_id, CAST(j AS INTEGER) AS judge_id,
                  CASE WHEN j = 0 THEN 'leader' ELSE 'validator' END AS mode,
-                 CASE WHEN j = 0 AND doc_id % {K.LEADER_MISSING_EVERY} = 0 THEN 'error' ELSE 'success' END AS status,
-                 CASE WHEN j = 0 AND doc_id % {K.LEADER_MISSING_EVERY} = 0 THEN NULL
-                      WHEN (doc_id + j) % {K.FLIP_DETECT_EVERY} = 0 THEN NOT det ELSE det END AS injection_detected,
-                 CASE WHEN j = 0 AND doc_id % {K.LEADER_MISSING_EVERY} = 0 THEN NULL ELSE det_category END AS category,
-                 CASE WHEN j = 0 AND doc_id % {K.LEADER_MISSING_EVERY} = 0 THEN NULL
-                      WHEN (doc_id + 2 * j) % {K.FLIP_LEAK_EVERY} = 0 THEN NOT leaked ELSE leaked END AS canary_leaked
+                 CASE WHEN j = 0 AND doc_id % {X.LEADER_MISSING_EVERY} = 0 THEN 'error' ELSE 'success' END AS status,
+                 CASE WHEN j = 0 AND doc_id % {X.LEADER_MISSING_EVERY} = 0 THEN NULL
+                      WHEN (doc_id + j) % {X.FLIP_DETECT_EVERY} = 0 THEN NOT det ELSE det END AS injection_detected,
+                 CASE WHEN j = 0 AND doc_id % {X.LEADER_MISSING_EVERY} = 0 THEN NULL ELSE det_category END AS category,
+                 CASE WHEN j = 0 AND doc_id % {X.LEADER_MISSING_EVERY} = 0 THEN NULL
+                      WHEN (doc_id + 2 * j) % {X.FLIP_LEAK_EVERY} = 0 THEN NOT leaked ELSE leaked END AS canary_leaked
           FROM panel0),
 leaders AS (SELECT evidence_id, status AS l_status, injection_detected AS l_det, category AS l_cat,
                    canary_leaked AS l_leak FROM panel WHERE mode = 'leader'),
@@ -41,7 +42,7 @@ votes AS (SELECT v.evidence_id, v.judge_id,
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.synthetic_panel(planted_verdicts(spark, sf_dir))
+    return stored(X.synthetic_panel(planted_verdicts(spark, sf_dir)), "panel")
 
 
 @register("p5_validator_votes", pipeline_with(PANEL_SQL) + "SELECT evidence_id, judge_id, agree FROM votes")
@@ -56,7 +57,7 @@ def p5_validator_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
        count_if(agree) > count(*) * 0.5 AS accepted FROM votes GROUP BY evidence_id""",
 )
 def p6_panel_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.panel_acceptance(K.validator_votes(_panel(spark, sf_dir)))
+    return K.panel_acceptance(_panel(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ ledger
@@ -79,20 +80,21 @@ def l1_ledger_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-N_BATCHES = 2
+N_BATCHES = 3
 
 
 def scenario_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every planted document becomes one submission.
+    """Every planted document becomes a submission, every seventh twice.
 
-    Ids repeat (``ev-<doc_id div 3>``) so both batches hold duplicates and the
-    second batch re-submits ids of the first; every fifth document keeps an
-    id of its own. batch = doc_id % 2, arrival = doc_id.
+    Ids repeat (``ev-<doc_id div 5>``), so a batch holds duplicates and later
+    batches re-submit ids of earlier ones; every eleventh document keeps an id
+    of its own. batch = doc_id % 3, arrival = doc_id.
     """
     d = F.col("doc_id")
-    return planted(spark, sf_dir).select(
-        F.when(d % 5 == 4, F.concat(F.lit("solo-"), d.cast("string")))
-        .otherwise(F.concat(F.lit("ev-"), F.expr("doc_id div 3").cast("string")))
+    twice = F.array_repeat(F.lit(1), F.when(d % 7 == 0, 2).otherwise(1))  # an at-least-once source
+    return planted(spark, sf_dir).withColumn("_again", F.explode(twice)).select(
+        F.when(d % 11 == 4, F.concat(F.lit("solo-"), d.cast("string")))
+        .otherwise(F.concat(F.lit("ev-"), F.expr("doc_id div 5").cast("string")))
         .alias("evidence_id"),
         d.alias("sub_id"), d.alias("arrival"), (d % N_BATCHES).alias("batch_id"),
         "doc_id", "text", "sender", "scope", "chain_id",
@@ -100,7 +102,7 @@ def scenario_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_scenario(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """Screen-and-record both batches in order; returns (ledger_path, outcomes)."""
+    """Screen-and-record the batches in order; returns (ledger_path, outcomes)."""
     root = work_path(spark, "ledger")
     ledger_path, outcome_path = os.path.join(root, "ledger"), os.path.join(root, "outcome")
     subs = scenario_submissions(spark, sf_dir)
@@ -111,13 +113,11 @@ def run_scenario(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 
 
 SCENARIO_SQL = """
-subs AS (SELECT CASE WHEN doc_id % 5 = 4 THEN 'solo-' || CAST(doc_id AS VARCHAR)
-                     ELSE 'ev-' || CAST(doc_id // 3 AS VARCHAR) END AS ev,
-                doc_id AS sub_id, doc_id % 2 AS batch_id, * FROM verdict),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id, ev ORDER BY sub_id) AS rn FROM subs),
-acc0 AS (SELECT ev FROM ranked WHERE batch_id = 0 AND rn = 1),
-outcome AS (SELECT *, CASE WHEN rn = 1 AND (batch_id = 0 OR ev NOT IN (SELECT ev FROM acc0))
-                           THEN 'recorded' ELSE 'rejected' END AS status FROM ranked),
+subs AS (SELECT CASE WHEN doc_id % 11 = 4 THEN 'solo-' || CAST(doc_id AS VARCHAR)
+                     ELSE 'ev-' || CAST(doc_id // 5 AS VARCHAR) END AS ev,
+                doc_id AS sub_id, doc_id % 3 AS batch_id, * FROM verdict),
+outcome AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY ev ORDER BY batch_id, sub_id) = 1
+                           THEN 'recorded' ELSE 'rejected' END AS status FROM subs),
 ledger AS (SELECT * FROM outcome WHERE status = 'recorded')"""
 
 

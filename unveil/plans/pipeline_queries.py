@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unveil.functions import judge as J
-from unveil.functions.udfs import parse_verdict
-from unveil.operators.pipeline import prepare, prompt_table, score_join, verdicts
+from unveil.operators.pipeline import prepare, prompt_table, replies_by_evidence, score_join, screen, verdicts
 from unveil.operators.planting import planted
-from unveil.operators.responses import stub_responses, stub_scorer
-from unveil.plans.common import SEP, blen, bsize, sha, spread
+from unveil.operators.responses import table_scorer
+from unveil.plans.common import SEP, blen, bsize, sha, spread, stored
 from unveil.plans.registry import register
+from unveil.plans.standins import stub_responses, stub_scorer
 from unveil.plans.sqltext import label_key_sql, normalize_sql, pipeline_with, wellformed_sql
 
 
@@ -65,7 +65,7 @@ def t5_canary_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parsed(spark, sf_dir) -> DataFrame:
     s = stub_scorer()(planted_prepared(spark, sf_dir))
-    return s.select("evidence_id", parse_verdict(F.col("detection_response")).alias("p"))
+    return s.select("evidence_id", J.parsed_reply(F.col("detection_response")).alias("p"))
 
 
 @register(
@@ -180,9 +180,14 @@ def p1_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ON p.evidence_id = r.evidence_id AND p.kind = r.kind",
 )
 def p2_score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = prompt_table(planted_prepared(spark, sf_dir), "doc_id")
-    responses = stub_responses(prompts)  # stands in for a batch-inference output table
-    return score_join(prompts.select("evidence_id", "kind"), responses)
+    responses = reply_table(spark, sf_dir)
+    kinds = F.explode(F.array(F.lit("detection"), F.lit("canary"))).alias("kind")
+    return score_join(planted(spark, sf_dir).select("evidence_id", kinds), responses)
+
+
+def reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written output of a batch-inference job (here the stand-in model)."""
+    return stored(stub_responses(prompt_table(planted_prepared(spark, sf_dir), "doc_id")), "replies")
 
 
 @register("p3_evidence_hash", W + "SELECT evidence_id, evidence_hash FROM prepared")
@@ -207,3 +212,41 @@ def p4_columns(v: DataFrame) -> DataFrame:
 @register("p4_check", W + f"SELECT {P4_SQL_COLS} FROM verdict")
 def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_columns(planted_verdicts(spark, sf_dir))
+
+
+EXTRA_DETECTION = '{"injection_detected": true, "category": "fake_role"}'
+
+
+@register(
+    "p4_check_reply_table",
+    W
+    + f"""SELECT evidence_id,
+       CASE WHEN state = 'complete' THEN conclusive OR det2 WHEN conclusive THEN TRUE END AS injection_detected,
+       CASE WHEN conclusive THEN 'hidden_content_removed' WHEN state != 'complete' THEN NULL
+            WHEN NOT det2 AND leaked THEN 'judge_unreliable' WHEN NOT det2 THEN 'none'
+            WHEN cat2 IN ('malformed_judge_response') THEN 'unspecified' ELSE cat2 END AS category,
+       CASE WHEN state = 'complete' THEN NOT leaked END AS judge_reliable,
+       CASE WHEN state = 'complete' THEN leaked END AS canary_tripped,
+       conclusive AS conclusive_tampering, state AS reply_state
+FROM (SELECT *, CASE WHEN doc_id % 17 = 3 THEN 'missing_canary' WHEN doc_id % 19 = 5 THEN 'missing_detection' ELSE 'complete' END AS state,
+             det OR doc_id % 6 = 0 AS det2,
+             CASE WHEN doc_id % 6 != 0 THEN det_category WHEN det THEN least(det_category, 'fake_role') ELSE 'fake_role' END AS cat2
+      FROM verdict)""",
+)
+def p4_check_reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply-table path of the screen: missing and repeated replies included.
+
+    Every sixth document has a second detection reply that reports an
+    injection, leaking canary replies come twice beside a harmless one, and
+    some rows of either kind have not arrived.
+    """
+    ids = planted(spark, sf_dir).select("evidence_id", "doc_id")
+    replies = reply_table(spark, sf_dir).join(ids, "evidence_id")
+    k = F.col("doc_id")
+    late = ((F.col("kind") == "canary") & (k % 17 == 3)) | ((F.col("kind") == "detection") & (k % 19 == 5) & (k % 17 != 3))
+    arrived = replies.where(~late)
+    second = arrived.where((k % 6 == 0) & (F.col("kind") == "detection")).withColumn("response", F.lit(EXTRA_DETECTION))
+    harmless = arrived.where((k % 5 == 0) & (F.col("kind") == "canary")).withColumn("response", F.lit("zzz nothing to see"))
+    folded = stored(replies_by_evidence(arrived.unionByName(second).unionByName(harmless)), "folded-replies")
+    v = screen(spread(planted(spark, sf_dir), "evidence_id"), scorer=table_scorer(folded))
+    return v.select("evidence_id", *[c.strip() for c in _VERDICT5.split(",")], "reply_state")

@@ -252,7 +252,7 @@ parsed AS (SELECT * EXCLUDE (_r0, _r1, _rj, _fenced, _truthy),
 
 def pipeline_with(extra: str = "") -> str:
     """WITH planted -> cleaned -> prepared -> prompts -> responses -> replies -> parsed -> verdict."""
-    from unveil.operators.responses import stub_responses_sql
+    from unveil.plans.standins import stub_responses_sql
 
     ctes = (
         f"planted AS ({planted_sql()}),"
