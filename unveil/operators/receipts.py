@@ -1,11 +1,14 @@
 """Receipt-log jobs (R1-R4) over a table of JSON receipt text.
 
-JSON is parsed once into a VARIANT; leaf types come from
-``schema_of_variant``, so structure checks are native column expressions.
+JSON is parsed once into a VARIANT (of a repeated key the last value counts);
+leaf types come from ``schema_of_variant``, so structure checks are native
+column expressions and nothing shuffles.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +17,6 @@ from unveil.functions import fixed
 LEADER = "$.consensus_data.leader_receipt"
 
 
-def template_paths(tpl: dict = fixed.RECEIPT_TEMPLATE, prefix: str = "$") -> list[tuple[str, str]]:
-    """Depth-first (json path, expected leaf class) list; a nested dict is 'dict'."""
-    out: list[tuple[str, str]] = []
-    for key, sub in tpl.items():
-        path = f"{prefix}.{key}"
-        if isinstance(sub, dict):
-            out.append((path, "dict"))
-            out.extend(template_paths(sub, path))
-        else:
-            out.append((path, sub))
-    return out
-
-
 ACCEPTS = {
     "bool": ("bool",),
     "str": ("str",),
@@ -37,15 +27,19 @@ ACCEPTS = {
 }
 
 
-def type_class(v: Column, path: str) -> Column:
-    """Leaf class of a JSON path: missing/null/bool/str/int/list/dict/other."""
+def type_class(v: Column, path: str = "$") -> Column:
+    """Class of a JSON path: missing/null/bool/str/int/list/dict/other.
+
+    Whole numbers arrive as BIGINT, or beyond its range as a decimal of 19 or
+    more digits; a shorter decimal is a float such as 5.0, which is no int.
+    """
     t = F.schema_of_variant(F.variant_get(v, path, "variant"))
     return (
         F.when(t.isNull() | (t == "NULL"), F.lit("missing"))
         .when(t == "VOID", F.lit("null"))
         .when(t == "BOOLEAN", F.lit("bool"))
         .when(t == "STRING", F.lit("str"))
-        .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | t.rlike(r"^DECIMAL\(\d+,0\)$"), F.lit("int"))
+        .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | t.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$"), F.lit("int"))
         .when(t.startswith("ARRAY"), F.lit("list"))
         .when(t.startswith("OBJECT"), F.lit("dict"))
         .otherwise(F.lit("other"))
@@ -53,14 +47,24 @@ def type_class(v: Column, path: str) -> Column:
 
 
 def with_variant(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
+    """Adds ``_v``; text that is not JSON gives null. Repeated keys are allowed in this session from here on."""
+    receipts.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return receipts.select("*", F.try_parse_json(F.col(json_col)).alias("_v"))
 
 
+def _int_keys(m: Column) -> Column:
+    whole = F.map_filter(m, lambda k, _: k.rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"))
+    return F.map_from_entries(F.transform(F.map_entries(whole), lambda e: F.struct(F.trim(e["key"]).cast("int").alias("key"), e["value"].alias("value"))))
+
+
 def parse_receipts(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
     """Typed leader-receipt fields with case-folded enums; bad rows flagged.
 
     Checks run in the typed reader's order (vote, execution result, mode);
     ``error_reason`` names the first failure, rows with one go to quarantine.
+    ``result`` and ``calldata`` are decoded from base64, ``eq_outputs`` has
+    integer keys (others are left out), ``node_config`` stays JSON; a field
+    that is missing or of another shape is null.
     """
     d = with_variant(receipts, json_col)
     v = F.col("_v")
@@ -82,6 +86,11 @@ def parse_receipts(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
         *keep,
         F.try_variant_get(v, "$.hash", "string").alias("hash"),
         vote.alias("vote"), status.alias("execution_result"), mode.alias("mode"), gas.alias("gas_used"),
+        F.try_to_binary(s("result"), F.lit("base64")).alias("result"),
+        F.try_to_binary(s("calldata"), F.lit("base64")).alias("calldata"),
+        F.try_variant_get(v, f"{LEADER}.contract_state", "map<string,map<string,string>>").alias("contract_state"),
+        F.to_json(F.variant_get(v, f"{LEADER}.node_config", "variant")).alias("node_config"),
+        _int_keys(F.try_variant_get(v, f"{LEADER}.eq_outputs", "map<string,string>")).alias("eq_outputs"),
         reason.isNull().alias("ok"), reason.alias("error_reason"),
     )
 
@@ -91,15 +100,35 @@ def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(F.col("ok")).drop("error_reason"), parsed.where(~F.col("ok"))
 
 
-def conformance(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
-    """R2: required keys present with the template's leaf types; first failing path."""
+def structure_checks(template, v: Column, path: str = "$", name: str = "$") -> list[tuple[str, Column]]:
+    """(path, holds) for every rule of ``template``, depth first.
+
+    A dict asks for its keys (more are allowed), a one-element list for a list
+    whose every element fits, a string names a leaf class of ``ACCEPTS``.
+    """
+    if isinstance(template, dict):
+        out = [(name, type_class(v, path) == "dict")]
+        for key, sub in template.items():
+            out += structure_checks(sub, v, f"{path}['{key}']", f"{name}.{key}")
+        return out
+    if isinstance(template, list):
+        items = F.try_variant_get(v, path, "array<variant>")
+
+        def fits(x):
+            holds = None
+            for _, ok in structure_checks(template[0], x):
+                holds = ok if holds is None else holds & ok
+            return holds
+
+        return [(name, type_class(v, path) == "list"), (f"{name}[*]", F.coalesce(F.forall(items, fits), F.lit(False)))]
+    return [(name, type_class(v, path).isin(*ACCEPTS[template]))]
+
+
+def conformance(receipts: DataFrame, json_col: str = "receipt", template=fixed.RECEIPT_TEMPLATE) -> DataFrame:
+    """R2: whether each receipt fits ``template`` (any structure), and the first failing path."""
     d = with_variant(receipts, json_col)
-    v = F.col("_v")
-    checks = F.array(*[
-        F.struct(F.lit(path).alias("path"), type_class(v, path).isin(*ACCEPTS[kind]).alias("ok"))
-        for path, kind in template_paths()
-    ])
-    failing = F.filter(checks, lambda c: ~c["ok"])
+    checks = F.array(*[F.struct(F.lit(path).alias("path"), ok.alias("ok")) for path, ok in structure_checks(template, F.col("_v"))])
+    failing = F.filter(checks, lambda c: ~F.coalesce(c["ok"], F.lit(False)))
     keep = [c for c in receipts.columns if c != json_col]
     return d.select(
         *keep,
@@ -108,30 +137,56 @@ def conformance(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
     )
 
 
-def envelope(receipts: DataFrame, json_col: str = "receipt", message: str = "done",
-             data_key: str = "function_name") -> DataFrame:
-    """Key-presence predicates (an ``error`` key with a null value is an error)."""
-    keys = F.json_object_keys(F.col(json_col))
-    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+def _json(value) -> Column:
+    """A Python value in the text form that equal variants share."""
+    return F.to_json(F.parse_json(F.lit(json.dumps(value))))
+
+
+def contains(v: Column, needle) -> Column:
+    """Python's ``needle in value`` for a text, list or object variant; false for other kinds."""
+    text = F.try_variant_get(v, "$", "string").contains(needle) if isinstance(needle, str) else F.lit(False)
+    listed = F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.to_json(x) == _json(needle))
+    keyed = F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), needle) if isinstance(needle, str) else F.lit(False)
+    kind = type_class(v)
+    found = F.when(kind == "str", text).when(kind == "list", listed).when(kind == "dict", keyed)
+    return F.coalesce(found, F.lit(False))
+
+
+def envelope(
+    receipts: DataFrame, json_col: str = "receipt", message="done", message_part="on", data=None, data_part="function_name"
+) -> DataFrame:
+    """Predicates on the receipt's top level (an ``error`` key with a null value is an error).
+
+    ``is_object`` tells whether the text is a JSON object; if not, every
+    predicate is null. A predicate on a missing key is false. ``message`` and
+    ``data`` are compared as whole JSON values, the parts with ``contains``.
+    """
     d = with_variant(receipts, json_col)
     keep = [c for c in receipts.columns if c != json_col]
-    msg = F.try_variant_get(F.col("_v"), "$.message", "string")
-    return d.select(
-        *keep,
-        has("error").alias("has_error"),
-        (~has("error")).alias("has_success"),
-        has("message").alias("has_message"),
-        has("data").alias("has_data"),
-        F.coalesce(msg == message, F.lit(False)).alias("message_is"),
-        F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(F.col(json_col), "$.data")), data_key),
-                   F.lit(False)).alias("data_contains"),
-    )
+    v = F.col("_v")
+    valid = F.coalesce(type_class(v) == "dict", F.lit(False))
+    get = lambda k: F.variant_get(v, f"$.{k}", "variant")
+    has = lambda k: get(k).isNotNull()
+    same = lambda k, value: F.coalesce(F.to_json(get(k)) == _json(value), F.lit(False))
+    predicates = {
+        "has_error": has("error"), "has_success": ~has("error"), "has_message": has("message"), "has_data": has("data"),
+        "message_is": same("message", message), "message_contains": contains(get("message"), message_part),
+        "data_is": same("data", data), "data_contains": contains(get("data"), data_part),
+    }
+    return d.select(*keep, valid.alias("is_object"), *[F.when(valid, p).alias(n) for n, p in predicates.items()])
+
+
+def vote_tally(receipts: DataFrame, key: str = "receipt_id", json_col: str = "receipt", values: tuple[str, ...] = fixed.VOTE_VALUES) -> DataFrame:
+    """Validator votes of each receipt, case-folded; other values count in ``n_other``.
+
+    Every receipt has a row. Votes are counted within their own receipt, so
+    there is no shuffle.
+    """
+    votes = F.map_values(F.try_variant_get(F.col("_v"), "$.consensus_data.votes", "map<string,string>"))
+    d = with_variant(receipts, json_col).select(key, F.transform(F.coalesce(votes, F.array().cast("array<string>")), F.lower).alias("_votes"))
 
+    def count(value: str) -> Column:
+        return F.size(F.filter("_votes", lambda x: x == value)).cast("bigint")
 
-def vote_tally(receipts: DataFrame, key: str = "receipt_id", json_col: str = "receipt",
-               values: tuple[str, ...] = ("agree", "disagree", "timeout")) -> DataFrame:
-    """Validator votes per receipt, pivoted over a fixed value list (one pass)."""
-    votes = F.from_json(F.get_json_object(F.col(json_col), "$.consensus_data.votes"), "map<string,string>")
-    e = receipts.select(key, F.explode(votes).alias("validator", "vote"))
-    p = e.groupBy(key).pivot("vote", list(values)).agg(F.count(F.lit(1)).cast("bigint"))
-    return p.select(key, *[F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(f"n_{x}") for x in values])
+    other = F.size(F.filter("_votes", lambda x: ~F.coalesce(x.isin(*values), F.lit(False)))).cast("bigint")
+    return d.select(key, *[count(x).alias(f"n_{x}") for x in values], other.alias("n_other"))
