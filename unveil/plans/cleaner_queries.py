@@ -40,7 +40,7 @@ def _hash_list(x: str) -> str:
 FROM cleaned""",
 )
 def c0_null_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = planted_cleaned(spark, sf_dir, keep_stages=True)
+    d = planted_cleaned(spark, sf_dir, keep_stages=True, render=False)
     return d.select(
         "evidence_id",
         F.col("text").isNull().alias("text_is_null"),
@@ -80,7 +80,7 @@ def c1_html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _stage(spark, sf_dir, cols) -> DataFrame:
-    d = planted_cleaned(spark, sf_dir, keep_stages=True)
+    d = planted_cleaned(spark, sf_dir, keep_stages=True, render=False)
     return d.select("evidence_id", *cols(d))
 
 

@@ -147,10 +147,19 @@ for _name, _col in (("j5_detection_prompt", "detection_prompt"), ("j6_canary_pro
     )(_prompt_q(_col))
 
 
-@register("j7_parse_response", W + "SELECT evidence_id, det AS detected, det_category AS category FROM parsed")
+@register(
+    "j7_parse_response",
+    W + """SELECT evidence_id, det AS detected, det_category AS category, doc_id % 3 = 0 AS decoded_detected,
+       CASE WHEN doc_id % 3 = 0 THEN 'fake_role' ELSE 'none' END AS decoded_category FROM verdict""",
+)
 def j7_parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as text, and as the struct that a client library hands over decoded."""
     v = planted_verdicts(spark, sf_dir)
-    return v.select("evidence_id", F.col("model_detected").alias("detected"), F.col("model_category").alias("category"))
+    flag = F.col("doc_id") % 3 == 0
+    struct = F.struct(flag.alias("injection_detected"), F.when(flag, F.lit("Role-play")).otherwise(F.lit("none")).alias("category"))
+    both = v.select("evidence_id", "model_detected", "model_category", J.parse_response(struct, decoded=True).alias("d"))
+    return both.select("evidence_id", F.col("model_detected").alias("detected"), F.col("model_category").alias("category"),
+                       F.col("d.detected").alias("decoded_detected"), F.col("d.category").alias("decoded_category"))
 
 
 _VERDICT5 = "injection_detected, category, judge_reliable, canary_tripped, conclusive_tampering"
