@@ -71,7 +71,7 @@ def feature_counts(docs: DataFrame, positive_ids: np.ndarray) -> DataFrame:
 
 
 def _vectors(docs: DataFrame, slots: np.ndarray) -> DataFrame:
-    """doc_id, at (indexes into ``slots``), n (their counts), words."""
+    """at (indexes into ``slots``), n (their counts), words."""
     shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches):
@@ -80,11 +80,11 @@ def _vectors(docs: DataFrame, slots: np.ndarray) -> DataFrame:
                 at, n, row, words = _selected(data, offsets, shared.value)
                 cut = pa.array(np.searchsorted(row, np.arange(rows.num_rows + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.ListArray.from_arrays(cut, pa.array(at)), pa.ListArray.from_arrays(cut, pa.array(n)), pa.array(words)],
-                    ["doc_id", "at", "n", "words"],
+                    [pa.ListArray.from_arrays(cut, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32))), pa.array(words)],
+                    ["at", "n", "words"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, at array<long>, n array<long>, words long")
+    return docs.mapInArrow(run, "at array<int>, n array<int>, words long")
 
 
 def _selected(data, offsets, slots):
@@ -95,7 +95,7 @@ def _selected(data, offsets, slots):
     return at[hit], n[hit], keys[hit] >> BITS, words
 
 
-def fit_nnpu(positive, unlabelled, n_features: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+def fit_nnpu(positive, unlabelled, n_features: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
     """Weights of the features, of log length and of the bias.
 
     Each side is (row, at, value, log_length, rows). Full-batch Adam on the
@@ -161,10 +161,10 @@ def learn(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
 
     def side(df):
         t = _vectors(df, slots).toArrow().combine_chunks()
-        at, n = t["at"].to_pylist(), t["n"].to_pylist()
-        row = np.repeat(np.arange(len(at)), [len(x) for x in at]).astype(np.int64)
-        flat = lambda xs: np.array([y for x in xs for y in x], np.int64)
-        return row, flat(at), np.log1p(flat(n)), np.log1p(t["words"].to_numpy()) / 10, len(at)
+        at, n = (t[c].combine_chunks() for c in ("at", "n"))
+        sizes = at.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return row, at.flatten().to_numpy(), np.log1p(n.flatten().to_numpy()), np.log1p(t["words"].to_numpy()) / 10, len(sizes)
 
     weights = fit_nnpu(side(chosen), side(drawn), len(slots), prior)
     return Model(slots, weights, prior)
