@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from llm_words import words
+from llm.llm_words import words
 
 COLUMNS = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, copy_no int, bucket string, "

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import unveil.llm.context_tree as ct
-from llm_words import words
+from llm.llm_words import words
 from unveil.llm import languages, toxicity
 from unveil.llm.queries import op1, op6, op7
 from unveil.llm.shared import id_fold

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from llm_words import words
+from llm.llm_words import words
 from unveil.llm.components import components
 from unveil.llm.near_dedup import densified, near_duplicates
 

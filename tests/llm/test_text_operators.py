@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from llm_words import words
+from llm.llm_words import words
 from unveil.llm import fingerprints as fp
 from unveil.llm import huffman, personal_data, token_files
+from unveil.llm.textblocks import buffers
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -151,7 +153,8 @@ def test_wordwise_ids_equal_the_tokenizers():
     parts = ["a", "B", " ", "\n", "\t", "'s", "é", "1", "  ", "!", "\x1c", "日", "'ll", "\r", "x,", "…", "<|endoftext|>", " ", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
     tok = token_files.WordwiseTokenizer(VOCABULARY)
-    ids, n = tok.encode(texts)
+    column = pa.array(texts)
+    ids, n = tok.encode(column, *buffers(column))
     want = plain_ids(texts)
     cuts = np.cumsum(n)
     assert all(w[:-1] == ids[c - k : c].tolist() for w, c, k in zip(want, cuts, n))

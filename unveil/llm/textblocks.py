@@ -33,7 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[LOWER]
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_BYTE = _EXACT[LOWER]
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -84,19 +85,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths: tuple[int, ...], chunk: int = 1 << 19) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths: tuple[int, ...], fold: bool = True, chunk: int = 1 << 19) -> np.ndarray:
     """Hashes of the first ``w`` bytes of each span, a row for each w (0: the whole span).
 
-    A-Z folds to a-z; equal bytes have equal hashes. The sums behind the
+    A-Z folds to a-z (with ``fold``); equal bytes have equal hashes. The sums behind the
     hashes are made once per ``chunk`` bytes; only a longer span needs more.
     """
+    byte = _BYTE if fold else _EXACT
     out, first = np.empty((len(widths), len(starts)), np.uint64), 0
     while first < len(starts):
         base = int(starts[first])
         last = max(first + 1, int(np.searchsorted(ends, base + chunk, side="right")))
         part = data[base : int(ends[last - 1])]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _power("up", len(part) + 1)[: len(part)], out=sums[1:])
+        np.cumsum(byte[part] * _power("up", len(part) + 1)[: len(part)], out=sums[1:])
         s, e = starts[first:last] - base, ends[first:last] - base
         down = _power("down", len(part) + 1)[s]
         for k, w in enumerate(widths):
@@ -106,9 +108,9 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, A-Z folded to a-z; equal bytes have equal hashes."""
-    return prefix_hashes(data, starts, ends, (0,))[0]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each span, A-Z folded to a-z (with ``fold``); equal bytes have equal hashes."""
+    return prefix_hashes(data, starts, ends, (0,), fold)[0]
 
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:

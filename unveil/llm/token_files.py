@@ -21,32 +21,18 @@ from pyspark.sql import functions as F
 from unveil.llm import huffman
 from unveil.llm.ordered import bucket_of, buckets_for, id_cuts
 from unveil.llm.shared import stored, text_of
-from unveil.llm.textblocks import blocks
+from unveil.llm.textblocks import blocks, per_row, span_hashes
 
 END = 0
 BLOCK_TOKENS = 1 << 17
-WORDS_HELD = 1_000_000
+UNITS_HELD = 3_000_000
 NEWLINE = 198  # the byte-level vocabulary's id of a line feed
-ODD_SPACE = re.compile(r"[^\S \n]|  | \n| $")
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_rare = np.zeros(256, bool)  # bytes without which a text has no white space but blanks and line feeds
+PLAIN = re.compile(r" ?[^\s]+")
+MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+_rare = np.zeros(256, bool)  # bytes without which a text has no white space but blanks and line feeds, and no NUL
 _rare[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-class _Words(dict):
-    """Word -> number; a new word is queued."""
-
-    def __init__(self, queue: list[str]):
-        super().__init__()
-        self.queue = queue
-
-    def __missing__(self, word: str) -> int:
-        self.queue.append(word)
-        self[word] = n = len(self)
-        return n
-
-
 class _Grown:
     """An array that grows at its end."""
 
@@ -60,15 +46,54 @@ class _Grown:
         self.n += len(values)
 
 
+class _Numbers:
+    """64-bit hash -> number, in open addressing; half full at most."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.keys, self.number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys; -1 for new ones."""
+        mask = (1 << self.bits) - 1
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.number[at]
+        open_ = np.flatnonzero((self.keys[at] != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & mask
+            found[open_] = self.number[at[open_]]
+            open_ = open_[(self.keys[at[open_]] != keys[open_]) & (found[open_] >= 0)]
+        return found
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Stores keys that are new and differ."""
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            old = self.number >= 0
+            keys, numbers = np.concatenate([self.keys[old], keys]), np.concatenate([self.number[old], numbers])
+            self.__init__(int(np.ceil(np.log2(4 * len(keys)))))
+        self.n += len(keys)
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.number[at[left]] < 0]
+            self.number[at[free]] = numbers[free]  # of several at one place the last stays
+            won = free[self.number[at[free]] == numbers[free]]
+            self.keys[at[won]] = keys[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+
 class WordwiseTokenizer:
-    """The ids that the tokenizer gives to whole texts, found word by word.
+    """The ids that the tokenizer gives to whole texts, found unit by unit.
 
     A byte-level pre-tokenizer always cuts before a single blank that is
-    followed by a non-blank, so texts whose blanks are all of that kind can be
-    cut there, and each distinct " word" is encoded once. It also cuts between
-    letters and the marks that follow them, so " word," is " word" and ",".
-    Other texts, and those with a NUL, go to the tokenizer whole. The word table is emptied when it
-    has grown large.
+    followed by a non-blank, and around a single line feed. Texts whose blanks
+    are all of that kind are cut there into units (" word", "word" at the
+    start of a line, a line feed); a unit is looked up by the 64-bit hash of
+    its bytes and encoded when it is new. The pre-tokenizer also
+    cuts between letters and the marks that follow them, so " word," is put
+    together from " word" and ",". Other texts go to the tokenizer whole. The
+    table of units is emptied when it has grown large.
     """
 
     def __init__(self, path: str):
@@ -82,95 +107,106 @@ class WordwiseTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.queue: list[str] = []
-        self.words = _Words(self.queue)
-        self.flat, self.first, self.size = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
+        self.numbers = _Numbers()
+        self.flat, self.first, self.size = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, rows: np.ndarray) -> np.ndarray:
-        """The ids of numbered words, one after the other."""
-        n = self.size.room[rows]
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered units, one after the other."""
+        n = self.size.room[numbers]
         ends = np.cumsum(n)
-        at = np.repeat(self.first.room[rows] - ends + n, n)
+        at = np.repeat(self.first.room[numbers] - ends + n, n)
         at += np.arange(len(at))
         return self.flat.room[at]
 
-    def _learn(self) -> None:
-        """Finds the ids of the queued words, in the order of their numbers.
-
-        Plain words are encoded in one string, a line feed between them. A
-        word that ends in marks is put together from its letters and the
-        marks, which are keyed with a leading NUL and no blank.
-        """
-        while self.queue:
-            words, kinds = list(self.queue), []
-            self.queue.clear()
-            plain, other, parts = [], [], []
-            for w in words:
-                letters = w.rstrip(MARKS)
-                if w[:1] == "\0" or "\n" in w or not w:
-                    kinds.append(1)
-                    other.append(w[1:] if w[:1] == "\0" else " " + w if w else "")
-                elif letters != w and LETTERS.fullmatch(letters):
-                    kinds.append(2)
-                    parts.append((letters, "\0" + w[len(letters) :]))
-                else:
-                    kinds.append(0)
-                    plain.append(" " + w)
-            kinds = np.array(kinds)
-            first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            if plain:
-                ids = np.array(self.tokenizer.encode("\n".join(plain), add_special_tokens=False).ids, np.uint32)
-                cut = np.flatnonzero(ids == NEWLINE)
-                begin, end = np.concatenate([[0], cut + 1]), np.append(cut, len(ids))
-                first[kinds == 0], size[kinds == 0] = self.flat.n + begin, end - begin
-                self.flat.add(ids)
-            if other:
-                found = self._whole(other)
-                size[kinds == 1] = n = np.array([len(x) for x in found])
-                first[kinds == 1] = self.flat.n + np.cumsum(n) - n
-                self.flat.add(np.concatenate(found))
-            self.first.add(first)
-            self.size.add(size)
-            if parts:
-                pairs = np.array([(self.words[a], self.words[b]) for a, b in parts], np.int64)
-                self._learn()  # letters and marks that are new
-                at = np.array([self.words[w] for w, k in zip(words, kinds) if k == 2])
-                n = self.size.room[pairs].sum(axis=1)
-                self.first.room[at], self.size.room[at] = self.flat.n + np.cumsum(n) - n, n
-                self.flat.add(self._joined(pairs.ravel()))
-
-    def encode(self, texts: list[str], plain_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and each text's number of ids.
-
-        ``plain_space`` says that blanks and line feeds are the only white
-        space in ``texts``.
-        """
-        if len(self.words) > WORDS_HELD:
+    def _number(self, units: list[str]) -> np.ndarray:
+        """The numbers of units given as strings; new ones are learned."""
+        raw = [u.encode() for u in units]
+        ends = np.cumsum([len(x) for x in raw])
+        keys = span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends, fold=False)
+        new = np.flatnonzero(self.numbers.get(keys) < 0)
+        if len(new):
+            unique, at = np.unique(keys[new], return_index=True)
+            self._learn(unique, [units[i] for i in new[at]])
+        return self.numbers.get(keys)
+
+    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+        """Finds the ids of new units. Plain ones are encoded in strings of many, a line feed between them."""
+        kinds, parts = np.zeros(len(units), np.int8), []
+        for i, u in enumerate(units):
+            marked = MARKED.fullmatch(u)
+            if marked:
+                kinds[i] = 2
+                parts += marked.groups()
+            elif not PLAIN.fullmatch(u):
+                kinds[i] = 1
+        pairs = self._number(parts).reshape(-1, 2) if parts else None
+        first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+
+        def put(kind, ids, sizes):
+            size[kinds == kind] = sizes
+            first[kinds == kind] = self.flat.n + np.cumsum(sizes) - sizes
+            self.flat.add(ids)
+
+        plain = [u for u, k in zip(units, kinds) if k == 0]
+        found = [np.array([NEWLINE], np.uint32)]
+        for lo in range(0, len(plain), 2000):
+            found += [*self._whole(["\n".join(plain[lo : lo + 2000])]), found[0]]
+        ids = np.concatenate(found)
+        breaks = np.flatnonzero(ids == NEWLINE)
+        put(0, ids[ids != NEWLINE], np.diff(breaks) - 1)
+        others = self._whole([u for u, k in zip(units, kinds) if k == 1])
+        if others:
+            put(1, np.concatenate(others), np.array([len(x) for x in others]))
+        if parts:
+            put(2, self._joined(pairs.ravel()), self.size.room[pairs].sum(axis=1))
+        self.numbers.add(keys, np.arange(self.first.n, self.first.n + len(units), dtype=np.int32))
+        self.first.add(first)
+        self.size.add(size)
+
+    def encode(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a block one after the other, and each text's number of ids."""
+        if self.numbers.n > UNITS_HELD:
             self._clear()
-        look, rows, odd = self.words.__getitem__, [], []
-        for i, t in enumerate(texts):
-            if "\0" in t or "  " in t or " \n" in t or t.endswith(" ") or (not plain_space and ODD_SPACE.search(t)):
-                odd.append(i)
-                t = ""
-            first, *rest = t.split(" ")
-            rest.insert(0, "\0" + first)  # the first word has no blank before it
-            rows.append(np.fromiter(map(look, rest), np.int64, len(rest)))
-        self._learn()
-        if not rows:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        numbers = np.concatenate(rows)
-        words = np.array([len(r) for r in rows])
+        n = len(offsets) - 1
+        blank = data == 32
+        behind = np.append(data[1:], np.uint8(32))  # what follows each byte
+        behind[offsets[1:][offsets[1:] > 0] - 1] = 32  # the end of a text counts as a blank
+        odd_byte = blank & ((behind == 32) | (behind == 10)) | _rare[data] | (data == 0)
+        odd = per_row(odd_byte, offsets) > 0
+        ahead = np.concatenate([[np.uint8(32)], data[:-1]])[: len(data)]  # what precedes each byte
+        ahead[offsets[:-1][offsets[:-1] < len(data)]] = 32
+        line = (data == 10) & (behind != 10) & (ahead != 10)
+        cut = blank | line
+        cut[1:] |= line[:-1]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        row_first = np.searchsorted(starts, offsets)
+        if odd.any():
+            use = ~np.repeat(odd, np.diff(row_first))
+            starts, ends = starts[use], ends[use]
+            row_first = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(row_first)))])
+        keys = span_hashes(data, starts, ends, fold=False)
+        numbers = self.numbers.get(keys)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            unique, at = np.unique(keys[new], return_index=True)
+            raw = data.tobytes()
+            self._learn(unique, [raw[starts[i] : ends[i]].decode() for i in new[at]])
+            numbers = self.numbers.get(keys)
         ids = self._joined(numbers)
-        counts = np.add.reduceat(self.size.room[numbers], np.cumsum(words) - words)
-        if odd:
+        sizes = np.concatenate([[0], np.cumsum(self.size.room[numbers])])
+        counts = sizes[row_first[1:]] - sizes[row_first[:-1]]
+        if odd.any():
             parts = np.split(ids, np.cumsum(counts)[:-1])
-            for i, found in zip(odd, self._whole([texts[i] for i in odd])):
+            at = np.flatnonzero(odd)
+            for i, found in zip(at, self._whole([column[int(i)].as_py() for i in at])):
                 parts[i], counts[i] = found, len(found)
             ids = np.concatenate(parts)
-        return ids, counts
+        return ids, counts.astype(np.int64)
 
 
 _open: dict[str, WordwiseTokenizer] = {}
@@ -194,8 +230,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         tok = tokenizer_for(path)
         kind = np.uint16 if tok.vocabulary <= 1 << 16 else np.uint32
         for batch in batches:
-            for rows, data, _ in blocks(batch, "text"):
-                ids, n = tok.encode(rows.column(1).to_pylist(), plain_space=not _rare[data].any())
+            for rows, data, offsets in blocks(batch, "text"):
+                ids, n = tok.encode(rows.column(1), data, offsets)
                 ids = np.insert(ids.astype(kind), np.cumsum(n), END)
                 cuts = np.concatenate([[0], np.cumsum(n + 1)]) * np.dtype(kind).itemsize
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n + 1), _binaries(ids.view(np.uint8), cuts)], ["doc_id", "n", "ids"])
