@@ -152,3 +152,9 @@ def test_prompts(spark):
     assert "XG-ABC123XYZ9" not in r.d and "SYSTEM OVERRIDE" not in r.d
     assert "XG-ABC123XYZ9" in r.c and "injection" not in r.c.lower() and "screener" not in r.c.lower()
     assert '{\n"injection_detected": bool,' in r.d0
+
+
+def test_final_category_vocabulary(spark):
+    df = spark.createDataFrame([("none",), ("judge_unreliable",), ("invented",), (None,)], "c string")
+    assert [r.a for r in df.select(J.category_is_accepted(F.col("c")).alias("a")).collect()] == [True, True, False, False]
+    assert len(set(J.fixed.FINAL_CATEGORIES)) == 9

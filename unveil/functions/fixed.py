@@ -137,6 +137,12 @@ CATEGORY_HIDDEN_CONTENT_REMOVED = "hidden_content_removed"
 CATEGORY_JUDGE_UNRELIABLE = "judge_unreliable"
 CATEGORY_MALFORMED_RESPONSE = "malformed_judge_response"
 
+# Every value that a stored verdict's category can take.
+FINAL_CATEGORIES = (
+    "none", "hidden_instruction", "invisible_text", "fake_role", "encoded_payload",
+    "unspecified", "hidden_content_removed", "judge_unreliable", "malformed_judge_response",
+)
+
 MODEL_ATTACK_CATEGORIES = (
     "hidden_instruction", "invisible_text", "fake_role", "encoded_payload",
 )

@@ -102,6 +102,11 @@ def parse_response(raw: Column, decoded: bool = False) -> Column:
     return F.struct(detected.alias("detected"), category.alias("category"))
 
 
+def category_is_accepted(category: Column) -> Column:
+    """Whether a verdict's category is one of the values that it can take (null: no)."""
+    return F.coalesce(category.isin(*fixed.FINAL_CATEGORIES), F.lit(False))
+
+
 def combine_verdict(detected: Column, category: Column, leaked: Column, conclusive: Column) -> Column:
     """Struct of the five verdict fields."""
     renorm = normalize_category(category, detected)

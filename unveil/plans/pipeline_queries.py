@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unveil.functions import fixed
 from unveil.functions import judge as J
 from unveil.operators.pipeline import prepare, prompt_table, replies_by_evidence, score_join, screen, verdicts
 from unveil.operators.planting import planted
@@ -165,10 +166,10 @@ def j7_parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERDICT5 = "injection_detected, category, judge_reliable, canary_tripped, conclusive_tampering"
 
 
-@register("j8_verdict", W + f"SELECT evidence_id, {_VERDICT5} FROM verdict")
+@register("j8_verdict", W + f"SELECT evidence_id, {_VERDICT5}, category IN {fixed.FINAL_CATEGORIES} AS accepted FROM verdict")
 def j8_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = planted_verdicts(spark, sf_dir)
-    return v.select("evidence_id", *[c.strip() for c in _VERDICT5.split(",")])
+    return v.select("evidence_id", *[c.strip() for c in _VERDICT5.split(",")], J.category_is_accepted(F.col("category")).alias("accepted"))
 
 
 # ------------------------------------------------------------------ pipeline
