@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unveil.llm.shared import stored
+from unveil.llm.shared import stored, with_group
 
 
 def _pull(pairs: DataFrame, own_too: bool) -> DataFrame:
@@ -16,7 +16,7 @@ def _pull(pairs: DataFrame, own_too: bool) -> DataFrame:
     touches a third of all edges is split by the skew join.
     """
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    near = pairs.join(least, "u")
+    near = with_group(pairs, least, "u")
     kept = near if own_too else near.where("v > u")
     out = kept.where("v != m").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))
     if own_too:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unveil.llm.components import components
-from unveil.llm.shared import stored, text_of
+from unveil.llm.shared import stored, text_of, with_group
 from unveil.llm.textblocks import as_long, blocks, chain, mix, span_hashes, word_spans
 
 WIDTH = 5
@@ -112,7 +112,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, per_star: int =
     with its own copy of the centre, so a task holds one centre set at a time.
     """
     stars = pairs.groupBy("hub").agg(F.ceil(F.count("*") / per_star).cast("int").alias("parts"))
-    members = pairs.join(stars, "hub").select(
+    members = with_group(pairs, stars, "hub").select(
         F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_member")
     )
     centres = stars.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_member"))
@@ -160,7 +160,7 @@ def leftover_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, thre
     """
     labelled = buckets.join(classes, "rep")
     spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo != hi")
-    star = stored(labelled.join(spread.select("bucket", "hub"), "bucket").select("hub", "rep").distinct(), "families")
+    star = stored(with_group(labelled, spread.select("bucket", "hub"), "bucket").select("hub", "rep").distinct(), "families")
     family = components(star, "hub", "rep").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     step = float(np.log(100 / threshold)) * 1.0001
     sized = family.join(classes, "rep").withColumn("rung", F.floor(F.log("n") / step).cast("int"))
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     )
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    meeting = stored(buckets.join(hubs, "bucket").select("bucket", "rep", "n", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "buckets")
+    meeting = stored(with_group(buckets, hubs, "bucket").select("bucket", "rep", "n", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "buckets")
     # texts move once: only documents that share a bucket are ever compared
     meets = meeting.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     texts = stored(rows.join(meets, "doc_id", "left_semi"), "texts")

@@ -32,3 +32,14 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with an aggregate of them on the long ``key``.
+
+    An aggregate by the key is already dealt by it, and a join that reuses
+    that layout cannot be split. Joining on the negated key gives both sides
+    an exchange of their own, so the skew join may split a hot key.
+    """
+    k = (-F.col(key)).alias("__k")
+    return rows.select("*", k).join(groups.select(k, *[c for c in groups.columns if c != key]), "__k").drop("__k")
