@@ -1,15 +1,13 @@
 """Screening pipeline, panel consensus and the write-once ledger."""
 
-import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
 from corpus_rows import CORPUS
 from unveil.operators import consensus as K
 from unveil.operators import ledger as L
-from unveil.operators.pipeline import prepare, prompt_table, replies_by_evidence, screen, verdicts
+from unveil.operators.pipeline import prepare, prompt_table, replies_by_evidence, screen
 from unveil.operators.responses import model_scorer, score_with, table_scorer
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unveil.functions import fixed
 from unveil.functions.cleaner import conclusive_items, py_strip
 
 

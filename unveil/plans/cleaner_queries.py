@@ -12,8 +12,6 @@ from unveil.operators.planting import planted
 from unveil.plans.common import blen, bsize, joined_hash, planted_cleaned, sha, spread
 from unveil.plans.registry import register
 from unveil.plans.sqltext import (
-    RE2_ALT,
-    RE2_HIDDEN,
     advisory_list,
     conclusive_list,
     planted_clean_with,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unveil.functions.cleaner import is_conclusive
 from unveil.operators import evaluation as E
 from unveil.operators.planting import planted
 from unveil.plans.common import blen, planted_cleaned, sha
