@@ -193,3 +193,23 @@ def test_huffman_codes():
 def test_null_text_is_the_end_alone(make_docs):
     rows = token_files.report(make_docs([None, "", "a"]), VOCABULARY).orderBy("doc_id").collect()
     assert [(r.start, r.n_tokens) for r in rows] == [(0, 1), (1, 1), (2, 2)]
+
+
+def test_buckets_follow_the_ids(spark, monkeypatch):
+    from unveil.llm import ordered
+
+    monkeypatch.setattr(ordered, "CUTS", 8)
+    rng = random.Random(11)
+    ids = sorted({int(rng.random() ** 4 * 10**12) - 500 for _ in range(3000)})
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id bigint")
+    for parts in (1, 5, 8, 50):
+        cuts = ordered.id_cuts(df, "doc_id", parts)
+        got = [(r.doc_id, r.b) for r in df.select("doc_id", ordered.bucket_of(F.col("doc_id"), cuts, parts).alias("b")).collect()]
+        assert dict(got)[None] == 0
+        buckets = [b for _, b in sorted(x for x in got if x[0] is not None)]
+        assert buckets == sorted(buckets) and buckets[0] == 0 and len(set(buckets)) > parts // 3
+    monkeypatch.setattr(ordered, "buckets_for", lambda df: 50)
+    monkeypatch.setattr(fp, "buckets_for", lambda df: 50)
+    docs = spark.createDataFrame([(i, f"text {i} {i % 7}") for i in ids[:400]], "doc_id bigint, text string")
+    want = expected_edits([(i, f"text {i} {i % 7}") for i in reversed(ids[:400])])
+    assert sorted(tuple(r) for r in fp.edit_report(docs).collect()) == sorted(want)

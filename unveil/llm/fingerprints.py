@@ -199,8 +199,9 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     length and text hash.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    cuts = id_cuts(rows.select("doc_id"), "doc_id", buckets_for(rows))
-    placed = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
+    parts = buckets_for(rows)
+    cuts = id_cuts(rows.select("doc_id"), "doc_id", parts)
+    placed = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts, parts))
     # null ids sort below every id, in bucket 0
     tops = sorted((r.bucket, r.top) for r in placed.select("bucket", "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     above = {}  # largest id of a bucket -> the bucket that it closes
@@ -208,8 +209,9 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         above[top] = tops[(i + 1) % len(tops)][0]
     ids = {k: v for k, v in above.items() if k is not None}
     if ids:
-        target = F.create_map(*[F.lit(int(x)).cast("bigint") for pair in ids.items() for x in pair])
-        guests = placed.where(F.col("doc_id").isin([int(k) for k in ids])).withColumn("bucket", target[F.col("doc_id")].cast("int"))
+        # one row a bucket: as many as asked for, whatever the size of the table
+        closes = docs.sparkSession.createDataFrame([(int(k), int(v)) for k, v in ids.items()], "doc_id bigint, bucket int")
+        guests = rows.join(F.broadcast(closes), "doc_id")
     else:  # no row has an id: all follow each other in one bucket
         guests = placed
     both = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))

@@ -259,8 +259,9 @@ def id_counts(tokens: DataFrame, vocabulary: int, kind: type) -> np.ndarray:
 def write_blocks(tokens: DataFrame, lengths: np.ndarray, kind: type) -> DataFrame:
     """The block table, in ascending (bucket, block); rows of ``tokens`` are coded first and move as bits."""
     spark = tokens.sparkSession
-    cuts = id_cuts(tokens.select("doc_id"), "doc_id", buckets_for(tokens))
-    placed = tokens.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
+    parts = buckets_for(tokens)
+    cuts = id_cuts(tokens.select("doc_id"), "doc_id", parts)
+    placed = tokens.withColumn("bucket", bucket_of(F.col("doc_id"), cuts, parts))
     totals = sorted((r.bucket, r.n) for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     before, starts = 0, {}
     for bucket, n in totals:
