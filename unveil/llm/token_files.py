@@ -25,7 +25,7 @@ from unveil.llm.textblocks import blocks, per_row, span_hashes
 
 END = 0
 BLOCK_TOKENS = 1 << 17
-UNITS_HELD = 3_000_000
+UNITS_HELD = 1_500_000
 NEWLINE = 198  # the byte-level vocabulary's id of a line feed
 PLAIN = re.compile(r" ?[^\s]+")
 MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
