@@ -61,6 +61,25 @@ def test_family_of_edited_copies_loses_no_link(spark):
     assert result(near_duplicates(df)) == brute(rows)
 
 
+def test_leftovers_of_chained_buckets(spark):
+    """Families of either kind: one text with many edits, and small buckets in a chain."""
+    rng = random.Random(9)
+    rows = []
+    text = words(rng, 100).split()
+    for i in range(120):  # neighbours share much, the ends nothing; most pairs stay below the threshold
+        rows.append((5000 + i, " ".join(text)))
+        for _ in range(rng.choice([1, 2, 3])):
+            text[rng.randrange(100)] = f"w{rng.random()}"
+    base = words(rng, 110).split()
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            copy[rng.randrange(110)] = f"e{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(near_duplicates(df)) == brute(rows)
+
+
 def test_chain_of_copies(spark):
     """Each differs a little from the one before: one class although the ends differ much."""
     rng = random.Random(8)

@@ -10,8 +10,8 @@ Candidates are confirmed on the full sets.
 
 A star alone misses a link between two members that both differ too much from
 the centre. Buckets that still span several components after the stars are
-therefore gathered into families, and each family is compared exactly, by
-size class and in blocks of bounded size, inside tasks (``leftover_links``).
+therefore compared exactly, in families or one by one, by size class and in
+blocks of bounded size, inside tasks (``leftover_links``).
 Only links leave those tasks; pairs are never rows.
 """
 
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, per_star: int = 2000) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, per_star: int = 250) -> DataFrame:
     """The pairs (hub, member) whose full sets reach ``threshold`` percent.
 
     Texts travel to their star once; sets are built where they are compared.
@@ -147,31 +147,45 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, per_star: int =
     return dealt.mapInArrow(run, "hub long, member long")
 
 
-def leftover_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, block: int = 256) -> DataFrame:
+def leftover_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, block: int = 128) -> DataFrame:
     """Links (hub, member) between different components of one bucket.
 
     ``buckets`` (bucket, rep) lists the band keys, ``classes`` (rep, n,
     component) what the stars have joined. Buckets with one component need
-    nothing. The rest form families (components of their stars). Two sets can
-    only reach the threshold if their sizes fall into the same or adjacent
-    classes of a geometric ladder, so a family is cut along its sizes; a cut
-    with more than ``block`` documents is dealt into blocks, and every two
-    blocks meet in one cell. A cell holds two blocks at most.
+    nothing. Buckets that share members overlap, so the rest are gathered into
+    families (components of their stars). A family is compared as one group
+    when that takes fewer pairs than its buckets one by one, as for many
+    copies of one text; else, as where small buckets hang together in long
+    chains, each bucket is a group. Two sets can only reach the threshold if
+    their sizes fall into the same or adjacent classes of a geometric ladder,
+    so a group is cut along its sizes; a cut with more than ``block``
+    documents is dealt into blocks, and every two blocks meet in one cell. A
+    cell holds two blocks at most.
     """
     labelled = buckets.join(classes, "rep")
-    spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("lo != hi")
-    star = stored(with_group(labelled, spread.select("bucket", "hub"), "bucket").select("hub", "rep").distinct(), "families")
-    family = components(star, "hub", "rep").select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    mixed = labelled.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub"), F.count("*").alias("size")
+    ).where("lo != hi")
+    held = stored(with_group(labelled, mixed.select("bucket", "hub", "size"), "bucket").select("bucket", "hub", "size", "rep"), "mixed-buckets")
+    family = stored(components(held.select("hub", "rep").distinct(), "hub", "rep").select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
+    whole = family.groupBy("family").agg(F.count("*").alias("members"))
+    stars = held.select("bucket", "hub", "size").distinct().join(family.withColumnRenamed("rep", "hub"), "hub")
+    cost = stars.groupBy("family").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
+    together = whole.join(cost, "family").where("members * members <= apart").select("family")
+    as_one = family.join(together, "family", "left_semi").select("rep", F.lit(0).alias("kind"), F.col("family").alias("gid"))
+    apart = family.join(together, "family", "left_anti").select("rep")
+    one_by_one = held.join(apart, "rep", "left_semi").select("rep", F.lit(1).alias("kind"), F.col("bucket").alias("gid"))
     step = float(np.log(100 / threshold)) * 1.0001
-    sized = family.join(classes, "rep").withColumn("rung", F.floor(F.log("n") / step).cast("int"))
+    sized = as_one.unionByName(one_by_one).join(classes, "rep").withColumn("rung", F.floor(F.log("n") / step).cast("int"))
     placed = sized.withColumn("rung", F.explode(F.array(F.col("rung"), F.col("rung") + 1)))
-    cuts = placed.groupBy("family", "rung").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.countDistinct("component").alias("k")).where("k > 1")
-    mine = placed.join(cuts.drop("k"), ["family", "rung"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    group = ["kind", "gid", "rung"]
+    cuts = placed.groupBy(group).agg(
+        F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo != hi")
+    mine = placed.join(cuts.drop("lo", "hi"), group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     meets = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = meets.select(
-        F.col("rep").alias("doc_id"), "component", "family", "rung", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-    keys = ["family", "rung", "i", "j"]
+    keys = [*group, "i", "j"]
+    cells = meets.select(F.col("rep").alias("doc_id"), "component", *group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = docs.join(stored(cells, "cells"), "doc_id").select(*keys, "doc_id", "component", "text")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
@@ -210,7 +224,7 @@ def leftover_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, thre
 
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
-                cols = [rows.column(i).to_pylist() for i in range(6)]
+                cols = [rows.column(i).to_pylist() for i in range(7)]
                 for *key, doc, comp, one in zip(*cols, shingle_sets(data, offsets)):
                     if key != cell:
                         yield from finish()
