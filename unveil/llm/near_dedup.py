@@ -182,7 +182,7 @@ def leftover_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, thre
     cuts = placed.groupBy(group).agg(
         F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")
     ).where("lo != hi")
-    mine = placed.join(cuts.drop("lo", "hi"), group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    mine = with_group(placed, cuts.drop("lo", "hi"), "gid", "kind", "rung").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     meets = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = [*group, "i", "j"]
     cells = meets.select(F.col("rep").alias("doc_id"), "component", *group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
