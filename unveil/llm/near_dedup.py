@@ -171,9 +171,10 @@ def leftover_links(buckets: DataFrame, classes: DataFrame, docs: DataFrame, thre
     whole = family.groupBy("family").agg(F.count("*").alias("members"))
     stars = held.select("bucket", "hub", "size").distinct().join(family.withColumnRenamed("rep", "hub"), "hub")
     cost = stars.groupBy("family").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
-    together = whole.join(cost, "family").where("members * members <= apart").select("family")
-    as_one = family.join(together, "family", "left_semi").select("rep", F.lit(0).alias("kind"), F.col("family").alias("gid"))
-    apart = family.join(together, "family", "left_anti").select("rep")
+    choice = whole.join(cost, "family").select("family", F.expr("members * members <= apart").alias("as_one"))
+    chosen = with_group(family, choice, "family")
+    as_one = chosen.where("as_one").select("rep", F.lit(0).alias("kind"), F.col("family").alias("gid"))
+    apart = chosen.where("not as_one").select("rep")
     one_by_one = held.join(apart, "rep", "left_semi").select("rep", F.lit(1).alias("kind"), F.col("bucket").alias("gid"))
     step = float(np.log(100 / threshold)) * 1.0001
     sized = as_one.unionByName(one_by_one).join(classes, "rep").withColumn("rung", F.floor(F.log("n") / step).cast("int"))

@@ -38,8 +38,8 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, *more: str) -> Data
     """``rows`` joined with an aggregate of them on the long ``key`` and ``more`` columns.
 
     An aggregate by the key is already dealt by it, and a join that reuses
-    that layout cannot be split. Joining on the negated key gives both sides
+    that layout cannot be split. Joining on the complement of the key gives both sides
     an exchange of their own, so the skew join may split a hot key.
     """
-    k = (-F.col(key)).alias("__k")
+    k = F.bitwise_not(F.col(key)).alias("__k")
     return rows.select("*", k).join(groups.select(k, *[c for c in groups.columns if c != key]), ["__k", *more]).drop("__k")
