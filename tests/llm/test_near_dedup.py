@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from llm.llm_words import words
 from unveil.llm.components import components
-from unveil.llm.near_dedup import densified, near_duplicates
+from unveil.llm.near_dedup import MISS, banding, densified, near_duplicates
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,6 +99,30 @@ def test_densified_fills_every_bin_from_the_set():
         assert np.isin(values, ordered).all() and (values == densified(ordered)).all()
 
 
+def test_bands_follow_the_threshold():
+    assert banding(85) == (6, 25) and banding(80) == (5, 30)
+    for threshold in range(1, 101):
+        rows, bands = banding(threshold)
+        assert (1 - (threshold / 100) ** rows) ** bands <= MISS
+    for wrong in (0, 101):
+        with pytest.raises(ValueError):
+            banding(wrong)
+
+
+def test_lower_thresholds_lose_no_link(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):  # one edit each takes away five of 24 to 76 shingles
+        text = words(rng, rng.randint(28, 80)).split()
+        rows.append((2 * i, " ".join(text)))
+        for _ in range(rng.choice([1, 2, 3])):
+            text[rng.randrange(len(text))] = f"edit{rng.random()}"
+        rows.append((2 * i + 1, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for threshold in (80, 40, 5):
+        assert result(near_duplicates(df, threshold)) == brute(rows, threshold)
+
+
 def test_components_of_paths_and_loops(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 300), (7, 7), (900, 901), (901, 900)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")

@@ -3,7 +3,8 @@
 Each document's set of word shingles is hashed once. The 64-bit range is cut
 into equal bins; a bin's value is the least hash in it, and an empty bin
 borrows from the first non-empty bin of its own fixed random probe order
-(optimal densification). Runs of ``ROWS`` bins form the band keys. Documents
+(optimal densification). Runs of bins form the band keys; how many bins a run
+has follows from the threshold (``banding``). Documents
 that share a band key are candidates, and each bucket is covered by a star
 around its least id, so that a bucket of n members costs n - 1 pairs.
 Candidates are confirmed on the full sets.
@@ -18,6 +19,8 @@ Only links leave those tasks; pairs are never rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,31 @@ from unveil.llm.shared import stored, text_of, with_group
 from unveil.llm.textblocks import as_long, blocks, chain, mix, span_hashes, word_spans
 
 WIDTH = 5
-ROWS = 6
-BANDS = 25
-BINS = ROWS * BANDS
+BINS = 150
 PROBES = 64
+MISS = 7.5e-6  # a pair at the threshold is no candidate with this probability at most
 
-_edges = np.array([(i << 64) // BINS for i in range(BINS + 1)][:-1], dtype=np.uint64)
-_probe = (mix(np.arange(BINS * PROBES, dtype=np.uint64) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, PROBES)
+
+def banding(threshold: int) -> tuple[int, int]:
+    """(bins a band, bands): the longest bands that keep to ``MISS`` at ``threshold`` percent.
+
+    ``BINS`` bins are enough from 8 percent on; below, there are more bands of one bin.
+    """
+    if not 1 <= threshold <= 100:
+        raise ValueError("the threshold is a percentage from 1 to 100")
+    for rows in range(BINS, 0, -1):
+        bands = BINS // rows
+        if (1 - (threshold / 100) ** rows) ** bands <= MISS:
+            return rows, bands
+    return 1, ceil(log(MISS) / log1p(-threshold / 100))
+
+
+@lru_cache
+def _bins(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lower edges of ``n`` bins, and the probe order of each."""
+    edges = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
+    probe = (mix(np.arange(n * PROBES, dtype=np.uint64) + np.uint64(77)) % np.uint64(n)).astype(np.int64).reshape(n, PROBES)
+    return edges, probe
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -54,36 +75,38 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> I
             yield chain(hashes[a:z], z - a) if z > a else hashes[:0]
 
 
-def densified(ordered: np.ndarray) -> np.ndarray:
+def densified(ordered: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The bin values of a non-empty sorted hash set."""
-    at = np.searchsorted(ordered, _edges)
+    edges, probe = _bins(bins)
+    at = np.searchsorted(ordered, edges)
     filled = np.append(at[1:], len(ordered)) > at
     values = ordered[np.minimum(at, len(ordered) - 1)]
     empty = np.flatnonzero(~filled)
     if len(empty):
-        probes = filled[_probe[empty]]
+        probes = filled[probe[empty]]
         hit = probes.any(axis=1)
-        source = _probe[empty, probes.argmax(axis=1)]
+        source = probe[empty, probes.argmax(axis=1)]
         for i in np.flatnonzero(~hit):  # a few bins are filled: go on probing
             tries, step = empty[i], 0
             while not filled[tries]:
                 step += 1
-                tries = int(mix(np.array([empty[i] * 1_000_003 + PROBES + step], np.uint64))[0] % np.uint64(BINS))
+                tries = int(mix(np.array([empty[i] * 1_000_003 + PROBES + step], np.uint64))[0] % np.uint64(bins))
             source[i] = tries
         values[empty] = values[source]
     return values
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    parts = values.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    parts = values.reshape(-1, rows)
+    key = np.arange(1, len(parts) + 1, dtype=np.uint64)
+    for k in range(rows):
         key = mix(key + parts[:, k])
     return key
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, threshold: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (hash of the set), bands."""
+    per_band, bands = banding(threshold)
 
     def run(batches):
         for batch in batches:
@@ -93,7 +116,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     n.append(len(one))
                     a.append(one.sum(dtype=np.uint64))
                     b.append(np.bitwise_xor.reduce(mix(one)) if len(one) else np.uint64(0))
-                    keys.append(band_keys(densified(one)).view(np.int64) if len(one) else np.zeros(0, np.int64))
+                    keys.append(band_keys(densified(one, per_band * bands), per_band).view(np.int64) if len(one) else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(n, pa.int64()), as_long(np.array(a, np.uint64)), as_long(np.array(b, np.uint64)), lists],
@@ -254,7 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, doc_id: str = "doc_id"
     per task.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    sets = stored(signatures(rows), "signatures")
+    sets = stored(signatures(rows, threshold), "signatures")
     linkable = sets.where("n_shingles > 0 and doc_id is not null")
     classes = stored(
         linkable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
