@@ -174,6 +174,21 @@ def test_token_files_round_trip(hostile, empty, small_docs):
     assert token_files.report(empty, VOCABULARY).collect() == []
 
 
+def test_ids_are_those_of_the_plain_library_call(make_docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(14)
+    parts = ["a", " ", "\n", "é", "x,", "<|endoftext|>", "<|endof", "text|>", "<|", "1", "日"]
+    texts = ["", "a <|endoftext|> b", "", "<|endof", "text|> split over rows", "plain words", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000))]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    rows = token_files.report(make_docs(texts), VOCABULARY).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [len(w) for w in want]
+    assert [r.start for r in rows] == [0, *np.cumsum([len(w) for w in want])[:-1].tolist()]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(6)
     for counts, limit in ((np.array([0, 5, 0]), 18), (np.array([1, 1]), 18), (2 ** np.arange(30), 8), (rng.integers(0, 1000, 5000), 13)):

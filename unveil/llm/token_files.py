@@ -92,15 +92,18 @@ class WordwiseTokenizer:
     start of a line, a line feed); a unit is looked up by the 64-bit hash of
     its bytes and encoded when it is new. The pre-tokenizer also
     cuts between letters and the marks that follow them, so " word," is put
-    together from " word" and ",". Other texts go to the tokenizer whole. The
+    together from " word" and ",". Other texts go to the tokenizer whole, as do
+    texts with the string of an added token, which the library finds before it
+    cuts; with ``literal`` such a string is ordinary text. The
     table of units is emptied when it has grown large.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.encode("\n", add_special_tokens=False).ids != [NEWLINE]:
             raise ValueError("not the byte-level vocabulary that this reader knows")
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -166,6 +169,16 @@ class WordwiseTokenizer:
         self.first.add(first)
         self.size.add(size)
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The rows that may hold the string of an added token."""
+        raw, at = data.tobytes() if self.added else b"", []
+        for token in self.added:
+            found = raw.find(token)
+            while found >= 0:
+                at.append(found)
+                found = raw.find(token, found + 1)
+        return np.searchsorted(offsets, at, side="right") - 1
+
     def encode(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a block one after the other, and each text's number of ids."""
         if self.numbers.n > UNITS_HELD:
@@ -176,6 +189,7 @@ class WordwiseTokenizer:
         behind[offsets[1:][offsets[1:] > 0] - 1] = 32  # the end of a text counts as a blank
         odd_byte = blank & ((behind == 32) | (behind == 10)) | _rare[data] | (data == 0)
         odd = per_row(odd_byte, offsets) > 0
+        odd[self._with_added(data, offsets)] = True
         ahead = np.concatenate([[np.uint8(32)], data[:-1]])[: len(data)]  # what precedes each byte
         ahead[offsets[:-1][offsets[:-1] < len(data)]] = 32
         line = (data == 10) & (behind != 10) & (ahead != 10)
@@ -215,7 +229,7 @@ _open: dict[str, WordwiseTokenizer] = {}
 def tokenizer_for(path: str) -> WordwiseTokenizer:
     """One tokenizer for each Python worker."""
     if path not in _open:
-        _open[path] = WordwiseTokenizer(path)
+        _open[path] = WordwiseTokenizer(path, literal=False)  # the library's default
     return _open[path]
 
 
