@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from llm.llm_words import words
 from unveil.llm import languages, toxicity
 from unveil.llm.queries import op1, op6, op7
 from unveil.llm.shared import id_fold
+from unveil.llm.textblocks import buffers
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,6 +70,20 @@ def test_toxicity_of_hostile_rows(hostile, empty, spark):
     assert {(r.score, r.predicted) for r in toxicity.score(hostile, none).collect()} == {(0.0, 0)}
 
 
+def test_feature_counts_cover_all_positives(spark):
+    """A cue of few toxic documents is a feature, however small the sample of the fit is."""
+    rng = random.Random(15)
+    rows = [(i, f"{words(rng, 30)} zzyx{'q' if i % 10 else 'rarecue'}") for i in range(300)] + [(1000 + i, words(rng, 30)) for i in range(900)]
+    docs = spark.createDataFrame([*rows, (None, words(rng, 30))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i, _ in rows], "doc_id bigint, toxic int")
+    counts = {r.slot: (r.in_positive, r.in_all) for r in toxicity.feature_counts(docs.select((F.col("doc_id") < 300).alias("positive"), "text")).collect()}
+    column = pa.array(["zzyxrarecue"])
+    keys, _, _ = toxicity.doc_slots(*buffers(column))
+    assert counts[int(keys[np.argmin([counts[int(k)][1] for k in keys])])] == (30, 30)
+    small, whole = (toxicity.learn(docs, labels, positives=n) for n in (20, 20_000))
+    assert small.slots.tolist() == whole.slots.tolist() and set(keys.tolist()) <= set(small.slots.tolist())
+
+
 def test_nnpu_separates_and_stays_non_negative():
     rng = np.random.default_rng(1)
 

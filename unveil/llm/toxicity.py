@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from unveil.llm.shared import text_of
+from unveil.llm.shared import stored, text_of
 from unveil.llm.textblocks import blocks, prefix_hashes, word_spans
 
 BITS = 20
@@ -50,17 +50,15 @@ def doc_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, n, np.diff(first)
 
 
-def feature_counts(docs: DataFrame, positive_ids: np.ndarray) -> DataFrame:
-    """slot, in_positive, in_all: documents that hold each feature. Rows: doc_id, text."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(positive_ids))
+def feature_counts(docs: DataFrame) -> DataFrame:
+    """slot, in_positive, in_all: documents that hold each feature. Rows: positive (true or null), text."""
 
     def run(batches):
         both = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
                 keys, _, _ = doc_slots(data, offsets)
-                ids = np.array(rows.column(0).to_pylist(), dtype=object)
-                toxic = np.isin(np.array([-1 if x is None else x for x in ids], np.int64), shared.value) & (ids != None)  # noqa: E711
+                toxic = rows.column(0).fill_null(False).to_numpy(zero_copy_only=False)
                 slot = keys & ((1 << BITS) - 1)
                 both[1] += np.bincount(slot, minlength=1 << BITS)
                 both[0] += np.bincount(slot[toxic[keys >> BITS]], minlength=1 << BITS)
@@ -131,24 +129,28 @@ def fit_nnpu(positive, unlabelled, n_features: int, prior: float, rounds: int =
 def learn(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
     """Fits the classifier on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    Feature counts cover all of ``docs``. The fit itself uses a bounded sample,
-    the documented limit of this operator: the ``positives`` toxic ids that
-    hash lowest and about ``unlabelled`` documents chosen by the hash of their
-    id. ``prior`` is the share of toxic text; when it is not given, the share
+    Feature counts cover all of ``docs`` and all of its toxic documents; the
+    ``features`` that separate best are kept. The fit itself uses a bounded
+    sample, the documented limit of this operator: the ``positives`` toxic ids
+    that hash lowest and about ``unlabelled`` documents chosen by the hash of
+    their id. ``prior`` is the share of toxic text; when it is not given, the share
     among the labelled rows is used. Null ids and labels teach nothing;
     repeated label rows count once. Without a positive the model scores 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     share, n_known = known.agg(F.avg("toxic"), F.count("*")).first()
-    toxic = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")
+    every_toxic = stored(known.where("toxic = 1").select("doc_id"), "toxic-ids")
+    toxic = every_toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     ids = np.array(toxic.toArrow()["doc_id"].to_numpy(), np.int64)
     if not len(ids):
         return Model(np.zeros(0, np.int64), np.zeros(2), 0.0)
     prior = min(max(share if prior is None else prior, 1e-4), 0.9)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text"))
-    n_docs = rows.count()
-    seen, total = float(len(ids)), float(n_docs)
-    counts = feature_counts(rows, ids).where("in_positive >= 3")
+    # by its stored size the planner broadcasts the list of ids or shuffles it
+    flagged = rows.join(every_toxic.withColumn("positive", F.lit(True)), "doc_id", "left")
+    n_docs, n_positive = flagged.agg(F.count("*"), F.count("positive")).first()
+    seen, total = float(n_positive), float(n_docs)
+    counts = feature_counts(flagged.select("positive", "text")).where("in_positive >= 3")
     a = F.log((F.col("in_positive") + 0.5) / (seen - F.col("in_positive") + 0.5))
     b = F.log((F.col("in_all") + 0.5) / (total - F.col("in_all") + 0.5))
     lift = (a - b) / F.sqrt(1 / (F.col("in_positive") + 0.5) + 1 / (F.col("in_all") + 0.5))
