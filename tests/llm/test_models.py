@@ -52,6 +52,47 @@ def test_mixed_text_names_both_languages(make_docs, spark):
     assert abs(got[0].score - 30 / 42) < 0.05 and got[1].score == 1.0
 
 
+def test_text_in_many_languages_names_them_all(make_docs, spark):
+    rng = random.Random(16)
+    sounds = {"a": ("ba", "do"), "b": ("sch", "tze"), "c": ("lli", "ppo"), "d": ("qua", "xin"), "e": ("ngw", "mbe"), "f": ("ryk", "vaz")}
+    text = {x: lambda n, s=s: " ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(n)) for x, s in sounds.items()}
+    rows = [(i, text[x](40), x) for x in sounds for i in range(10)]
+    model = languages.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    mixes = [dict(zip(sounds, (45, 40, 35, 30, 25, 20))), dict(zip("bcde", (40, 30, 25, 20))), {"f": 30}]
+    test = make_docs([" ".join(text[x](n) for x, n in mix.items()) for mix in mixes])
+    got = {r.doc_id: r for r in languages.identify(test, model).collect()}
+    for i, mix in enumerate(mixes):
+        assert got[i].languages == list(mix) and abs(got[i].score - max(mix.values()) / sum(mix.values())) < 0.05
+
+
+def test_bound_leaves_out_no_better_set():
+    """Against all nested sizes, one row at a time: the chosen set has the best penalised likelihood."""
+    rng = np.random.default_rng(17)
+    logs, n = [], []
+    for _ in range(150):  # words of one to five of six languages, from clear to doubtful
+        share = rng.dirichlet(np.full(6, rng.choice([0.1, 0.5, 2.0])))
+        n.append(int(rng.integers(2, 200)))
+        own = rng.choice(6, n[-1], p=share)
+        logs.append(rng.normal(0, 1, (n[-1], 6)) + rng.choice([0.5, 2.0, 6.0]) * np.eye(6)[own])
+    got = languages.mixtures(np.concatenate(logs).astype(np.float32), np.concatenate([[0], np.cumsum(n)]))
+    late = 0
+    for one, found in zip(logs, got):
+        best = one.max(axis=1, keepdims=True)
+        p = np.exp(np.maximum(one - best, -60)).astype(np.float32)
+        first = np.array([0, len(p)])
+        share, _ = languages._em(p, first, np.full((1, 6), 1 / 6, np.float32), languages.ROUNDS)
+        alone = np.maximum(one - best, -60).sum(axis=0)
+        share[0, alone.argmax()] += 1
+        order = np.argsort(-share[0], kind="stable")
+        values = [alone.max()]
+        for size in range(2, 7):
+            _, value = languages._em(p[:, order[:size]] + np.float32(1e-30), first, np.full((1, size), 1 / size, np.float32), languages.ROUNDS)
+            values.append(value[0] - (size - 1) * (0.5 * np.log(len(p)) + 3))
+        late += np.argmax(values) > 2 or any(a > b and max(values[i:]) > a for i, (a, b) in enumerate(zip(values, values[1:])))
+        assert values[len(found) - 1] >= max(values) - 0.01
+    assert late  # some rows need a fourth language, or a size after one without gain
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = op1(spark, SF).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()

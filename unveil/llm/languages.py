@@ -6,7 +6,8 @@ one language, drawn with the document's proportions, and its likelihood is the
 product of its windows' probabilities. Expectation-maximisation finds the
 proportions; the language set is the one with the best penalised likelihood
 (half a log of the word count for each language beyond the first) among the
-nested sets of the most probable languages.
+nested sets of the most probable languages, up to all that were learned. A
+set size is left out only where no mixture at all could pay its penalty.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from unveil.llm.textblocks import blocks, has_letter, per_row, window_slots, wor
 WIDTH = 4
 BITS = 16
 ROUNDS = 8
-MOST = 3  # languages named for one document
 UNKNOWN = "und"
 
 
@@ -80,16 +80,25 @@ def _em(likelihood: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: in
     return share, per_row(np.log((share[of_word] * likelihood).sum(axis=1)), first)
 
 
-def mixtures(word_logs: np.ndarray, first: np.ndarray, most: int = MOST, rounds: int = ROUNDS) -> list[list[tuple[int, float]]]:
+def _penalty(size: int, words: np.ndarray) -> np.ndarray:
+    return 0.5 * (size - 1) * np.log(words) + 3.0 * (size - 1)
+
+
+def mixtures(word_logs: np.ndarray, first: np.ndarray, most: int | None = None, rounds: int = ROUNDS) -> list[list[tuple[int, float]]]:
     """Per row the chosen languages with their proportions, largest first.
 
     ``word_logs`` has a row for each word. Ties go to the language that sorts
-    first. A row without words has no language.
+    first. A row without words has no language. ``most`` bounds the sets; they
+    grow to all languages when it is not given.
     """
     words, k = np.diff(first), word_logs.shape[1]
     best = word_logs.max(axis=1, keepdims=True) if len(word_logs) else word_logs
     likelihood = np.exp(np.maximum(word_logs - best, -60)).astype(np.float32)
-    share, _ = _em(likelihood, first, np.full((len(words), k), 1 / k, np.float32), rounds)
+    share, full = _em(likelihood, first, np.full((len(words), k), 1 / k, np.float32), rounds)
+    # no proportions have a log likelihood beyond this (Jensen, from the shares reached); 1 covers rounding
+    mixed = (share[np.repeat(np.arange(len(words)), words)] * likelihood).sum(axis=1, keepdims=True)
+    gain = per_row(likelihood / mixed, first).max(axis=1) / np.maximum(words, 1)
+    bound = np.minimum(full + words * np.log(np.maximum(gain, 1.0)), 0.0) + 1.0
     alone = per_row(np.maximum(word_logs - best, -60), first)
     top = alone.argmax(axis=1)
     share[np.arange(len(words)), top] += 1.0  # the best single language heads the nested sets
@@ -97,7 +106,8 @@ def mixtures(word_logs: np.ndarray, first: np.ndarray, most: int = MOST, rounds:
     chosen = [[(int(t), 1.0)] if n else [] for t, n in zip(top, words)]
     value = alone.max(axis=1)
     active = np.flatnonzero(words > 1)
-    for size in range(2, min(most, k) + 1):
+    for size in range(2, min(most or k, k) + 1):
+        active = active[bound[active] - _penalty(size, words[active]) > value[active]]
         if not len(active):
             break
         runs = [np.arange(first[i], first[i + 1]) for i in active]
@@ -105,13 +115,12 @@ def mixtures(word_logs: np.ndarray, first: np.ndarray, most: int = MOST, rounds:
         pick = np.repeat(order[active, :size], words[active], axis=0)
         part = np.take_along_axis(likelihood[np.concatenate(runs)], pick, axis=1) + np.float32(1e-30)
         mixed, logs = _em(part, sub, np.full((len(active), size), 1 / size, np.float32), rounds)
-        logs -= 0.5 * (size - 1) * np.log(words[active]) + 3.0 * (size - 1)
+        logs -= _penalty(size, words[active])
         better = logs > value[active]
         for j in np.flatnonzero(better):
             i = active[j]
             value[i] = logs[j]
             chosen[i] = sorted(((int(x), float(s)) for x, s in zip(order[i, :size], mixed[j])), key=lambda z: (-z[1], z[0]))
-        active = active[better]
     return chosen
 
 
