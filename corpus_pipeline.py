@@ -8,36 +8,67 @@ tables follow the operators' own rules.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unveil.llm import languages, mixing, packing, personal_data
 from unveil.llm.near_dedup import near_duplicates
-from unveil.llm.shared import stored
+from unveil.llm.shared import stored, text_of
+from unveil.llm.textblocks import blocks, has_letter
 from unveil.session import ship_package
 
 # the model, the replication draw and the packing shards are not SQL
 ORACLE_SQL = None
 
 
+def _with_letter(docs: DataFrame) -> DataFrame:
+    """The rows whose text holds a letter."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "__text"):
+                yield rows.filter(pa.array(has_letter(rows.column(place), data, offsets))).select(names)
+
+    names, place = docs.columns, len(docs.columns)
+    return docs.select(*names, text_of().alias("__text")).mapInArrow(run, docs.schema)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language; a null ``lang`` takes the predicted one."""
+    """Drops documents without an identifiable language; a null ``lang`` takes the predicted one.
+
+    Where no row has a ``lang`` to learn from, only texts without a letter are dropped.
+    """
     ship_package(spark)
-    named = languages.identify(docs, languages.learn(docs), pred="__pred", score="__score", mix="__mix")
+    model = languages.learn(docs)
+    if not model[0]:
+        return _with_letter(docs)
+    named = languages.identify(docs, model, pred="__pred", score="__score", mix="__mix")
     kept = named.where(F.col("__pred") != languages.UNKNOWN)
     return kept.select(*[F.coalesce("lang", "__pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate class, and one row of a repeated id."""
+    """Keeps the document with the least id of each near-duplicate class.
+
+    Different texts under one id are documents of their own here; of rows that
+    repeat both id and text one is kept. Rows with a null id are all kept.
+    """
     ship_package(spark)
-    classes = stored(near_duplicates(docs), "classes-of-docs")
-    gone = classes.where("not kept").select("doc_id").distinct()
-    again = stored(classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    again = stored(docs.groupBy(F.col("doc_id").cast("bigint").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated-ids")
     if not again.head(1):
+        gone = stored(near_duplicates(docs).where("not kept").select("doc_id"), "gone")
         return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    alone = docs.join(gone.unionByName(again).hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    return alone.unionByName(docs.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    marked = docs.withColumn("__id", F.col("doc_id").cast("bigint")).join(again.withColumn("__again", F.lit(True)), "__id", "left")
+    keyed = marked.withColumn("__key", F.when(F.col("__again"), F.xxhash64("__id", text_of())).otherwise(F.col("__id")))
+    classes = near_duplicates(keyed, doc_id="__key").where("doc_id is not null").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    members = keyed.where("__key is not null").select("__key", "__id").distinct()
+    versions = stored(classes.join(members, "__key"), "versions-of-docs")
+    least = versions.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("least")).select("least.__key")
+    gone = stored(versions.join(least, "__key", "left_anti").select("__key").distinct(), "gone")
+    rest = keyed.join(gone.hint("merge"), "__key", "left_anti")
+    once = rest.where("__again").dropDuplicates(["__key"]).select(docs.columns)
+    return rest.where("__again is null").select(docs.columns).unionByName(once)
 
 
 def personal_data_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

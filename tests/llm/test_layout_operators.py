@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from llm.llm_words import words
 from unveil.llm import mixing, packing, vectors
 from unveil.llm.shared import stored
 
@@ -178,6 +179,26 @@ def test_pipeline_stages(spark, small_docs, stage_outputs):
     assert sum(r.length for r in packed.collect()) == sum(len(r.text.encode()) + 1 for r in mixed.collect())
 
 
+def test_near_dedup_stage_keeps_clean_versions_of_an_id(spark):
+    rng = random.Random(18)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(3, a), (7, a + " end"), (7, b), (7, b), (7, None), (7, "x"), (9, b + " end"), (5, c), (5, c + " end"), (2, d), (None, d), (11, e), (11, ""), (12, d)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert [x for x in got if x[0] == 5] in ([(5, c)], [(5, c + " end")])
+    want = [(3, a), (7, b), (7, None), (7, "x"), (2, d), (None, d), (11, e), (11, "")]
+    assert sorted(map(str, (x for x in got if x[0] != 5))) == sorted(map(str, want))
+
+
+def test_language_stage_without_any_language_keeps_texts_with_a_letter(spark):
+    rows = [(1, "some words", None), (2, "12 345", None), (3, None, None), (4, "日本語", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "")
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[3]]
+
+
 def test_run_equals_the_stages(spark, stage_outputs):
     key = lambda r: (r.doc_id, r.copy, r.piece, r.length, r.bin_id, r.bin_offset)
     assert sorted(map(key, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())) == sorted(map(key, stage_outputs[-1].collect()))
