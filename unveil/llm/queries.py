@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unveil.llm import context_tree, fingerprints, languages, mixing, packing, personal_data, token_files, toxicity, vectors
+from unveil.llm import alignment, context_tree, decontamination, fingerprints, hard_negatives, languages, mixing, packing, personal_data, token_files, toxicity, vectors
 from unveil.llm.near_dedup import near_duplicates
 from unveil.llm.shared import id_fold, table
 
@@ -133,3 +133,80 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = context_tree.score_texts(docs, id_fold(F.col("doc_id"), 10) != 0)
     return out.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP11_SQL = r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS width, unnest(list_transform(generate_series(1, len(w) - least(len(w), 10) + 1), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+widths AS (SELECT DISTINCT width FROM windows),
+places AS (
+  SELECT doc_id, width, w, unnest(generate_series(1, len(w) - width + 1)) AS pos FROM low, widths WHERE len(w) >= width),
+grams AS (SELECT doc_id, width, pos, array_to_string(w[pos:pos + width - 1], ' ') AS g FROM places),
+found AS (SELECT x.doc_id, x.pos, x.width, y.item_id FROM grams x JOIN windows y USING (width, g)),
+hits AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + width - 1)) AS p FROM found) GROUP BY 1),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1),
+linked AS (
+  SELECT DISTINCT x.doc_id, x.pos AS d_at, x.item_id, i.pos AS i_at, x.width FROM found x
+  JOIN (SELECT item_id, width, unnest(generate_series(1, len(w) - width + 1)) AS pos, w FROM (SELECT item_id, least(len(w), 10) AS width, w FROM items WHERE len(w) > 0)) i
+    ON i.item_id = x.item_id AND i.width = x.width
+  JOIN low d ON d.doc_id = x.doc_id WHERE i.w[i.pos:i.pos + x.width - 1] = d.w[x.pos:x.pos + x.width - 1]),
+reach AS (
+  SELECT l.doc_id, l.d_at, l.item_id, l.width + coalesce(
+    list_position(list_transform(generate_series(0, greatest(len(d.w) - l.d_at, len(i.w) - l.i_at) + 1),
+      lambda k: coalesce(d.w[CAST(l.d_at + l.width + k AS BIGINT)] = i.w[CAST(l.i_at + l.width + k AS BIGINT)], false)), false) - 1, 0) AS n
+  FROM linked l JOIN low d ON d.doc_id = l.doc_id JOIN items i ON i.item_id = l.item_id),
+best AS (
+  SELECT doc_id, n, d_at, item_id FROM reach
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d_at, CAST(item_id AS VARCHAR)) = 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+  CAST(coalesce(b.n, 0) AS INTEGER) AS longest, CAST(b.d_at - 1 AS BIGINT) AS longest_at, CAST(b.item_id AS VARCHAR) AS longest_item
+FROM low w LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN best b USING (doc_id)
+"""
+
+
+@query("op11_suffix_decontamination", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM good a JOIN good c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=moved)
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment.report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
-_M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+_FOLD = 0xD1B54A32D192ED03
 
 _space = np.zeros(256, bool)
 _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -33,18 +32,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_BYTE = _EXACT[LOWER]
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a lane
+_LANES = 32  # longer spans are hashed as trees
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, _BASE if kind == "up" else _INV, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps)
-    return _powers[kind]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each byte, as one number (blanks of zero behind the end)."""
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
+
+
+def _tree(values: np.ndarray) -> np.uint64:
+    """One number for a row of lanes; neighbours are folded in pairs."""
+    while len(values) > 1:
+        if len(values) % 2:
+            values = np.append(values, np.uint64(0))
+        values = mix(values[0::2] * np.uint64(_BASE) ^ mix(values[1::2] + np.uint64(_FOLD)))
+    return values[0]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +76,12 @@ def blocks(batch: pa.RecordBatch, column: str, max_bytes: int = BLOCK_BYTES) ->
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, per row, the first word."""
-    inside = ~_space[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, per row, the first word.
+
+    ``between`` tells for each byte whether it stands between words.
+    """
+    inside = ~between[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1]) if len(data) else None
@@ -85,29 +92,60 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths: tuple[int, ...], fold: bool = True, chunk: int = 1 << 19) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths: tuple[int, ...], fold: bool = True) -> np.ndarray:
     """Hashes of the first ``w`` bytes of each span, a row for each w (0: the whole span).
 
-    A-Z folds to a-z (with ``fold``); equal bytes have equal hashes. The sums behind the
-    hashes are made once per ``chunk`` bytes; only a longer span needs more.
+    A-Z folds to a-z (with ``fold``); equal bytes have equal hashes. Lanes of
+    eight bytes are folded in one after the other, each step being a bijection of
+    the state for a given lane. Words of one length up to eight bytes
+    never collide, and no sum over positions is involved that regular words
+    could cancel.
     """
-    byte = _BYTE if fold else _EXACT
-    out, first = np.empty((len(widths), len(starts)), np.uint64), 0
-    while first < len(starts):
-        base = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(ends, base + chunk, side="right")))
-        part = data[base : int(ends[last - 1])]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(byte[part] * _power("up", len(part) + 1)[: len(part)], out=sums[1:])
-        s, e = starts[first:last] - base, ends[first:last] - base
-        down = _power("down", len(part) + 1)[s]
-        for k, w in enumerate(widths):
-            z = np.minimum(e, s + w) if w else e
-            out[k, first:last] = mix((sums[z] - sums[s]) * down + (z - s).astype(np.uint64))
-        first = last
+    lane = lanes(LOWER[data] if fold else data)
+    out = np.empty((len(widths), len(starts)), np.uint64)
+    for row, w in enumerate(widths):
+        size = np.minimum(ends - starts, w) if w else ends - starts
+        h = size.astype(np.uint64) * np.uint64(_FOLD)
+        at, left, h_all = starts, size, h
+        which = None
+        for _ in range(_LANES):
+            h = mix((h ^ (lane[at] & _HEAD[np.minimum(left, 8)])) * np.uint64(_BASE))
+            if which is None:
+                h_all = h
+            else:
+                h_all[which] = h
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            which = more if which is None else which[more]
+            at, left, h = at[more] + 8, left[more] - 8, h[more]
+        else:
+            for i, a, n in zip(which, at, left):
+                whole = lane[a : a + n : 8].copy()
+                whole[-1] &= _HEAD[(n - 1) % 8 + 1]
+                h_all[i] = mix(h_all[i : i + 1] * np.uint64(_BASE) ^ _tree(whole))[0]
+        out[row] = h_all
     return out
 
 
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether the i-th span of ``a`` has the bytes of the i-th span of ``b``."""
+    left = a_ends - a_starts
+    same = left == b_ends - b_starts
+    la, lb, which = lanes(a), lanes(b), np.flatnonzero(same)
+    left, x, y = left[which], a_starts[which], b_starts[which]
+    for _ in range(_LANES):
+        equal = (la[x] ^ lb[y]) & _HEAD[np.minimum(left, 8)] == 0
+        same[which[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        if not len(more):
+            return same
+        which, left, x, y = which[more], left[more] - 8, x[more] + 8, y[more] + 8
+    for i, n, u, v in zip(which, left, x, y):
+        same[i] = np.array_equal(a[u : u + n], b[v : v + n])
+    return same
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hash of each span, A-Z folded to a-z (with ``fold``); equal bytes have equal hashes."""
     return prefix_hashes(data, starts, ends, (0,), fold)[0]

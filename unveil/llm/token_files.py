@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from unveil.llm import huffman
 from unveil.llm.ordered import bucket_of, buckets_for, id_cuts
 from unveil.llm.shared import stored, text_of
-from unveil.llm.textblocks import blocks, per_row, span_hashes
+from unveil.llm.textblocks import blocks, per_row, same_spans, span_hashes
 
 END = 0
 BLOCK_TOKENS = 1 << 17
@@ -90,7 +90,9 @@ class WordwiseTokenizer:
     followed by a non-blank, and around a single line feed. Texts whose blanks
     are all of that kind are cut there into units (" word", "word" at the
     start of a line, a line feed); a unit is looked up by the 64-bit hash of
-    its bytes and encoded when it is new. The pre-tokenizer also
+    its bytes and encoded when it is new. Its bytes are kept and compared, and
+    a text with a unit that only shares the hash of a known one goes to the
+    tokenizer whole. The pre-tokenizer also
     cuts between letters and the marks that follow them, so " word," is put
     together from " word" and ",". Other texts go to the tokenizer whole, as do
     texts with the string of an added token, which the library finds before it
@@ -112,6 +114,8 @@ class WordwiseTokenizer:
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.flat, self.first, self.size = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int32)
+        self.raw, self.raw_end = _Grown(np.uint8), _Grown(np.int64)
+        self.raw_end.add(np.zeros(1, np.int64))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,16 +128,24 @@ class WordwiseTokenizer:
         at += np.arange(len(at))
         return self.flat.room[at]
 
+    def _clashes(self, numbers: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Units that are not the known ones whose hash they share."""
+        raw = self.raw.room[: self.raw.n]
+        return np.flatnonzero(~same_spans(data, starts, ends, raw, self.raw_end.room[numbers], self.raw_end.room[numbers + 1]))
+
     def _number(self, units: list[str]) -> np.ndarray:
-        """The numbers of units given as strings; new ones are learned."""
+        """The numbers of units given as strings; new ones are learned. -1 where a known one has the hash."""
         raw = [u.encode() for u in units]
         ends = np.cumsum([len(x) for x in raw])
-        keys = span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends, fold=False)
+        starts, data = np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(raw), np.uint8)
+        keys = span_hashes(data, starts, ends, fold=False)
         new = np.flatnonzero(self.numbers.get(keys) < 0)
         if len(new):
             unique, at = np.unique(keys[new], return_index=True)
             self._learn(unique, [units[i] for i in new[at]])
-        return self.numbers.get(keys)
+        numbers = self.numbers.get(keys)
+        numbers[self._clashes(numbers, data, starts, ends)] = -1
+        return numbers
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
         """Finds the ids of new units. Plain ones are encoded in strings of many, a line feed between them."""
@@ -146,6 +158,9 @@ class WordwiseTokenizer:
             elif not PLAIN.fullmatch(u):
                 kinds[i] = 1
         pairs = self._number(parts).reshape(-1, 2) if parts else None
+        if parts and (pairs < 0).any():
+            kinds[np.flatnonzero(kinds == 2)[(pairs < 0).any(axis=1)]] = 1
+            pairs = pairs[(pairs >= 0).all(axis=1)]
         first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
 
         def put(kind, ids, sizes):
@@ -163,8 +178,12 @@ class WordwiseTokenizer:
         others = self._whole([u for u, k in zip(units, kinds) if k == 1])
         if others:
             put(1, np.concatenate(others), np.array([len(x) for x in others]))
-        if parts:
+        if pairs is not None and len(pairs):
             put(2, self._joined(pairs.ravel()), self.size.room[pairs].sum(axis=1))
+        raw = [u.encode() for u in units]
+        ends = self.raw.n + np.cumsum([len(x) for x in raw])
+        self.raw.add(np.frombuffer(b"".join(raw), np.uint8))
+        self.raw_end.add(ends)
         self.numbers.add(keys, np.arange(self.first.n, self.first.n + len(units), dtype=np.int32))
         self.first.add(first)
         self.size.add(size)
@@ -211,6 +230,7 @@ class WordwiseTokenizer:
             raw = data.tobytes()
             self._learn(unique, [raw[starts[i] : ends[i]].decode() for i in new[at]])
             numbers = self.numbers.get(keys)
+        odd[np.searchsorted(row_first, self._clashes(numbers, data, starts, ends), side="right") - 1] = True
         ids = self._joined(numbers)
         sizes = np.concatenate([[0], np.cumsum(self.size.room[numbers])])
         counts = sizes[row_first[1:]] - sizes[row_first[:-1]]
