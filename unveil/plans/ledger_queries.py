@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from unveil.operators import consensus as K
 from unveil.operators import ledger as L
+from unveil.operators import segments as S
 from unveil.operators.planting import planted
 from unveil.plans import standins as X
 from unveil.plans.common import SEP, bsize, sha, stored
@@ -180,3 +181,84 @@ def l3_get_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = subs.select("evidence_id").distinct().unionByName(ghosts)
     got = L.get_records(spark, path, requests)
     return got.select("evidence_id", "found", "category", "submitted_by", "evidence_hash")
+
+
+# ------------------------------------------------------------------ several writers, segments, index
+
+
+@register(
+    "l2_two_writers",
+    pipeline_with(
+        """
+subs AS (SELECT CASE WHEN doc_id % 11 = 4 THEN 'solo-' || CAST(doc_id AS VARCHAR)
+                     ELSE 'ev-' || CAST(doc_id // 5 AS VARCHAR) END AS ev,
+                doc_id AS sub_id, CASE WHEN doc_id % 2 = 0 THEN 'job-a' ELSE 'job-b' END AS writer, * FROM verdict),
+outcome AS (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY writer, sub_id) = 1 AS won,
+                   first_value(writer) OVER (PARTITION BY ev ORDER BY writer, sub_id) AS stored_by FROM subs)"""
+    )
+    + """SELECT writer, ev AS evidence_id, sub_id, CASE WHEN won THEN 'recorded' ELSE 'rejected' END AS status, stored_by,
+       CAST(1 AS BIGINT) AS stored, CASE WHEN won THEN category END AS category, CASE WHEN won THEN evidence_hash END AS evidence_hash
+FROM outcome""",
+)
+def l2_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers decide before either publishes; the one that publishes later yields the ids both took."""
+    root = work_path(spark, "two-writers")
+    ledger_path, outcome_path = os.path.join(root, "ledger"), os.path.join(root, "outcome")
+    subs = scenario_submissions(spark, sf_dir)
+    decided = [L.decide(subs.where(F.col("doc_id") % 2 == k), ledger_path, outcome_path, 0, stub_scorer(), w) for k, w in enumerate(("job-a", "job-b"))]
+    for batch in decided:
+        L.publish(spark, batch)
+    held = L.read_ledger(spark, ledger_path).groupBy("evidence_id").agg(F.count(F.lit(1)).alias("stored"), F.min("writer").alias("stored_by"))
+    out = spark.read.schema(L.OUTCOME_SCHEMA).parquet(outcome_path)
+    return out.join(held, "evidence_id").select("writer", "evidence_id", "sub_id", "status", "stored_by", "stored", "category", "evidence_hash")
+
+
+SEGMENTS = S.FANOUT + 1
+
+
+def segmented_ledger(spark: SparkSession, sf_dir: str) -> str:
+    """The verdicts of all planted documents in SEGMENTS commits."""
+    path = work_path(spark, "segments")
+    verdicts = planted_verdicts(spark, sf_dir).withColumn("submitted_by", F.col("sender"))
+    rows = stored(verdicts.select(*L.RECORD_FIELDS, "doc_id"), "verdict-rows")
+    for k in range(SEGMENTS):
+        part = S.write_segment(L.ledger_rows(rows.where(F.col("doc_id") % SEGMENTS == k), k), path)
+        if not S.commit(spark, S.snapshot(spark, path), [part], batch=("batch", k)):
+            raise RuntimeError("another writer in a folder of this job")
+    return path
+
+
+@register(
+    "s2_level_merge",
+    pipeline_with()
+    + f"""SELECT evidence_id, CAST(doc_id % {SEGMENTS} AS BIGINT) AS batch_id, category, CAST(1 AS BIGINT) AS copies_before,
+       CAST(1 AS BIGINT) AS copies_after FROM verdict""",
+)
+def s2_level_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that began before a merge and one that begins after it see each id once."""
+    path = segmented_ledger(spark, sf_dir)
+    reader = S.rows_of(spark, S.snapshot(spark, path), L.LEDGER_SCHEMA)
+    S.merge_levels(spark, path, L.LEDGER_SCHEMA)
+    before = reader.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("copies_before"))
+    after = L.read_ledger(spark, path).groupBy("evidence_id", "batch_id", "category").agg(F.count(F.lit(1)).alias("copies_after"))
+    return after.join(before, "evidence_id").select("evidence_id", "batch_id", "category", "copies_before", "copies_after")
+
+
+@register(
+    "l3_indexed_lookup",
+    pipeline_with(
+        """
+requests AS (SELECT evidence_id FROM verdict WHERE doc_id % 7 = 0
+                  UNION ALL SELECT 'ghost-' || CAST(doc_id AS VARCHAR) FROM verdict)"""
+    )
+    + """SELECT r.evidence_id, v.evidence_hash IS NOT NULL AS found, v.category, v.sender AS submitted_by, v.evidence_hash
+FROM requests r LEFT JOIN verdict v ON r.evidence_id = v.evidence_id""",
+)
+def l3_indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by range and Bloom page in a ledger of merged and fresh segments."""
+    path = segmented_ledger(spark, sf_dir)
+    S.merge_levels(spark, path, L.LEDGER_SCHEMA)
+    docs = planted(spark, sf_dir).select("evidence_id", "doc_id")
+    ghosts = docs.select(F.concat(F.lit("ghost-"), F.col("doc_id").cast("string")).alias("evidence_id"))
+    got = L.get_records(spark, path, docs.where(F.col("doc_id") % 7 == 0).select("evidence_id").unionByName(ghosts))
+    return got.select("evidence_id", "found", "category", "submitted_by", "evidence_hash")
