@@ -5,3 +5,4 @@ from unveil.plans import pipeline_queries  # noqa: F401
 from unveil.plans import ledger_queries  # noqa: F401
 from unveil.plans import evaluation_queries  # noqa: F401
 from unveil.plans import receipt_queries  # noqa: F401
+from unveil.plans import streaming_queries  # noqa: F401
