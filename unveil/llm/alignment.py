@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unveil.llm.shared import stored, text_of
-from unveil.llm.textblocks import blocks, buffers, per_row
-from unveil.llm.token_files import WordwiseTokenizer, _binaries
+from unveil.llm.textblocks import blocks, buffers, per_row, same_spans, span_hashes
+from unveil.llm.token_files import WordwiseTokenizer, _binaries, _Grown, _Numbers
 
-WINDOWS_HELD = 1_000_000
+WINDOWS_HELD = 300_000
 HELD = 1 << 20
 PAIRS_HELD = 1 << 21
+GAP = 0xFFFFFFFF  # between the ids of both sides in a window's key; no id
 LONG_TEXT = 1 << 18  # characters; longer texts reach the piece tokenizer in parts, cut where no piece can cross
 
 
@@ -57,6 +58,39 @@ class Entries:
         return self.data[at]
 
 
+class Windows:
+    """Windows met so far by their id tuples, with their groups as text and their links."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.raw, self.text, self.links = _Grown(np.uint8), _Grown(np.uint8), _Grown(np.uint32)
+        self.raw_end, self.text_end, self.link_end = (_Grown(np.int64) for _ in range(3))
+        for ends in (self.raw_end, self.text_end, self.link_end):
+            ends.add(np.zeros(1, np.int64))
+
+    def get(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of windows given by hash and bytes; -1 for those that are not known."""
+        numbers = self.numbers.get(keys)
+        met = np.flatnonzero(numbers >= 0)
+        at = numbers[met]
+        same = same_spans(raw, starts[met], ends[met], self.raw.room[: self.raw.n], self.raw_end.room[at], self.raw_end.room[at + 1])
+        numbers[met[~same]] = -1
+        return numbers.astype(np.int64)
+
+    def add(self, keys: np.ndarray, raw, raw_size, text, text_size, links, n_links) -> None:
+        """Stores windows that are new and whose hashes differ from each other and from all known ones."""
+        self.numbers.add(keys, np.arange(self.raw_end.n - 1, self.raw_end.n - 1 + len(keys), dtype=np.int32))
+        for held, ends, values, size in ((self.raw, self.raw_end, raw, raw_size), (self.text, self.text_end, text, text_size), (self.links, self.link_end, links.ravel(), 2 * n_links)):
+            ends.add(held.n + np.cumsum(size))
+            held.add(values)
+
+
+def spans(held: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The given spans of an array, one after the other."""
+    n = hi - lo
+    return held[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+
+
 class Pair:
     """Both tokenizers with their entries, and the windows met so far."""
 
@@ -71,14 +105,13 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.of_b = Entries([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.digits = Entries([str(i).encode() for i in range(max(len(entries), len(pieces)))])
         # pieces never hold a space behind another character, so a text may be cut before such a space
         self.cuttable = not any(" " in p.replace("▁", " ").lstrip(" ") for p in pieces)
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[str] = []
-        self.links: list[np.ndarray] = []
+        self.windows = Windows()
 
     def pieces(self, text: str) -> list[int]:
         """Ids of a whole text by the piece tokenizer."""
@@ -96,16 +129,6 @@ class Pair:
                 out.append(self.b.piece_to_id("▁"))
         return out
 
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, np.ndarray]:
-        """Groups of a window as text, and its links (a, b)."""
-        ends_a, ends_b = np.cumsum(self.of_a.size[list(a)]), np.cumsum(self.of_b.size[list(b)])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, return_indices=True)
-        groups, i, j = [], 0, 0
-        for x, y in zip(at_a.tolist(), at_b.tolist()):
-            groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
-            i, j = x + 1, y + 1
-        return ";".join(groups), np.array([[a[x], b[y]] for x, y in zip(at_a, at_b)], np.uint32).reshape(-1, 2)
-
     def _tokens(self, rows: pa.Array, lead: np.ndarray, offsets: np.ndarray):
         """Flat ids and numbers of ids of both sides; texts whose token bytes differ from the text have none."""
         ids_a, n_a = self.a.encode(rows, lead, offsets)
@@ -122,36 +145,85 @@ class Pair:
             right[np.flatnonzero(right)[per_row(~same, kept) > 0]] = False
         return ids_a[np.repeat(right, n_a)], np.where(right, n_a, 0), ids_b[np.repeat(right, n_b)], np.where(right, n_b, 0)
 
-    def align(self, rows: pa.Array, lead: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, str, np.ndarray]]:
-        """n_a, n_b, groups and links of each row of a block; texts come with a space in front."""
-        if len(self.number) > WINDOWS_HELD:
+    def _aligned(self, a, ends_a, of_a, b, ends_b, of_b, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Groups of n windows as text (each group ends in ';') and links, with their numbers in each window.
+
+        ``a`` and ``b`` are the ids of the windows' tokens, ``ends`` their byte ends, ``of`` their windows.
+        """
+        shared, x, y = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        ids, of = np.concatenate([a, b]), np.concatenate([of_a, of_b])
+        side = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
+        order = np.argsort(side, kind="stable")
+        ids, of, side = ids[order], of[order], side[order]
+        size = self.digits.size[ids]
+        ends = np.cumsum(size + 1)
+        text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        mark = np.ones(len(text), bool)
+        mark[ends - 1] = False
+        text[mark] = self.digits.joined(ids)
+        last = np.append(side[1:] != side[:-1], True)[: len(side)]
+        text[ends - 1] = np.where(~last, ord(","), np.where(side % 2 == 0, ord("|"), ord(";")))
+        links = np.stack([a[x], b[y]], axis=1).astype(np.uint32)
+        return text, np.bincount(of, size + 1, n).astype(np.int64), links, np.bincount(of_a[x], minlength=n)
+
+    def align(self, rows: pa.Array, lead: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[memoryview], np.ndarray, np.ndarray]:
+        """n_a, n_b and groups of each row of a block, all links (a and b of each) and the first link of each row.
+
+        Texts come with a space in front.
+        """
+        if self.windows.numbers.n > WINDOWS_HELD:
             self._clear()
         ids_a, n_a, ids_b, n_b = self._tokens(rows, lead, offsets)
         size_a, size_b = self.of_a.size[ids_a], self.of_b.size[ids_b]
-        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
         row_a, row_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         marked_a, marked_b = self.of_a.spaced[ids_a], self.of_b.spaced[ids_b]
         marked_a[row_a[:-1][n_a > 0]] = marked_b[row_b[:-1][n_b > 0]] = True  # texts begin with a space
         at_a, at_b = np.flatnonzero(marked_a), np.flatnonzero(marked_b)
-        _, x, y = np.intersect1d(start_a[at_a], start_b[at_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = at_a[x], at_b[y]
-        row_window = np.searchsorted(cut_a, row_a)
-        raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-        bounds_a, bounds_b = [*(4 * cut_a).tolist(), len(raw_a)], [*(4 * cut_b).tolist(), len(raw_b)]
-        number, found = self.number, np.empty(len(cut_a), np.int64)
-        for k in range(len(cut_a)):
-            key = (raw_a[bounds_a[k] : bounds_a[k + 1]], raw_b[bounds_b[k] : bounds_b[k + 1]])
-            at = number.get(key)
-            if at is None:
-                at = number[key] = len(self.text)
-                text, links = self.window(*(tuple(np.frombuffer(x, "<u4").tolist()) for x in key))
-                self.text.append(text)
-                self.links.append(links)
-            found[k] = at
-        for i in range(len(n_a)):
-            own = found[row_window[i] : row_window[i + 1]].tolist()
-            links = np.concatenate([self.links[k] for k in own]) if own else np.zeros((0, 2), np.uint32)
-            yield int(n_a[i]), int(n_b[i]), ";".join([self.text[k] for k in own]), links
+        _, x, y = np.intersect1d((ends_a - size_a)[at_a], (ends_b - size_b)[at_b], assume_unique=True, return_indices=True)
+        cut_a, cut_b = np.append(at_a[x], len(ids_a)), np.append(at_b[y], len(ids_b))
+        # a window's key: the ids of both sides with a gap between them
+        m, many_a, many_b = len(x), np.diff(cut_a), np.diff(cut_b)
+        of_a, of_b = np.repeat(np.arange(m), many_a), np.repeat(np.arange(m), many_b)
+        ends = np.cumsum(many_a + many_b + 1)
+        starts = ends - (many_a + many_b + 1)
+        key = np.full(int(ends[-1]) if m else 0, GAP, np.uint32)
+        key[np.arange(len(ids_a)) + (starts - cut_a[:-1])[of_a]] = ids_a
+        key[np.arange(len(ids_b)) + (ends - many_b - cut_b[:-1])[of_b]] = ids_b
+        raw, starts, ends = key.view(np.uint8), 4 * starts, 4 * ends
+        keys = span_hashes(raw, starts, ends, fold=False)
+        known = self.windows
+        found = known.get(keys, raw, starts, ends)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unique, one = np.unique(keys[new], return_index=True)
+            one = np.sort(new[one[known.numbers.get(unique) < 0]])  # in order of the text
+            pick = np.full(m, -1)
+            pick[one] = np.arange(len(one))
+            mine_a, mine_b = pick[of_a] >= 0, pick[of_b] >= 0
+            made = self._aligned(ids_a[mine_a], ends_a[mine_a], pick[of_a[mine_a]], ids_b[mine_b], ends_b[mine_b], pick[of_b[mine_b]], len(one))
+            known.add(keys[one], spans(raw, starts[one], ends[one]), (ends - starts)[one], *made)
+            found = known.get(keys, raw, starts, ends)
+            if (found < 0).any():  # windows that share a hash with others: once more, without the table
+                self._clear()
+                return self._apart(rows, lead, offsets)
+        text = spans(known.text.room, known.text_end.room[found], known.text_end.room[found + 1])
+        pairs = spans(known.links.room, known.link_end.room[found], known.link_end.room[found + 1]).reshape(-1, 2)
+        row_window = np.searchsorted(cut_a[:-1], row_a)
+        text_at = np.concatenate([[0], np.cumsum(known.text_end.room[found + 1] - known.text_end.room[found])])[row_window]
+        link_at = np.concatenate([[0], np.cumsum(known.link_end.room[found + 1] - known.link_end.room[found])])[row_window] // 2
+        view = memoryview(text)
+        groups = [view[lo : max(hi - 1, lo)] for lo, hi in zip(text_at.tolist(), text_at[1:].tolist())]
+        return n_a, n_b, groups, pairs, link_at
+
+    def _apart(self, rows: pa.Array, lead: np.ndarray, offsets: np.ndarray):
+        """As ``align``, each window worked out where it stands."""
+        ids_a, n_a, ids_b, n_b = self._tokens(rows, lead, offsets)
+        ends_a, ends_b = np.cumsum(self.of_a.size[ids_a]), np.cumsum(self.of_b.size[ids_b])
+        of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        text, size, links, n = self._aligned(ids_a, ends_a, of_a, ids_b, ends_b, of_b, len(n_a))
+        ends, view = np.cumsum(size), memoryview(text)
+        return n_a, n_b, [view[e - k : max(e - 1, e - k)] for e, k in zip(ends.tolist(), size.tolist())], links, np.concatenate([[0], np.cumsum(n)])
 
 
 _open: dict[tuple[str, str], Pair] = {}
@@ -174,13 +246,11 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pair = _pair(path_a, path_b)
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
-                out = [
-                    (a, b, len(links), hashlib.sha256(text.encode()).hexdigest() if a else "", np.ascontiguousarray(links, "<u4").tobytes())
-                    for a, b, text, links in pair.align(rows.column(2), data, offsets)
-                ]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                n_a, n_b, groups, links, first = pair.align(rows.column(2), data, offsets)
+                sha = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(groups, n_a.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["uid", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"]
+                    [rows.column(0), rows.column(1), pa.array(n_a), pa.array(n_b), pa.array(np.diff(first)), pa.array(sha, pa.string()), _binaries(links.astype("<u4").view(np.uint8).ravel(), 8 * first)],
+                    ["uid", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
                 )
 
     return docs.mapInArrow(run, ALIGNED)
