@@ -109,7 +109,8 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths
         at, left, h_all = starts, size, h
         which = None
         for _ in range(_LANES):
-            h = mix((h ^ (lane[at] & _HEAD[np.minimum(left, 8)])) * np.uint64(_BASE))
+            h = (h ^ (lane[at] & _HEAD[np.minimum(left, 8)])) * np.uint64(_BASE)
+            h ^= h >> np.uint64(32)
             if which is None:
                 h_all = h
             else:
@@ -123,8 +124,8 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, widths
             for i, a, n in zip(which, at, left):
                 whole = lane[a : a + n : 8].copy()
                 whole[-1] &= _HEAD[(n - 1) % 8 + 1]
-                h_all[i] = mix(h_all[i : i + 1] * np.uint64(_BASE) ^ _tree(whole))[0]
-        out[row] = h_all
+                h_all[i] = (h_all[i : i + 1] * np.uint64(_BASE) ^ _tree(whole))[0]
+        out[row] = mix(h_all)
     return out
 
 

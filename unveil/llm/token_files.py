@@ -129,9 +129,15 @@ class WordwiseTokenizer:
         return self.flat.room[at]
 
     def _clashes(self, numbers: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Units that are not the known ones whose hash they share."""
-        raw = self.raw.room[: self.raw.n]
-        return np.flatnonzero(~same_spans(data, starts, ends, raw, self.raw_end.room[numbers], self.raw_end.room[numbers + 1]))
+        """Units that are not the known ones whose hash they share.
+
+        Units of one length up to eight bytes never share a hash, so only longer ones are compared.
+        """
+        lo, hi, size = self.raw_end.room[numbers], self.raw_end.room[numbers + 1], ends - starts
+        other = size != hi - lo
+        long = np.flatnonzero(~other & (size > 8))
+        other[long] = ~same_spans(data, starts[long], ends[long], self.raw.room[: self.raw.n], lo[long], hi[long])
+        return np.flatnonzero(other)
 
     def _number(self, units: list[str]) -> np.ndarray:
         """The numbers of units given as strings; new ones are learned. -1 where a known one has the hash."""
