@@ -1,11 +1,13 @@
-"""Cleaner (C0-C15) as Spark column expressions.
+r"""Cleaner (C0-C15) as Spark column expressions.
 
 ``clean(df, "text")`` appends ``cleaned_text``, ``removed`` (ordered
 ``array<struct<seq, category, n, payload>>``) and ``removed_items`` (the
 rendered ``category:detail`` strings). The stages run in a fixed order;
-each one is gated by a cheap test (``contains`` / byte-length) so text that
-carries nothing costs one scan per stage and no rewrite. Each stage's text is
-its own projected column, so Catalyst does not inline and repeat the regex.
+each one is gated by a cheap test (``contains``, or for C4 to C6 one search
+for any character that they act on) so text that
+carries nothing is not rewritten. Each stage is a step of its own that
+Catalyst does not merge with the next, so no regex is inlined and repeated.
+``\b`` and ``\w`` of the fixed patterns are spelled out as Python reads them.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unveil.functions import fixed
-from unveil.functions.udfs import nfkc_if_changed, python_repr_all
-from unveil.functions.unicode_sets import nfkc_suspects
+from unveil.functions.udfs import hidden_if_any, nfkc_if_changed, python_repr_all
+from unveil.functions.unicode_sets import carrier_class, nfkc_suspects
 from unveil.session import ship_package
 
 ENTRY_TYPE = "struct<category:string,n:bigint,payload:string>"
@@ -33,6 +35,19 @@ def _empty_strings() -> Column:
 # anything else (non-ASCII, other controls) goes to the Python fallback.
 _NOT_SIMPLE = r"[^\x{20}-\x{7E}\t\n\r]"
 
+# A word character as Python's \w has it: letters, numbers and the underscore, no combining marks.
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def python_words(pattern: str) -> str:
+    r"""A Java pattern with Python's reading of ``\b`` and ``\w``."""
+    edge = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+    return pattern.replace(r"\b", edge).replace(r"\w", _WORD)
+
+
+IMAGE_ALT, ALT_GATE, ROLE_LABEL = (python_words(p) for p in (fixed.IMAGE_ALT, fixed.ALT_GATE, fixed.ROLE_LABEL))
+HIDDEN_STYLED_GATE = python_words(fixed.HIDDEN_STYLED_GATE)
+
 
 # --------------------------------------------------------------------------
 # small column helpers
@@ -122,58 +137,67 @@ def c1_html_comments(t: Column) -> tuple[Column, Column]:
 
 def _may_hide(t: Column) -> Column:
     """Necessary for a hidden styled element; linear, with the pattern's own flags."""
-    return t.contains("</") & t.rlike(fixed.CLOSE_TAG_GATE) & t.rlike(fixed.HIDDEN_STYLED_GATE)
+    return t.contains("</") & t.rlike(fixed.CLOSE_TAG_GATE) & t.rlike(HIDDEN_STYLED_GATE)
 
 
-def c2_payloads(t: Column) -> Column:
-    return F.when(_may_hide(t), _extract_all(t, fixed.HIDDEN_STYLED, 2)).otherwise(_empty_strings())
+def c2_found(t: Column) -> Column:
+    """Text without hidden styled elements and their contents; nulls if there are none."""
+    return hidden_if_any(F.when(_may_hide(t), t))
 
 
 def c3_alts(t: Column) -> Column:
-    gate = t.contains("<") & t.rlike(fixed.IMAGE_GATE) & t.rlike(fixed.ALT_GATE)
-    return F.when(gate, _extract_all(t, fixed.IMAGE_ALT, 1)).otherwise(_empty_strings())
+    gate = t.contains("<") & t.rlike(fixed.IMAGE_GATE) & t.rlike(ALT_GATE)
+    return F.when(gate, _extract_all(t, IMAGE_ALT, 1)).otherwise(_empty_strings())
 
 
 def nonblank(arr: Column) -> Column:
     return F.filter(arr, lambda a: py_strip(a) != F.lit(""))
 
 
-def c4_zero_width(t: Column) -> tuple[Column, Column]:
-    out = F.translate(t, fixed.ZERO_WIDTH_CHARS, "")
+def may_carry(t: Column) -> Column:
+    """Whether C4, C5 or C6 can act on ``t``: one search, and none in ASCII text."""
+    return (F.octet_length(t) != F.length(t)) & t.rlike(carrier_class())
+
+
+def c4_zero_width(t: Column, odd: Column) -> tuple[Column, Column]:
+    """``odd``: the row's ``may_carry``."""
+    out = F.when(odd, F.translate(t, fixed.ZERO_WIDTH_CHARS, "")).otherwise(t)
     return out, count_entry(fixed.CAT_ZERO_WIDTH, _deleted_count(t, out))
 
 
-def c5_invisible_controls(t: Column) -> tuple[Column, Column]:
-    out = F.translate(t, fixed.INVISIBLE_CONTROL_CHARS, "")
+def c5_invisible_controls(t: Column, odd: Column) -> tuple[Column, Column]:
+    out = F.when(odd, F.translate(t, fixed.INVISIBLE_CONTROL_CHARS, "")).otherwise(t)
     return out, count_entry(fixed.CAT_INVISIBLE_CONTROL, _deleted_count(t, out))
 
 
-def c6_nfkc_changed(t: Column) -> Column:
+def c6_nfkc_changed(t: Column, odd: Column) -> Column:
     """NFKC text or null if unchanged.
 
     Only rows holding an NFKC-suspect character (quick-check No/Maybe or a
     combining mark; see ``unicode_sets``) reach Python; the test is one JVM
-    ``translate`` pass, and is skipped for pure-ASCII rows (byte length ==
-    char length). Everything else is provably already normalised.
+    ``translate`` pass over rows that ``may_carry`` admits. Everything else is
+    provably already normalised.
     """
-    suspects = nfkc_suspects()
-    non_ascii = F.octet_length(t) != F.length(t)
-    suspect = non_ascii & (F.length(F.translate(t, suspects, "")) != F.length(t))
+    suspect = odd & (F.length(F.translate(t, nfkc_suspects(), "")) != F.length(t))
     return nfkc_if_changed(F.when(suspect, t))
 
 
 def c7_labels(t: Column) -> Column:
-    return _extract_all(t, fixed.ROLE_LABEL, 0)
+    """Every label holds a colon or a number sign."""
+    return F.when(t.contains(":") | t.contains("#"), _extract_all(t, ROLE_LABEL, 0)).otherwise(_empty_strings())
 
 
 def c8_brackets(t: Column) -> Column:
     return F.when(t.contains("["), _extract_all(t, fixed.ROLE_BRACKET, 0)).otherwise(_empty_strings())
 
 
+def c9_line_ends(t: Column) -> Column:
+    return F.when(t.contains(" \n") | t.contains("\t\n"), F.regexp_replace(t, fixed.TRAILING_BLANKS_LINEAR, "\n")).otherwise(t)
+
+
 def c9_tidy(t: Column) -> Column:
-    out = F.regexp_replace(t, fixed.TRAILING_BLANKS_LINEAR, "\n")
-    out = F.regexp_replace(out, fixed.BLANK_RUN, "\n\n")
-    return py_strip(out)
+    """Of text that has been through ``c9_line_ends``."""
+    return py_strip(F.when(t.contains("\n\n\n"), F.regexp_replace(t, fixed.BLANK_RUN, "\n\n")).otherwise(t))
 
 
 def _replace_if(t: Column, found: Column, pattern: str) -> Column:
@@ -184,6 +208,16 @@ def _replace_if(t: Column, found: Column, pattern: str) -> Column:
 # the chain
 # --------------------------------------------------------------------------
 
+def _stage(d: DataFrame, *added: Column) -> DataFrame:
+    """``d`` and the columns of a stage, made once each.
+
+    As plain projections the stages would be merged into one, with the
+    text of every stage repeated wherever a later one reads it; ``result_barrier``
+    says why a one-row generator keeps them apart.
+    """
+    return d.select("*", F.inline(F.array(F.struct(*added))))
+
+
 def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False, render: bool = True) -> DataFrame:
     """C0..C11 + C12 over ``text_col``; adds cleaned_text, removed, removed_items.
 
@@ -194,55 +228,57 @@ def clean(df: DataFrame, text_col: str = "text", keep_stages: bool = False, rend
     ship_package(df.sparkSession)
     src = F.col(text_col)
     base = df.columns
-    d = df.select(
-        "*",
+    d = _stage(
+        df,
         F.coalesce(src, F.lit("")).alias("_t0"),
         flag_entry(fixed.CAT_INPUT_WAS_NONE, src.isNull()).alias("_l0"),
     )
-    d = d.select("*", c1_count(F.col("_t0")).alias("_n1"))
-    d = d.select(
-        "*",
+    d = _stage(d, c1_count(F.col("_t0")).alias("_n1"))
+    d = _stage(
+        d,
         c1_text(F.col("_t0"), F.col("_n1")).alias("_t1"),
         count_entry(fixed.CAT_HTML_COMMENTS, F.col("_n1")).alias("_l1"),
     )
-    d = d.select("*", c2_payloads(F.col("_t1")).alias("_p2"))
-    d = d.select(
-        "*",
-        _replace_if(F.col("_t1"), F.col("_p2"), fixed.HIDDEN_STYLED).alias("_t2"),
-        payload_entries(fixed.CAT_HIDDEN_STYLED, F.col("_p2")).alias("_l2"),
+    d = d.select("*", c2_found(F.col("_t1")).alias("_f2"))
+    d = _stage(
+        d,
+        F.coalesce(F.col("_f2.text"), F.col("_t1")).alias("_t2"),
+        payload_entries(fixed.CAT_HIDDEN_STYLED, F.coalesce(F.col("_f2.payloads"), _empty_strings())).alias("_l2"),
     )
-    d = d.select("*", c3_alts(F.col("_t2")).alias("_p3"))
-    d = d.select(
-        "*",
-        _replace_if(F.col("_t2"), F.col("_p3"), fixed.IMAGE_ALT).alias("_t3"),
+    d = _stage(d, c3_alts(F.col("_t2")).alias("_p3"))
+    d = _stage(
+        d,
+        _replace_if(F.col("_t2"), F.col("_p3"), IMAGE_ALT).alias("_t3"),
         payload_entries(fixed.CAT_IMAGE_ALT, nonblank(F.col("_p3"))).alias("_l3"),
     )
-    t4, l4 = c4_zero_width(F.col("_t3"))
-    d = d.select("*", t4.alias("_t4"), l4.alias("_l4"))
-    t5, l5 = c5_invisible_controls(F.col("_t4"))
-    d = d.select("*", t5.alias("_t5"), l5.alias("_l5"))
-    d = d.select("*", c6_nfkc_changed(F.col("_t5")).alias("_n6"))
-    d = d.select(
-        "*",
+    d = _stage(d, may_carry(F.col("_t3")).alias("_odd"))
+    t4, l4 = c4_zero_width(F.col("_t3"), F.col("_odd"))
+    d = _stage(d, t4.alias("_t4"), l4.alias("_l4"))
+    t5, l5 = c5_invisible_controls(F.col("_t4"), F.col("_odd"))
+    d = _stage(d, t5.alias("_t5"), l5.alias("_l5"))
+    d = d.select("*", c6_nfkc_changed(F.col("_t5"), F.col("_odd")).alias("_n6"))
+    d = _stage(
+        d,
         F.coalesce(F.col("_n6"), F.col("_t5")).alias("_t6"),
         flag_entry(fixed.CAT_UNICODE_NORMALIZED, F.col("_n6").isNotNull()).alias("_l6"),
     )
-    d = d.select("*", c7_labels(F.col("_t6")).alias("_p7"))
-    d = d.select(
-        "*",
-        _replace_if(F.col("_t6"), F.col("_p7"), fixed.ROLE_LABEL).alias("_t7"),
+    d = _stage(d, c7_labels(F.col("_t6")).alias("_p7"))
+    d = _stage(
+        d,
+        _replace_if(F.col("_t6"), F.col("_p7"), ROLE_LABEL).alias("_t7"),
         payload_entries(fixed.CAT_FAKE_ROLE, F.transform("_p7", py_strip)).alias("_l7"),
     )
-    d = d.select("*", c8_brackets(F.col("_t7")).alias("_p8"))
-    d = d.select(
-        "*",
+    d = _stage(d, c8_brackets(F.col("_t7")).alias("_p8"))
+    d = _stage(
+        d,
         _replace_if(F.col("_t7"), F.col("_p8"), fixed.ROLE_BRACKET).alias("_t8"),
         payload_entries(fixed.CAT_FAKE_ROLE, F.col("_p8")).alias("_l8"),
     )
     log = F.concat(*[F.col(f"_l{i}") for i in range(9)])
-    d = d.select(
-        "*",
-        c9_tidy(F.col("_t8")).alias("cleaned_text"),
+    d = _stage(d, c9_line_ends(F.col("_t8")).alias("_t9"))
+    d = _stage(
+        d,
+        c9_tidy(F.col("_t9")).alias("cleaned_text"),
         F.transform(
             log,
             lambda e, i: F.struct(

@@ -1,7 +1,7 @@
-"""The three Arrow-batched Python helpers.
+"""The four Arrow-batched Python helpers.
 
-Spark has no NFKC normalisation, no Python ``repr`` and no JSON parser with
-Python's strictness, so these run as pandas UDFs. Callers mask the input to
+Spark has no NFKC normalisation, no Python ``repr``, no JSON parser with
+Python's strictness and no matching of nested tags in linear time, so these run as pandas UDFs. Callers mask the input to
 null on rows that cannot need them (ASCII text, simple payloads), so the
 Python side mostly sees nulls and returns nulls.
 """
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from unveil.functions.hidden import hidden_elements
+
 
 
 @F.pandas_udf(T.StringType())
@@ -30,6 +32,16 @@ def nfkc_if_changed(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+HIDDEN_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("payloads", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(HIDDEN_SCHEMA)
+def hidden_if_any(texts: pd.Series) -> pd.DataFrame:
+    """Text without hidden styled elements, and their contents; nulls where there are none."""
+    found = [None if t is None else hidden_elements(t) for t in texts]
+    return pd.DataFrame([f or (None, None) for f in found], columns=["text", "payloads"])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def python_repr_all(payloads: pd.Series) -> pd.Series:
     """Python ``repr`` of every element; null elements stay null."""

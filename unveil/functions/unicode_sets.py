@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+from unveil.functions import fixed
+
 
 @functools.lru_cache(maxsize=1)
 def nfkc_suspects() -> str:
@@ -34,3 +36,23 @@ def nfkc_suspects() -> str:
     out.update(range(0x1161, 0x1176))  # Hangul vowel jamo
     out.update(range(0x11A8, 0x11C3))  # Hangul trailing jamo
     return "".join(chr(cp) for cp in sorted(out))
+
+
+@functools.lru_cache(maxsize=1)
+def carrier_class() -> str:
+    """A Java character class that holds every character the stages C4 to C6 act on, and more.
+
+    It leaves out the two runs of characters around ``a`` and U+00E9 that none
+    of them acts on; a class of more runs takes longer to search than it
+    saves. Text without one of its characters passes these stages unchanged.
+    """
+    acted_on = {ord(c) for c in fixed.ZERO_WIDTH_CHARS + fixed.INVISIBLE_CONTROL_CHARS + nfkc_suspects()}
+    runs = []
+    for inside in (ord("a"), 0xE9):
+        lo = hi = inside
+        while lo > 0 and lo - 1 not in acted_on:
+            lo -= 1
+        while hi + 1 not in acted_on:
+            hi += 1
+        runs.append(rf"\x{{{lo:X}}}-\x{{{hi:X}}}")
+    return "[^" + "".join(runs) + "]"
