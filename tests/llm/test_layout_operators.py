@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.llm_words import words
@@ -168,7 +169,7 @@ def test_pipeline_stages(spark, small_docs, stage_outputs):
     assert {r.doc_id for r in named.collect()} == letters
     from unveil.llm.near_dedup import near_duplicates
 
-    assert {r.doc_id for r in unique.collect()} == {r.doc_id for r in near_duplicates(named).where("kept").collect()}
+    assert {r.doc_id for r in unique.collect()} == {r.doc_id for r in near_duplicates(named, 80).where("kept").collect()}
     assert unique.count() == unique.select("doc_id").distinct().count()
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in unique.collect()}
     from unveil.llm.personal_data import base_spans
@@ -192,6 +193,28 @@ def test_near_dedup_stage_keeps_clean_versions_of_an_id(spark):
     assert sorted(map(str, (x for x in got if x[0] != 5))) == sorted(map(str, want))
 
 
+def test_near_dedup_stage_links_from_80_percent(spark):
+    """Two words changed of 100 leave 86 of 106 shingles; three leave 81 of 111."""
+    rng = random.Random(33)
+    rows = []
+    for k, changed in enumerate([1, 2, 2, 3, 4]):
+        w = words(rng, 100).split()
+        other = list(w)
+        for j in range(changed):
+            other[15 + 20 * j] = f"new{k}{j}"
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 10, 20, 30, 31, 40, 41]
+
+
+def test_source_mix_stage_gives_clashing_columns_back(spark, hostile):
+    own = hostile.select("*", F.lit(7).alias("n_copies"), F.lit("mine").alias("shuffle_key"))
+    out = dict(corpus_pipeline.STAGES)["source_mix"](spark, own, "")
+    assert out.columns == own.columns
+    assert {(r.copy_no, r.n_copies, r.shuffle_key) for r in out.collect()} == {(1, 7, "mine")}
+
+
 def test_language_stage_without_any_language_keeps_texts_with_a_letter(spark):
     rows = [(1, "some words", None), (2, "12 345", None), (3, None, None), (4, "日本語", None), (5, "", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
