@@ -27,7 +27,8 @@ from unveil.llm.shared import stored, text_of
 from unveil.llm.textblocks import blocks, buffers, per_row, same_spans, span_hashes
 from unveil.llm.token_files import WordwiseTokenizer, _binaries, _Grown, _Numbers
 
-WINDOWS_HELD = 300_000
+WINDOWS_HELD = 150_000
+UNITS_HELD = 400_000
 HELD = 1 << 20
 PAIRS_HELD = 1 << 21
 GAP = 0xFFFFFFFF  # between the ids of both sides in a window's key; no id
@@ -113,6 +114,11 @@ class Pair:
     def _clear(self) -> None:
         self.windows = Windows()
 
+    def forget(self) -> None:
+        """Frees what has been looked up so far."""
+        self._clear()
+        self.a._clear()
+
     def pieces(self, text: str) -> list[int]:
         """Ids of a whole text by the piece tokenizer."""
         if len(text) <= LONG_TEXT or not self.cuttable:
@@ -173,6 +179,8 @@ class Pair:
         """
         if self.windows.numbers.n > WINDOWS_HELD:
             self._clear()
+        if self.a.numbers.n > UNITS_HELD:
+            self.a._clear()
         ids_a, n_a, ids_b, n_b = self._tokens(rows, lead, offsets)
         size_a, size_b = self.of_a.size[ids_a], self.of_b.size[ids_b]
         ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
@@ -252,6 +260,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     [rows.column(0), rows.column(1), pa.array(n_a), pa.array(n_b), pa.array(np.diff(first)), pa.array(sha, pa.string()), _binaries(links.astype("<u4").view(np.uint8).ravel(), 8 * first)],
                     ["uid", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
                 )
+        pair.forget()  # the worker lives on and serves other stages
 
     return docs.mapInArrow(run, ALIGNED)
 
