@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,78 @@ def test_base_spans_match_the_forms():
         personal_data.instances(unit * 50_000, personal_data.base_spans(unit * 50_000))
 
 
+def test_runs_of_identifiers_offer_their_parts():
+    text = "call 0171 5550123 0171 5550199 or 5551234 2024"
+    found = {text[s:e] for _, s, e in personal_data.instances(text, [])}
+    assert {"0171 5550123", "0171 5550199", "5551234", "5551234 2024"} <= found
+    began = time.time()
+    for unit in (" @a.b", "@a.b", "a@b", "12 ", "(1) ", "1 2-3.", "1234567,"):
+        t = unit * 200_000
+        personal_data.instances(t, personal_data.base_spans(t))
+    assert time.time() - began < 30
+    far = "one two" + " " * 5_000 + "5551234"
+    assert personal_data.patterns(far, len(far) - 7, len(far)) == ["two\t", "one two\t", "two\t"]
+    assert personal_data.patterns("w" * 90 + " 5551234", 91, 98)[0] == "w" * 90 + "\t"
+
+
+def brute_trusted(texts):
+    """The pattern-instance graph in plain Python: seeds, then rounds until nothing is added."""
+    places, seeds = {}, set()
+    for t in texts:
+        base = personal_data.base_spans(t)
+        both = [(k, 1 << k, s, e) for k, s, e in base] + [(-1, m, s, e) for m, s, e in personal_data.instances(t, base)]
+        for k, m, s, e in both:
+            share = personal_data.PLACE // sum(x[2] == s for x in both)
+            for kind in range(4):
+                if m >> kind & 1:
+                    if k >= 0:
+                        seeds.add((t[s:e].lower(), kind))
+                    for p in set(personal_data.patterns(t, s, e)):
+                        members = places.setdefault((p, kind), {})
+                        members[t[s:e].lower()] = members.get(t[s:e].lower(), 0) + share
+    trusted, rounds = set(seeds), 0
+    while True:
+        more = set()
+        for (_, kind), members in places.items():
+            held = [i for i in members if (i, kind) in trusted]
+            if len(held) >= personal_data.SUPPORT and sum(members[i] for i in held) >= personal_data.TRUST * (sum(members.values()) + personal_data.PLACE):
+                more |= {(i, kind) for i in members} - trusted
+        if not more:
+            return trusted, rounds
+        trusted |= more
+        rounds += 1
+
+
+def test_bootstrapping_follows_contexts_to_the_end(make_docs):
+    """Contexts chain: each one is learned from identifiers that the one before it found."""
+    rng = random.Random(14)
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    texts = [f"{words(rng, 4)} alpha +1 (555) {rng.randint(100, 999)}-{rng.randint(1000, 9999)} {words(rng, 3)}" for _ in range(40)]
+    chain = [f"link{c * 3}" for c in "abcde"]
+    before = "alpha"
+    for name in chain:
+        bridge = [number() for _ in range(7)]
+        texts += [f"{words(rng, 4)} {before} {x} {words(rng, 3)}" for x in bridge]
+        texts += [f"{words(rng, 4)} {name} {x} {words(rng, 3)}" for x in bridge * 6]
+        before = name
+    last = number()
+    texts += [f"{words(rng, 4)} {before} {last} end", f"{words(rng, 4)} order {number()} end", "", f"{before} 0171 5550123 0171 5550199"]
+    trusted, rounds = brute_trusted(texts)
+    assert rounds > 4 and (last, 3) in trusted
+    rows = {r.doc_id: r.spans for r in personal_data.report(make_docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        base = personal_data.base_spans(t)
+        best = {}
+        for item, kind in trusted:
+            best[item] = min(kind, best.get(item, 9))
+        more, at = [], -1
+        for s, e, k in sorted(((s, e, best[t[s:e].lower()]) for _, s, e in personal_data.instances(t, base) if t[s:e].lower() in best), key=lambda x: (x[0], -x[1])):
+            if s >= at:
+                more.append((k, s, e))
+                at = e
+        assert rows[i] == ",".join(f"{personal_data.KINDS[k]}:{s}:{e}" for k, s, e in sorted([*base, *more])), t
+
+
 def test_report_digests(spark, small_docs):
     rows = {r.doc_id: r for r in personal_data.report(small_docs).collect()}
     for d in small_docs.select("doc_id", "text").collect():

@@ -3,16 +3,21 @@
 Seeds are spans of four fixed forms (e-mail, IP address, payment card, phone).
 The words around a seed induce lexical patterns. Every identifier-like span of
 the corpus that is no seed (an @ between two runs, or a group of at least
-seven digits) is an instance that patterns may vouch for. Patterns and
+seven digits) is an instance that patterns may vouch for. A run of groups
+between blanks is offered whole and in every sequence of up to six of them that fits a kind. Patterns and
 instances form a graph that Spark scores in rounds: a pattern's confidence is
 the share of trusted instances among the instances of that kind it surrounds,
-an instance's trust is the best confidence among its patterns. Instances
-trusted at the end are added to the seeds, wherever they stand.
+and it vouches for all of them once that share and the number of different trusted
+instances suffice. What it vouches for is trusted in the next round, so that contexts
+that no seed has can follow; rounds end when nothing is added. Trusted
+instances join the seeds wherever they stand; where some overlap, the
+leftmost and then the longest stays.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ from unveil.llm.textblocks import blocks, per_row, span_hashes
 KINDS = ("email", "ip", "card", "phone")
 TRUST = 0.8
 SUPPORT = 5
-ROUNDS = 3
+PLACE = 720_720  # weight of one place, shared by the sequences that start there
 
 # FIXED VALUES: the four base forms. An address part ends at its own class, so
 # possessive repeats change no match and keep long digit runs linear.
@@ -37,7 +42,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 GROUP = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9\x20().\-/:]*[0-9](?![0-9A-Za-z])")
+PART = re.compile(r"[^\x20]+")
 AT = re.compile(r"@[^\s@]+")
+WORD = re.compile(r"\w+")
+MOST_DIGITS = 19
+MOST_PARTS = 6  # of a sequence that is not its whole run
 
 
 def _luhn(digits: str) -> bool:
@@ -62,7 +71,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         size = len(run) - len(run.rstrip(LOCAL_PART))
         if size:
             out.append((0, m.start() - size, m.end()))
-            before = m.end()
+        # without a local part, a later one may begin behind this @
+        before = m.end() if size else m.start() + 1
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
             out.append((1, m.start(), m.end()))
@@ -76,6 +86,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _kinds(span: str, n: int) -> int:
+    """The kinds that a group of ``n`` digits may be, as a bit mask."""
+    dotted = 4 <= n <= 12 and re.fullmatch(r"[0-9]+(?:[.:-][0-9]+){3}", span)
+    return (2 if dotted else 0) | (4 if 12 <= n <= MOST_DIGITS else 0) | (8 if 7 <= n <= 15 else 0)
+
+
+def _sequences(run: str) -> Iterator[tuple[int, int, int]]:
+    """(kinds, start, end) of the sequences of a run's parts that fit a kind, cut to the digits (or bracket) at their ends."""
+    parts = []
+    for m in PART.finditer(run):
+        inside = re.search(r"\(?[0-9](?:.*[0-9])?", m.group())
+        if inside:
+            parts.append((m.start() + inside.start(), m.start() + inside.end(), len(_digits(inside.group()))))
+    if len(parts) > MOST_PARTS and (kinds := _kinds(run, sum(n for _, _, n in parts))):
+        yield kinds, 0, len(run)
+    for i, (start, _, _) in enumerate(parts):
+        n = 0
+        for _, end, digits in parts[i : i + MOST_PARTS]:
+            n += digits
+            if n > MOST_DIGITS:
+                break
+            if kinds := _kinds(run[start:end], n):
+                yield kinds, start, end
+
+
 def instances(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(kinds as a bit mask, start, end) of identifier-like spans that touch no seed."""
     found = []
@@ -88,10 +123,8 @@ def instances(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, i
             found.append((1, m.start() - size, end))
         before = m.end()
     for m in GROUP.finditer(text):
-        n = len(_digits(m.group()))
-        kinds = (2 if re.fullmatch(r"[0-9]+(?:[.:-][0-9]+){3}", m.group()) else 0) | (4 if 12 <= n <= 19 else 0) | (8 if 7 <= n <= 15 else 0)
-        if kinds:
-            found.append((kinds, m.start(), m.end()))
+        at = m.start()
+        found += [(kinds, at + s, at + e) for kinds, s, e in _sequences(m.group())]
     taken = sorted((s, e) for _, s, e in seeds)
     at = np.array([s for s, _ in taken])
     out = []
@@ -102,10 +135,20 @@ def instances(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _words(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The two words before a span and the one after it, whole, '' where there is none."""
+    size, left, right = 64, [], []
+    while len(left) < 3 and (size == 64 or start > size // 4):
+        left = WORD.findall(text, max(0, start - size), start)  # the first may be cut
+        size *= 4
+    m = WORD.search(text, end)
+    right = [m.group()] if m else []
+    return ["", "", *left][-2:], [*right, ""][:1]
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The contexts of a span: one word before; two words before; one before and one after."""
-    left = ["", "", *(w[-24:] for w in re.sub("[0-9]", "0", text[max(0, start - 64) : start].lower()).split()[-2:])]
-    right = [*(w[:24] for w in re.sub("[0-9]", "0", text[end : end + 40].lower()).split()[:1]), ""]
+    """The contexts of a span: one word before; two words before; one before and one after. Digits count as 0."""
+    left, right = (["".join("0" if "0" <= c <= "9" else c for c in w.lower()) for w in words] for words in _words(text, start, end))
     return [f"{left[-1]}\t", f"{left[-2]} {left[-1]}\t", f"{left[-1]}\t{right[0]}"]
 
 
@@ -116,67 +159,108 @@ def _hashes(items: list[str]) -> np.ndarray:
 
 
 FOUND = "array<struct<kind:int,start:long,stop:long>>"
-SLOTS = "array<struct<seed:int,kinds:int,start:long,stop:long,item:long,ctx:array<long>>>"
+SLOTS = "array<struct<seed:int,kinds:int,start:long,stop:long,n:long,item:long,ctx:array<long>>>"
+
+
+_SPAN = [("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]
+_SLOT = [("seed", pa.int32()), ("kinds", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n", pa.int64()), ("item", pa.int64()), ("ctx", pa.list_(pa.int64()))]
+
+
+def _listed(ends: list[int], rows: list[tuple], fields: list[tuple], *more: pa.Array) -> pa.Array:
+    """Lists of structs: the fields of ``rows``, then whole columns, cut at ``ends``."""
+    made = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields[: len(fields) - len(more)])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([*made, *more], [n for n, _ in fields]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), base spans and the slots of the graph, for rows (doc_id, mark, text)."""
-    span_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-    slot_type = pa.list_(pa.struct([("seed", pa.int32()), ("kinds", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("item", pa.int64()), ("ctx", pa.list_(pa.int64()))]))
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
                 hint = ((data >= 48) & (data <= 57)) | (data == 64)
                 some = per_row(hint, offsets) > 0
-                base, slots = [], []
+                base, slots, n_base, n_slots = [], [], [0], [0]
+                items, contexts = [], []
                 for i, has in enumerate(some):
-                    if not has:
-                        base.append([])
-                        slots.append([])
-                        continue
-                    text = rows.column(2)[i].as_py()
-                    seeds = base_spans(text)
-                    both = [(k, 1 << k, s, e) for k, s, e in seeds] + [(-1, k, s, e) for k, s, e in instances(text, seeds)]
-                    items = _hashes([text[s:e].lower() for _, _, s, e in both])
-                    ctx = _hashes([p for _, _, s, e in both for p in patterns(text, s, e)]).reshape(-1, 3)
-                    base.append([{"kind": k, "start": s, "stop": e} for k, s, e in seeds])
-                    slots.append([{"seed": k, "kinds": m, "start": s, "stop": e, "item": int(h), "ctx": c.tolist()} for (k, m, s, e), h, c in zip(both, items, ctx)])
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(base, span_type), pa.array(slots, slot_type)], ["doc_id", "mark", "base", "slots"])
+                    if has:
+                        text = rows.column(2)[i].as_py()
+                        seeds = base_spans(text)
+                        both = [(k, 1 << k, s, e) for k, s, e in seeds] + [(-1, k, s, e) for k, s, e in instances(text, seeds)]
+                        starts = Counter(s for _, _, s, _ in both)
+                        base += seeds
+                        slots += [(k, m, s, e, PLACE // starts[s]) for k, m, s, e in both]
+                        items.append(_hashes([text[s:e].lower() for _, _, s, e in both]))
+                        contexts.append(_hashes([p for _, _, s, e in both for p in patterns(text, s, e)]))
+                    n_base.append(len(base))
+                    n_slots.append(len(slots))
+                joined = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (items, contexts)]
+                ctx = pa.ListArray.from_arrays(pa.array(range(0, 3 * len(slots) + 1, 3), pa.int32()), joined[1])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), _listed(n_base, base, _SPAN), _listed(n_slots, slots, _SLOT, joined[0], ctx)], ["doc_id", "mark", "base", "slots"]
+                )
 
     return docs.mapInArrow(run, f"doc_id long, mark long, base {FOUND}, slots {SLOTS}")
 
 
-def trusted_instances(slots: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """(item, kind) of instances that patterns vouch for. Rows: seed, kinds, item, ctx.
+def pattern_graph(slots: DataFrame) -> DataFrame:
+    """(pattern, kind, item, n, is_seed) from rows (doc_id, mark, seed, kinds, start, item, ctx).
 
-    Occurrences are folded into (pattern, item, kind, n) by a partial
-    aggregate first, so a pattern around a third of all slots costs one row
-    for each distinct item. A pattern needs ``support`` distinct seeds.
+    Occurrences are folded by a partial aggregate, so a pattern around a third
+    of all slots costs one row for each distinct item. ``n`` counts places in
+    units of PLACE: sequences that start at one place share it.
     """
     kinds = F.array(*[F.when(F.col("kinds").bitwiseAND(1 << k) != 0, F.lit(k)) for k in range(len(KINDS))])
-    graph = stored(
-        slots.select("item", (F.col("seed") >= 0).alias("is_seed"), F.explode(F.array_compact(kinds)).alias("kind"), "ctx")
-        .select("item", "is_seed", "kind", F.explode("ctx").alias("pattern"))
-        .groupBy("pattern", "kind", "item", "is_seed")
-        .agg(F.count("*").alias("n")),
-        "pattern-graph",
+    each = slots.select("item", "n", (F.col("seed") >= 0).alias("is_seed"), F.explode(F.array_compact(kinds)).alias("kind"), "ctx")
+    return each.select("item", "n", "is_seed", "kind", F.explode(F.array_distinct("ctx")).alias("pattern")).groupBy("pattern", "kind", "item").agg(
+        F.sum("n").alias("n"), F.max("is_seed").alias("is_seed")
     )
-    open_ = graph.where("not is_seed")
-    belief = None
-    for _ in range(rounds):
-        held = graph.withColumn("s", F.col("is_seed").cast("double"))
-        if belief is not None:
-            held = graph.join(belief, ["item", "kind"], "left").withColumn("s", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-        confidence = held.groupBy("pattern", "kind").agg(
-            (F.sum(F.col("n") * F.when(F.col("s") >= trust, F.col("s")).otherwise(0.0)) / (F.sum("n") + 1)).alias("confidence"),
-            F.sum(F.col("is_seed").cast("int")).alias("seeds"),
-        )
-        good = confidence.where((F.col("seeds") >= support) & (F.col("confidence") >= trust))
-        belief = stored(open_.join(good, ["pattern", "kind"]).groupBy("item", "kind").agg(F.max("confidence").alias("belief")), "belief")
-    # one item, one kind: the best trusted, ties to the kind listed first
-    best = belief.groupBy("item").agg(F.max(F.struct("belief", (-F.col("kind")).alias("k"))).alias("b"))
-    return best.select("item", (-F.col("b.k")).alias("kind"))
+
+
+def trusted_instances(slots: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+    """(item, kind) of instances that are seeds somewhere or that patterns vouch for.
+
+    A pattern vouches for the instances of a kind that it surrounds if at least ``support``
+    different ones are trusted and their places are ``trust`` of all
+    its places, one more counted against it. Sums are whole numbers, so
+    the outcome does not hang on their order. Rounds run until none adds an item.
+    """
+    graph = stored(pattern_graph(slots), "pattern-graph")
+    known = stored(graph.where("is_seed").select("item", "kind").distinct(), "trusted")
+    fresh = known
+    # per pattern: all its places; trusted ones are added as items become trusted
+    total = stored(graph.groupBy("pattern", "kind").agg(F.sum("n").alias("n")), "pattern-places")
+    held = None
+    while True:
+        gained = graph.join(fresh, ["item", "kind"], "left_semi").groupBy("pattern", "kind").agg(F.sum("n").alias("n_held"), F.count("*").alias("items"))
+        held = gained if held is None else held.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("n_held").alias("n_held"), F.sum("items").alias("items"))
+        held = stored(held, "pattern-trust")
+        good = held.where(F.col("items") >= support).join(total, ["pattern", "kind"]).where(F.col("n_held") >= trust * (F.col("n") + PLACE))
+        reached = graph.join(good.select("pattern", "kind"), ["pattern", "kind"], "left_semi").select("item", "kind").distinct()
+        fresh = stored(reached.join(known, ["item", "kind"], "left_anti"), "newly-trusted")
+        if fresh.isEmpty():
+            break
+        known = stored(known.unionByName(fresh), "trusted")
+    # one item, one kind: the one listed first
+    return known.groupBy("item").agg(F.min("kind").alias("kind"))
+
+
+def _leftmost(spans: DataFrame) -> DataFrame:
+    """Rows (doc_id, mark, more) with the spans of ``more`` that overlap none before them."""
+    schema = spans.schema
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for row in batch.column(2).to_pylist():
+                out, at = [], -1
+                for s in sorted(row, key=lambda s: (s["start"], -s["stop"], s["kind"])):
+                    if s["start"] >= at:
+                        out.append(s)
+                        at = s["stop"]
+                kept.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, batch.schema.field(2).type)], batch.schema.names)
+
+    return spans.mapInArrow(run, schema)
 
 
 def _written(spans: Column) -> Column:
@@ -196,7 +280,7 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slots = seen.select("doc_id", "mark", F.explode("slots").alias("s")).select("doc_id", "mark", "s.*")
     trusted = trusted_instances(slots)
     more = slots.where("seed < 0").join(trusted, "item").select("doc_id", "mark", F.struct("kind", "start", "stop").alias("span"))
-    per_doc = more.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("more"))
+    per_doc = _leftmost(more.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("more")))
     a, b = seen.select("doc_id", "mark", "base").alias("a"), per_doc.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark")), "left")
     return joined.select("a.doc_id", "a.mark", "a.base", F.concat("a.base", F.coalesce("b.more", F.array().cast(FOUND))).alias("found"))
