@@ -1,6 +1,7 @@
 """Fingerprints, personal data, token files."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -28,7 +29,8 @@ def expected_edits(rows):
         half = len(text) // 2
         edited = text[: len(text) - half] + other[:half]
         prints = [fp.fingerprint(fp.Sketcher(t)) for t in (text, edited, other)]
-        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], fp.likeness(*prints[:2]), fp.likeness(prints[0], prints[2])))
+        shared = [len(os.path.commonprefix([text[::way], t[::way]])) for t in (edited, other) for way in (1, -1)]
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], fp.likeness(*prints[:2]), fp.likeness(prints[0], prints[2]), *shared))
     return out
 
 
@@ -38,6 +40,16 @@ def test_fingerprints_match_texts(spark, small_docs):
     assert got == sorted(expected_edits(rows))
 
 
+def test_shared_ends_are_exact(make_docs):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(60):
+        unit = rng.choice(["a", "ab", "aab", "xyz"]) * rng.randint(0, 12)
+        texts.append(unit + rng.choice(["", "q", unit]) + rng.choice(["", "b"]))
+    rows = list(enumerate(texts))[::-1]
+    assert sorted(tuple(r) for r in fp.edit_report(make_docs(texts)).collect()) == sorted(expected_edits(rows))
+
+
 def test_fingerprints_of_hostile_rows(hostile, empty, make_docs):
     got = fp.edit_report(hostile).collect()
     assert len(got) == hostile.count()
@@ -64,6 +76,7 @@ def test_prefix_hash_spans_and_extensions():
         while i + want < len(a) and j + want < len(b) and a[i + want] == b[j + want]:
             want += 1
         assert fp.common_extension(x, i, y, j) == want
+        assert fp.common_extension(x, i, y, j, back=True) == len(os.path.commonprefix([a[:i][::-1], b[:j][::-1]]))
         assert x.all_spans(3).tolist() == [x.span(k, k + 3) for k in range(max(0, len(a) - 2))]
 
 

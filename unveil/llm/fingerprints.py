@@ -90,12 +90,18 @@ class PrefixHash:
         return (self.h[0][lengths].astype(np.uint64) << np.uint64(31)) | self.h[1][lengths].astype(np.uint64)
 
 
-def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
-    """Length of the longest common run of a[i:] and b[j:], by binary search over span equality."""
-    lo, hi = 0, min(a.n - i, b.n - j)
+def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int, back: bool = False) -> int:
+    """Length of the longest common run of a[i:] and b[j:], or with ``back`` of the ends of a[:i] and b[:j].
+
+    Binary search over span equality: a span's sum at i is B**(i - j) times that at j.
+    """
+    sides = [(x, y, int(x[i]), int(y[j]), pow(base, i - j, P)) for base, x, y in zip(BASES, a.h, b.h)]
+    way = -1 if back else 1
+    lo, hi = 0, min(i, j) if back else min(a.n - i, b.n - j)
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        if a.span(i, i + mid) == b.span(j, j + mid):
+        step = way * mid
+        if all((int(x[i + step]) - x0 - f * (int(y[j + step]) - y0)) % P == 0 for x, y, x0, y0, f in sides):
             lo = mid
         else:
             hi = mid - 1
@@ -227,6 +233,10 @@ def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     first, which for a single row is the row itself). Null texts are empty;
     an empty text has the fingerprint of length 0 and likeness 1 only with
     another empty text. Columns beyond the two are not read.
+
+    prefix_edited, suffix_edited, prefix_next and suffix_next are the exact numbers of code
+    points that the text shares with the start and the end of the other one,
+    found by longest common extensions over the prefix hashes of both.
     """
 
     def run(batches):
@@ -246,12 +256,13 @@ def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), _types)], _names)
 
     return neighbours(docs, doc_id, text).select("bucket", "guest", "doc_id", "text").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+        "prefix_edited long, suffix_edited long, prefix_next long, suffix_next long"
     )
 
 
-_names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "prefix_edited", "suffix_edited", "prefix_next", "suffix_next"]
+_types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.int64()] * 4]
 
 
 def _row(held: tuple, following: tuple) -> tuple:
@@ -260,4 +271,11 @@ def _row(held: tuple, following: tuple) -> tuple:
     keep, taken = n - n // 2, min(n // 2, len(other.text))
     edited = s.text[:keep] + other.text[:taken]
     changed = edited_fingerprint(s, keep, other, taken)
-    return doc, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, theirs)
+    a, b = s.hash, other.hash
+    prefix = keep + min(common_extension(a, keep, b, 0), taken)
+    # the edited text ends with other[:taken], before that with s[:keep]
+    suffix = min(common_extension(a, n, b, taken, back=True), taken)
+    if suffix == taken:
+        suffix += common_extension(a, n - taken, a, keep, back=True)
+    shared = prefix, suffix, common_extension(a, 0, b, 0), common_extension(a, n, b, b.n, back=True)
+    return doc, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, theirs), *shared
