@@ -3,15 +3,18 @@
 Documents are cut into pieces that fit the largest capacity. Pieces are dealt
 at random into shards of bounded size, and each shard is packed on its own:
 in falling order of length a piece goes to the open bin with the least room
-that still holds it, and when none does, a bin is opened. Which size to open
-is chosen jointly for the shard: one packing is made for every permitted
-capacity as the least opening size, every bin is then downsized to the
-smallest capacity that holds its contents, and the cheapest packing wins.
+that still holds it, and when none does, a bin of the size is opened that
+costs least for each unit it would hold, judged by the pieces still to come.
+Every bin is then downsized to the smallest capacity that holds its contents.
+What a piece still to come will really do is not known when a bin is opened,
+so the sizes are optimised jointly: packings with each permitted size as the
+least, chosen at each opening or fixed, are made as well, and the cheapest wins.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from operator import neg
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,25 +29,43 @@ def cost_of(capacity: int, overhead: int = OVERHEAD) -> int:
     return capacity + overhead
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...], least: int) -> tuple[list[int], list[int], list[int]]:
+def opening_size(lengths: list[int], i: int, sizes: tuple[int, ...], overhead: int = OVERHEAD) -> int:
+    """The size whose bin, opened for ``lengths[i]``, costs least a unit held; ties to the smaller.
+
+    The bin is thought to be filled from the pieces after ``i``, longest first.
+    ``sizes`` rise and all hold the piece; ``lengths`` fall.
+    """
+    best = None
+    for capacity in sizes:
+        room, j = capacity - lengths[i], i + 1
+        while room and (j := bisect_left(lengths, -room, j, key=neg)) < len(lengths):
+            room -= lengths[j]
+            j += 1
+        held = capacity - room
+        cost = cost_of(sizes[bisect_left(sizes, held)], overhead)
+        if best is None or cost * best[1] < best[0] * held:
+            best = (cost, held, capacity)
+    return best[2]
+
+
+def best_fit(lengths: list[int], capacities: tuple[int, ...], least: int, choose: bool = False, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
     """Bin, offset in the bin, and fill of each bin, for lengths in falling order.
 
     New bins take the smallest capacity that holds the piece, and at least
-    ``least``. Ties go to the bin opened first.
+    ``least``, or with ``choose`` the ``opening_size`` among those. Ties go to the bin opened first.
     """
     room: list[tuple[int, int]] = []  # (room left, bin), sorted
     fill: list[int] = []
-    size: list[int] = []
     bins, offsets = [], []
-    for n in lengths:
+    for k, n in enumerate(lengths):
         i = bisect_left(room, (n, -1))
         if i < len(room):
             left, b = room.pop(i)
         else:
             b = len(fill)
-            left = capacities[bisect_left(capacities, max(n, least))]
+            sizes = capacities[bisect_left(capacities, max(n, least)) :]
+            left = opening_size(lengths, k, sizes, overhead) if choose else sizes[0]
             fill.append(0)
-            size.append(left)
         bins.append(b)
         offsets.append(fill[b])
         fill[b] += n
@@ -54,17 +75,18 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...], least: int) -> tup
 
 
 def pack_shard(lengths: list[int], capacities: tuple[int, ...], overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """The cheapest packing over the opening sizes: bin, offset, and downsized capacity of each bin.
+    """The cheapest packing: bin, offset, and downsized capacity of each bin.
 
-    Ties go to the smaller opening size. ``lengths`` must fall.
+    Ties go to sizes chosen at each opening, then to the smaller least size. ``lengths`` must fall.
     """
     best = None
-    for least in capacities:
-        bins, offsets, fill = best_fit(lengths, capacities, least)
-        final = [capacities[bisect_left(capacities, f)] for f in fill]
-        cost = sum(cost_of(c, overhead) for c in final)
-        if best is None or cost < best[0]:
-            best = (cost, bins, offsets, final)
+    for choose in (True, False):
+        for least in capacities:
+            bins, offsets, fill = best_fit(lengths, capacities, least, choose, overhead)
+            final = [capacities[bisect_left(capacities, f)] for f in fill]
+            cost = sum(cost_of(c, overhead) for c in final)
+            if best is None or cost < best[0]:
+                best = (cost, bins, offsets, final)
     return best[1:]
 
 
