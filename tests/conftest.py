@@ -12,7 +12,7 @@ SF001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[*]", shuffle_partitions=8, **{"spark.driver.memory": "8g", "unveil.input.partitions": "8"})
+    s = build_session(master="local[*]", shuffle_partitions=8, **{"spark.driver.memory": "8g", "spark.unveil.input.partitions": "8"})
     yield s
     s.stop()
 

@@ -3,6 +3,7 @@
 import pytest
 
 from corpus_rows import CORPUS
+from unveil.sources.tables import strict_text_corpus, text_corpus
 
 EXPECTED = {
     "attacks/01_zero_width_chars": ["zero_width_chars:60"],
@@ -79,3 +80,26 @@ def test_rowwise_parity(cleaned):
 
     for eid, row in cleaned.items():
         assert clean_row(row.text) == (row.cleaned_text, list(row.removed_items)), eid
+
+
+def test_strict_reader_sets_broken_files_aside(spark, tmp_path):
+    good = {"a": "plain\r\nlines\n", "b": "h\u00e9 \ufeff \U0001f600", "c": " ", "d": "\ufeffmark first"}
+    bad = {"e": b"ok \xff", "f": b"cut \xe2\x82", "g": b"\xc0\xafoverlong", "h": b"\xed\xa0\x80 surrogate", "i": b"\xf4\x90\x80\x80"}
+    (tmp_path / "x").mkdir()
+    for name, text in good.items():
+        (tmp_path / "x" / f"{name}.txt").write_bytes(text.encode())
+    for name, raw in bad.items():
+        with pytest.raises(UnicodeDecodeError):
+            raw.decode()
+        (tmp_path / "x" / f"{name}.txt").write_bytes(raw)
+    (tmp_path / "x" / "j.txt").write_bytes(b"\xff" * 100)
+    (tmp_path / "x" / "k.txt").write_bytes(b"")
+    corpus, aside = strict_text_corpus(spark, str(tmp_path), longest=99)
+    assert {r.evidence_id: r.text for r in corpus.collect()} == {f"x/{k}": v for k, v in good.items()}
+    told = {r.evidence_id: (r.label, r.reason, r.n_bytes) for r in aside.collect()}
+    assert told == {f"x/{k}": ("x", "not_utf8", len(v)) for k, v in bad.items()} | {"x/j": ("x", "too_long", 100)}
+    for name in [*bad, "j"]:
+        (tmp_path / "x" / f"{name}.txt").unlink()
+    corpus, aside = strict_text_corpus(spark, str(tmp_path))
+    same = text_corpus(spark, str(tmp_path))
+    assert corpus.columns == same.columns and sorted(corpus.collect()) == sorted(same.collect()) and aside.isEmpty()

@@ -11,7 +11,7 @@ from unveil.plans.registry import REGISTRY
 from unveil.sources.tables import TABLES
 
 FAST = ["c1_html_comments", "c10_clean", "c12_rendered_log", "e2_detection_matrix", "j7_parse_response",
-        "p4_check", "p4_check_reply_table", "p6_panel_acceptance", "l2_screen_and_record", "e6_parity_diff", "r2_conformance", "r4_vote_tally", "e8_removal_census"]
+        "p4_check", "p4_check_reply_table", "p6_panel_acceptance", "p2_reply_cache", "s1_strict_corpus", "j8_verdict", "l2_screen_and_record", "e6_parity_diff", "r2_conformance", "r4_vote_tally", "e8_removal_census"]
 
 
 @pytest.fixture(scope="module")

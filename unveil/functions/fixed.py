@@ -139,8 +139,8 @@ CATEGORY_MALFORMED_RESPONSE = "malformed_judge_response"
 
 # Every value that a stored verdict's category can take.
 FINAL_CATEGORIES = (
-    "none", "hidden_instruction", "invisible_text", "fake_role", "encoded_payload",
-    "unspecified", "hidden_content_removed", "judge_unreliable", "malformed_judge_response",
+    CATEGORY_NONE, CATEGORY_HIDDEN_INSTRUCTION, CATEGORY_INVISIBLE_TEXT, CATEGORY_FAKE_ROLE, CATEGORY_ENCODED_PAYLOAD,
+    CATEGORY_UNSPECIFIED, CATEGORY_HIDDEN_CONTENT_REMOVED, CATEGORY_JUDGE_UNRELIABLE,
 )
 
 MODEL_ATTACK_CATEGORIES = (

@@ -13,7 +13,8 @@ from unveil.plans.standins import synthetic_panel
 from unveil.plans.pipeline_queries import planted_verdicts
 from unveil.plans.registry import register
 from unveil.plans.sqltext import pipeline_with, planted_clean_with, q
-from unveil.sources.tables import evidence_union
+from unveil.session import work_path
+from unveil.sources.tables import evidence_union, strict_text_corpus, table
 from unveil.functions import fixed
 
 
@@ -116,6 +117,25 @@ def s1_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("evidence_id", "origin", blen(F.col("text")).alias("text_len"), sha(F.col("text")).alias("text_hash"))
 
 
+@register(
+    "s1_strict_corpus",
+    """SELECT 'doc=' || CAST(doc_id AS VARCHAR) AS label, CASE WHEN doc_id % 50 IN (7, 8) THEN 'not_utf8' ELSE 'kept' END AS state,
+       CASE WHEN doc_id % 50 NOT IN (7, 8) THEN sha256(coalesce(text, '') || CASE WHEN doc_id % 50 = 9 THEN chr(233) ELSE '' END || chr(10)) END AS text_hash
+FROM documents""",
+)
+def s1_strict_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as one file each, some with bytes that are no UTF-8 at the end, read strictly."""
+    tail = {7: "FF", 8: "C3", 9: "C3A9"}
+    kind = F.col("doc_id") % 50
+    more = F.unhex(F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in tail.items()], F.lit("")))
+    body = F.concat(F.coalesce("text", F.lit("")).cast("binary"), more).cast("string")
+    root = work_path(spark, "one-file-each")
+    table(spark, sf_dir, "documents").select(body.alias("value"), F.col("doc_id").alias("doc")).write.partitionBy("doc").text(root)
+    corpus, quarantine = strict_text_corpus(spark, root)
+    kept = corpus.select("label", F.lit("kept").alias("state"), sha(F.col("text")).alias("text_hash"))
+    return kept.unionByName(quarantine.select("label", F.col("reason").alias("state"), F.lit(None).cast("string").alias("text_hash")))
+
+
 @register(
     "e6_parity_diff",
     "SELECT CAST(0 AS BIGINT) AS native_only, CAST(0 AS BIGINT) AS python_only, CAST(count(*) AS BIGINT) AS rows FROM documents",

@@ -9,11 +9,13 @@ from unveil.functions import fixed
 from unveil.functions import judge as J
 from unveil.operators.pipeline import prepare, prompt_table, replies_by_evidence, score_join, screen, verdicts
 from unveil.operators.planting import planted
+from unveil.operators.reply_cache import answer
 from unveil.operators.responses import table_scorer
 from unveil.plans.common import SEP, blen, bsize, sha, spread, stored
 from unveil.plans.registry import register
-from unveil.plans.standins import stub_responses, stub_scorer
+from unveil.plans.standins import stub_responses, stub_scorer, text_model, text_model_sql
 from unveil.plans.sqltext import label_key_sql, normalize_sql, pipeline_with, wellformed_sql
+from unveil.session import work_path
 
 
 def planted_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +202,29 @@ def reply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(stub_responses(prompt_table(planted_prepared(spark, sf_dir), "doc_id")), "replies")
 
 
+@register(
+    "p2_reply_cache",
+    W + f"""SELECT evidence_id, kind, sha256(response) AS reply_hash,
+       CASE WHEN bool_or(doc_id % 2 = 1) OVER same THEN 'first' ELSE 'second' END AS asked_in,
+       count(*) OVER same AS n_same_prompt
+FROM ({text_model_sql('prompts')}) WINDOW same AS (PARTITION BY kind, prompt)""",
+)
+def p2_reply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches over one cache: the odd documents, then all of them; each distinct prompt is asked once."""
+    prompts = stored(prompt_table(planted_prepared(spark, sf_dir), "doc_id"), "all-prompts")
+    cache = work_path(spark, "reply-cache")
+    answer(prompts.where("doc_id % 2 = 1").drop("doc_id"), text_model, cache, "first")
+    replies = stored(answer(prompts.drop("doc_id"), text_model, cache, "second"), "cached-replies")
+    same = with_count(replies)
+    return same.select("evidence_id", "kind", sha(F.col("response")).alias("reply_hash"), "asked_in", "n_same_prompt")
+
+
+def with_count(replies: DataFrame) -> DataFrame:
+    """Each row with the number of rows that share its prompt; folded first, so a hot prompt is one row."""
+    counts = replies.groupBy("key").agg(F.count("*").alias("n_same_prompt"))
+    return replies.join(stored(counts, "prompt-counts"), "key")
+
+
 @register("p3_evidence_hash", W + "SELECT evidence_id, evidence_hash FROM prepared")
 def p3_evidence_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted_prepared(spark, sf_dir).select("evidence_id", "evidence_hash")

@@ -6,6 +6,10 @@ and of the canary word in the prompt, with SQL twins. No model, no network.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +118,24 @@ def synthetic_panel(scored: DataFrame, key_col: str = "doc_id") -> DataFrame:
         F.when(~missing, leak).alias("canary_leaked"),
         "conclusive",
     )
+
+
+def text_model(prompts: pd.DataFrame) -> pd.Series:
+    """A stand-in that knows nothing but the prompt: its hash picks the reply."""
+    out = []
+    for kind, prompt in zip(prompts["kind"], prompts["prompt"]):
+        digit = ord(hashlib.sha256(prompt.encode("utf-8", "surrogatepass")).hexdigest()[-1])
+        word = re.search(WORD_PATTERN, prompt)
+        if kind == "detection":
+            out.append(DETECTION_REPLIES[digit % len(DETECTION_REPLIES)])
+        else:
+            out.append(LEAK_REPLY + (word.group(1) if word else "") if digit % LEAK_EVERY == 0 else SAFE_REPLY)
+    return pd.Series(out, index=prompts.index, dtype=object)
+
+
+def text_model_sql(prompts: str) -> str:
+    digit = "ascii(right(sha256(prompt), 1))"
+    cases = " ".join(f"WHEN {i} THEN {sql_str(r)}" for i, r in enumerate(DETECTION_REPLIES))
+    return f"""SELECT *, CASE WHEN kind = 'detection' THEN CASE {digit} % {len(DETECTION_REPLIES)} {cases} END
+            WHEN {digit} % {LEAK_EVERY} = 0 THEN {sql_str(LEAK_REPLY)} || regexp_extract(prompt, {sql_str(WORD_PATTERN)}, 1)
+            ELSE {sql_str(SAFE_REPLY)} END AS response FROM {prompts}"""

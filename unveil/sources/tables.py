@@ -60,3 +60,34 @@ def text_corpus(spark: SparkSession, root: str, pattern: str = "*/*.txt") -> Dat
         label.alias("label"),
         F.col("value").alias("text"),
     )
+
+
+LONGEST_FILE = 1 << 30
+
+
+def strict_text_corpus(spark: SparkSession, root: str, pattern: str = "*/*.txt", longest: int = LONGEST_FILE) -> tuple[DataFrame, DataFrame]:
+    """One document per file, decoded strictly: (corpus, quarantine).
+
+    The corpus has the columns and rows of ``text_corpus`` but for files that
+    are no UTF-8 (bytes cut off, overlong forms, surrogates and values past
+    U+10FFFF included) or longer than ``longest`` bytes. These are
+    listed in the quarantine: evidence_id, label, path, n_bytes, reason
+    (``not_utf8`` or ``too_long``). No byte is replaced, and a
+    file is read by one task; one that is too long is not opened at all.
+    Spark's file sources pass over files of no bytes, so neither reader has a
+    row for them.
+    """
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{pattern}")
+    parts = F.split("path", "/")
+    label = F.element_at(parts, -2)
+    named = [
+        F.concat(label, F.lit("/"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "")).alias("evidence_id"),
+        label.alias("label"),
+    ]
+    text = F.col("content").cast("string")
+    # the bound on the length reaches the scan, which fails on files beyond its own limit
+    read = files.where(F.col("length") <= longest).select(*named, "path", F.col("length").alias("n_bytes"), text.alias("text"))
+    corpus = read.where(F.is_valid_utf8("text")).select("evidence_id", "label", "text")
+    broken = read.where(~F.is_valid_utf8("text")).select("evidence_id", "label", "path", "n_bytes", F.lit("not_utf8").alias("reason"))
+    too_long = files.where(F.col("length") > longest).select(*named, "path", F.col("length").alias("n_bytes"), F.lit("too_long").alias("reason"))
+    return corpus, broken.unionByName(too_long)
