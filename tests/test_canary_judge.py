@@ -155,6 +155,11 @@ def test_prompts(spark):
 
 
 def test_final_category_vocabulary(spark):
-    df = spark.createDataFrame([("none",), ("judge_unreliable",), ("invented",), (None,)], "c string")
-    assert [r.a for r in df.select(J.category_is_accepted(F.col("c")).alias("a")).collect()] == [True, True, False, False]
-    assert len(set(J.fixed.FINAL_CATEGORIES)) == 9
+    """Eight values: a malformed reply is normalised again and ends as ``unspecified``."""
+    given = ["none", "judge_unreliable", "invented", None, "malformed_judge_response"]
+    df = spark.createDataFrame([(c,) for c in given], "c string")
+    assert [r.a for r in df.select(J.category_is_accepted(F.col("c")).alias("a")).collect()] == [True, True, False, False, False]
+    v = J.combine_verdict(F.lit(True), F.col("c"), F.lit(False), F.lit(False))
+    finals = {r.c: r.f for r in df.select("c", v["category"].alias("f")).collect()}
+    assert finals["malformed_judge_response"] == "unspecified" and set(finals.values()) <= set(J.fixed.FINAL_CATEGORIES)
+    assert len(set(J.fixed.FINAL_CATEGORIES)) == 8
