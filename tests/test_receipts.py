@@ -93,3 +93,26 @@ def test_typed_fields(spark):
     p = R.parse_receipts(spark.createDataFrame([(0, json.dumps(r))], "receipt_id bigint, receipt string")).first()
     assert bytes(p.result) == b"hi" and bytes(p.calldata) == b"\x00\x01\x02" and p.contract_state == {"a": {"x": "1"}}
     assert p.eq_outputs == {0: "ok", 12: "no"} and json.loads(p.node_config)["model"] == "m"
+
+
+def test_conformance_looks_each_rule_up_once(spark):
+    """A rule costs one type lookup a receipt: not one for each class it is compared with, nor one for each column that reads it."""
+    from pyspark.sql import functions as F
+
+    from unveil.functions import fixed
+
+    rows = spark.range(1).select("id", F.col("id").cast("string").alias("receipt"))
+    rules = R.structure_checks(fixed.RECEIPT_TEMPLATE, F.col("_v"))
+    was = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = R.conformance(rows)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", was)
+    assert plan.count("SchemaOfVariant.schemaOfVariant(") == len(rules)
+    types = {"n": "int", "b": "bool", "o": {"s": "str|None"}, "l": ["int"]}
+    texts = ['{"n": 1, "b": true, "o": {"s": null}, "l": [1, true]}', '{"n": 5.0, "b": true, "o": {"s": "x"}, "l": []}', '{"n": 12345678901234567890, "b": false, "o": {}, "l": []}',
+             '{"n": true, "b": true, "o": {"s": ""}, "l": [1, "x"]}', '{"n": 1, "b": null, "o": {"s": ""}, "l": []}', "[]", "no json", None]
+    data = spark.createDataFrame(list(enumerate(texts)), "receipt_id int, receipt string")
+    got = {r.receipt_id: (r.conforms, r.first_failing_path) for r in R.conformance(data, template=types).collect()}
+    assert got == {0: (True, None), 1: (False, "$.n"), 2: (False, "$.o.s"), 3: (False, "$.l[*]"), 4: (False, "$.b"), 5: (False, "$"), 6: (False, "$"), 7: (False, "$")}

@@ -17,7 +17,7 @@ from unveil.functions import fixed
 LEADER = "$.consensus_data.leader_receipt"
 
 
-ACCEPTS = {
+ACCEPTS = {  # the classes of ``type_class`` that a leaf name takes
     "bool": ("bool",),
     "str": ("str",),
     "int": ("int", "bool"),
@@ -27,23 +27,31 @@ ACCEPTS = {
 }
 
 
-def type_class(v: Column, path: str = "$") -> Column:
-    """Class of a JSON path: missing/null/bool/str/int/list/dict/other.
+# How schema_of_variant begins for each class. Whole numbers arrive as BIGINT, or beyond its range as
+# a decimal of 19 or more digits; a shorter decimal is a float such as 5.0, which is no int.
+TYPE_NAMES = {
+    "null": r"VOID$",
+    "bool": r"BOOLEAN$",
+    "str": r"STRING$",
+    "int": r"(?:(?:BIG|SMALL|TINY)?INT|DECIMAL\((?:19|[23]\d),0\))$",
+    "list": r"ARRAY",
+    "dict": r"OBJECT",
+}
 
-    Whole numbers arrive as BIGINT, or beyond its range as a decimal of 19 or
-    more digits; a shorter decimal is a float such as 5.0, which is no int.
-    """
+
+def is_class(v: Column, path: str, *classes: str) -> Column:
+    """Whether a JSON path is there and of one of the classes; its type is looked up once."""
+    named = "|".join(TYPE_NAMES[c] for c in classes)
+    return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")).rlike(f"^(?:{named})"), F.lit(False))
+
+
+def type_class(v: Column, path: str = "$") -> Column:
+    """Class of a JSON path: missing/null/bool/str/int/list/dict/other."""
     t = F.schema_of_variant(F.variant_get(v, path, "variant"))
-    return (
-        F.when(t.isNull() | (t == "NULL"), F.lit("missing"))
-        .when(t == "VOID", F.lit("null"))
-        .when(t == "BOOLEAN", F.lit("bool"))
-        .when(t == "STRING", F.lit("str"))
-        .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | t.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$"), F.lit("int"))
-        .when(t.startswith("ARRAY"), F.lit("list"))
-        .when(t.startswith("OBJECT"), F.lit("dict"))
-        .otherwise(F.lit("other"))
-    )
+    out = F.when(t.isNull() | (t == "NULL"), F.lit("missing"))
+    for name, pattern in TYPE_NAMES.items():
+        out = out.when(t.rlike(f"^{pattern}"), F.lit(name))
+    return out.otherwise(F.lit("other"))
 
 
 def with_variant(receipts: DataFrame, json_col: str = "receipt") -> DataFrame:
@@ -107,7 +115,7 @@ def structure_checks(template, v: Column, path: str = "$", name: str = "$") -> l
     whose every element fits, a string names a leaf class of ``ACCEPTS``.
     """
     if isinstance(template, dict):
-        out = [(name, type_class(v, path) == "dict")]
+        out = [(name, is_class(v, path, "dict"))]
         for key, sub in template.items():
             out += structure_checks(sub, v, f"{path}['{key}']", f"{name}.{key}")
         return out
@@ -120,21 +128,21 @@ def structure_checks(template, v: Column, path: str = "$", name: str = "$") -> l
                 holds = ok if holds is None else holds & ok
             return holds
 
-        return [(name, type_class(v, path) == "list"), (f"{name}[*]", F.coalesce(F.forall(items, fits), F.lit(False)))]
-    return [(name, type_class(v, path).isin(*ACCEPTS[template]))]
+        return [(name, is_class(v, path, "list")), (f"{name}[*]", F.coalesce(F.forall(items, fits), F.lit(False)))]
+    return [(name, is_class(v, path, *ACCEPTS[template]))]
 
 
 def conformance(receipts: DataFrame, json_col: str = "receipt", template=fixed.RECEIPT_TEMPLATE) -> DataFrame:
-    """R2: whether each receipt fits ``template`` (any structure), and the first failing path."""
+    """R2: whether each receipt fits ``template`` (any structure), and the first failing path.
+
+    Each rule is looked at once for a receipt, and none behind the first that fails.
+    """
     d = with_variant(receipts, json_col)
-    checks = F.array(*[F.struct(F.lit(path).alias("path"), ok.alias("ok")) for path, ok in structure_checks(template, F.col("_v"))])
-    failing = F.filter(checks, lambda c: ~F.coalesce(c["ok"], F.lit(False)))
+    failing = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(path)) for path, ok in structure_checks(template, F.col("_v"))]
     keep = [c for c in receipts.columns if c != json_col]
-    return d.select(
-        *keep,
-        (F.size(failing) == 0).alias("conforms"),
-        F.try_element_at(failing, F.lit(1))["path"].alias("first_failing_path"),
-    )
+    # the one-row generator keeps the chain from being merged into both columns that read it
+    first = d.select(*keep, F.inline(F.array(F.struct(F.coalesce(*failing).alias("first_failing_path")))))
+    return first.select(*keep, F.col("first_failing_path").isNull().alias("conforms"), "first_failing_path")
 
 
 def _json(value) -> Column:
