@@ -103,3 +103,24 @@ def test_strict_reader_sets_broken_files_aside(spark, tmp_path):
     corpus, aside = strict_text_corpus(spark, str(tmp_path))
     same = text_corpus(spark, str(tmp_path))
     assert corpus.columns == same.columns and sorted(corpus.collect()) == sorted(same.collect()) and aside.isEmpty()
+
+
+def test_strict_reader_of_many_small_files_runs_in_few_tasks(spark, tmp_path):
+    """Splits of small files are put together; hidden folders, deeper files and other names are treated as by the pattern."""
+    from unveil.sources.tables import binary_files, one_file_each
+
+    root = str(tmp_path / "each")
+    rows = [(k, f"text {k}\n".encode()) for k in range(3000)] + [(7, b"again\n"), (None, b"none\n")]
+    one_file_each(spark.createDataFrame(rows, "doc long, body binary").coalesce(1), root)
+    names = ("_private/a.txt", ".dot/b.txt", "_k=1/c.txt", "x/deep/d.txt", "x/e.csv", "x/f.txt", "g.txt")
+    for name in names:
+        (tmp_path / "each" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "each" / name).write_text(name)
+    plain = spark.read.format("binaryFile").load(f"{root}/*/*.txt")
+    files = binary_files(spark, root)
+    assert files.rdd.getNumPartitions() < plain.rdd.getNumPartitions() / 2
+    assert sorted(files.select("path").collect()) == sorted(plain.select("path").collect())
+    corpus, aside = strict_text_corpus(spark, root)
+    got = {r.label: r.text for r in corpus.where("label like 'doc=%'").collect()}
+    assert got == {f"doc={k}": f"text {k}\n" for k in range(3000) if k != 7} | {"doc=7": got["doc=7"], "doc=__HIVE_DEFAULT_PARTITION__": "none\n"}
+    assert sorted(got["doc=7"].splitlines()) == ["again", "text 7"] and aside.isEmpty()

@@ -14,7 +14,7 @@ from unveil.plans.pipeline_queries import planted_verdicts
 from unveil.plans.registry import register
 from unveil.plans.sqltext import pipeline_with, planted_clean_with, q
 from unveil.session import work_path
-from unveil.sources.tables import evidence_union, strict_text_corpus, table
+from unveil.sources.tables import evidence_union, one_file_each, strict_text_corpus, table
 from unveil.functions import fixed
 
 
@@ -128,9 +128,9 @@ def s1_strict_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = {7: "FF", 8: "C3", 9: "C3A9"}
     kind = F.col("doc_id") % 50
     more = F.unhex(F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in tail.items()], F.lit("")))
-    body = F.concat(F.coalesce("text", F.lit("")).cast("binary"), more).cast("string")
+    body = F.concat(F.coalesce("text", F.lit("")).cast("binary"), more, F.lit(b"\n"))
     root = work_path(spark, "one-file-each")
-    table(spark, sf_dir, "documents").select(body.alias("value"), F.col("doc_id").alias("doc")).write.partitionBy("doc").text(root)
+    one_file_each(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), body.alias("body")), root)
     corpus, quarantine = strict_text_corpus(spark, root)
     kept = corpus.select("label", F.lit("kept").alias("state"), sha(F.col("text")).alias("text_hash"))
     return kept.unionByName(quarantine.select("label", F.col("reason").alias("state"), F.lit(None).cast("string").alias("text_hash")))

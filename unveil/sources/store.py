@@ -26,6 +26,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file sources name it."""
+    return str(_fs(spark, path).makeQualified(_path(spark, path)).toString())
+
+
+def matches(spark: SparkSession, pattern: str) -> int:
+    """How many paths a pattern finds."""
+    return len(_fs(spark, pattern).globStatus(_path(spark, pattern)) or ())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unveil.sources import store
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -62,6 +64,65 @@ def text_corpus(spark: SparkSession, root: str, pattern: str = "*/*.txt") -> Dat
     )
 
 
+def one_file_each(rows: DataFrame, root: str) -> None:
+    """Writes ``rows`` (doc, body binary) as ``<root>/doc=<doc>/part-<task>.txt``, the folders that ``partitionBy("doc")`` makes.
+
+    Each task opens its files itself through Arrow's file systems (local paths, and the stores that
+    Arrow knows by URI): a partitioned Spark write has a permission process for each file of a
+    local store and moves each folder on the driver. Rows of a task with one doc share a file. A
+    task that runs again writes the same names.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store_, base = fs.FileSystem.from_uri(root.removeprefix("file:") if root.startswith("file:/") else root)
+        part, now, out, n = f"part-{TaskContext.get().partitionId():05d}.txt", None, None, 0
+        for batch in batches:
+            for doc, body in zip(batch.column(0), batch.column(1)):
+                doc = doc.as_py()
+                if out is None or doc != now:
+                    if out is not None:
+                        out.close()
+                    folder = f"{base}/doc={'__HIVE_DEFAULT_PARTITION__' if doc is None else doc}"
+                    store_.create_dir(folder, recursive=True)
+                    now, out, n = doc, store_.open_output_stream(f"{folder}/{part}"), n + 1
+                out.write(body.as_buffer())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows.select("doc", "body").sortWithinPartitions("doc").mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+
+
+SMALL_PARTS, TASK_BYTES = 64, 32 << 20
+
+
+def binary_files(spark: SparkSession, root: str, pattern: str = "*/*.txt") -> DataFrame:
+    """The ``binaryFile`` table of a corpus of folders.
+
+    With the usual pattern folders are listed by tasks; a pattern of paths would list each on the
+    driver. Spark counts every small file as 4 MB, so up to SMALL_PARTS of its splits go to one
+    task, as long as it reads no more than TASK_BYTES on average.
+    """
+    reader, root = spark.read.format("binaryFile"), root.rstrip("/")
+    if pattern != "*/*.txt" or any(c in root for c in "*?[{"):
+        return reader.load(f"{root}/{pattern}")
+    here = F.size(F.split("path", "/")) == store.qualified(spark, root).count("/") + 3
+    label = F.element_at(F.split("path", "/"), -2)
+    files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    splits, size = files.rdd.getNumPartitions(), int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = files.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES, splits // SMALL_PARTS)).where(here)
+    # a walk through folders passes over names that Spark takes for hidden, a pattern does not
+    unseen = "{[_.]*,*._COPYING_}/*.txt"
+    if store.matches(spark, f"{root}/{unseen}"):
+        hidden = label.startswith(".") | (label.startswith("_") & ~label.contains("=")) | label.endswith("._COPYING_")
+        files = files.unionByName(spark.read.format("binaryFile").load(f"{root}/{unseen}").where(hidden))
+    return files
+
+
 LONGEST_FILE = 1 << 30
 
 
@@ -77,7 +138,7 @@ def strict_text_corpus(spark: SparkSession, root: str, pattern: str = "*/*.txt",
     Spark's file sources pass over files of no bytes, so neither reader has a
     row for them.
     """
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{pattern}")
+    files = binary_files(spark, root, pattern)
     parts = F.split("path", "/")
     label = F.element_at(parts, -2)
     named = [
