@@ -17,24 +17,29 @@ from unveil.operators.pipeline import attach_replies
 from unveil.session import ship_package
 
 Model = Callable[[pd.DataFrame], pd.Series]
+MODEL_BYTES = 4 << 20
 
 
 def score_with(prompts: DataFrame, model: Model) -> DataFrame:
     """The reply table (evidence_id, kind, response) that ``model`` gives for a prompt table.
 
     ``model`` maps a batch of prompts to a Series of replies. It runs where
-    the prompts are, on Arrow batches of
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows.
+    the prompts are, on parts of Arrow batches of
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows that hold about MODEL_BYTES.
     """
     ship_package(prompts.sparkSession)
+    names = prompts.columns
 
     def run(batches):
-        for pdf in batches:
-            out = pdf[["evidence_id", "kind"]].copy()
-            out["response"] = model(pdf).astype(object).values
-            yield out
-
-    return prompts.mapInPandas(run, "evidence_id string, kind string, response string")
+        for batch in batches:
+            step = max(1, batch.num_rows * MODEL_BYTES // max(1, batch.nbytes))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                replies = [None if pd.api.types.is_scalar(x) and pd.isna(x) else x for x in model(part.to_pandas())]
+                kept = [part.column(names.index(c)) for c in ("evidence_id", "kind")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(replies, pa.string())], ["evidence_id", "kind", "response"])
+
+    return prompts.mapInArrow(run, "evidence_id string, kind string, response string")
 
 
 def model_scorer(model: Model) -> Callable[[DataFrame], DataFrame]:
