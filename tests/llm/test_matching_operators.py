@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,6 +246,37 @@ def test_alignment_is_brute_force(spark):
         assert Counter(tuple(r) for r in alignment.report(df, A, B, held=held).collect()) == want
 
 
+def test_links_are_counted_in_bounded_memory(monkeypatch):
+    """A batch of 24 MB of links takes a few blocks of memory, and rows cut anywhere give the same sums."""
+    rng = np.random.default_rng(5)
+    links = rng.integers(0, 300, (3 << 20, 2)).astype("<u4")
+    cuts = np.sort(rng.integers(0, len(links) + 1, 4000))
+    cuts[[0, -1]] = 0, len(links)
+    n = len(cuts) - 1
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), token_files._binaries(links.view(np.uint8).ravel(), 8 * cuts)], ["uid", "links"])
+    key = links[:, 1].astype(np.int64) << 32 | links[:, 0]
+    keys, count = np.unique(key, return_counts=True)
+    table = keys[::2], count[::2], np.arange(len(keys))[::2] % 2
+    place = np.searchsorted(keys, key)
+    found = np.where(place % 2 == 0, count[place], 0)
+    row = np.repeat(np.arange(n), np.diff(cuts))
+    for size in (alignment.LINK_BYTES, 4096):
+        monkeypatch.setattr(alignment, "LINK_BYTES", size)
+        tracemalloc.start()
+        pairs, sums = [*alignment.counted([batch])], [*alignment.summed([batch], *table)]
+        rare = sum(b.num_rows for b in alignment.beyond([batch], table[0]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 << 20
+        got = Counter()
+        for b in pairs:
+            for x, y, k in zip(*(c.to_pylist() for c in b.columns)):
+                got[y << 32 | x] += k
+        assert got == dict(zip(keys.tolist(), count.tolist()))
+        assert pa.Table.from_batches(sums)["count_sum"].to_pylist() == np.bincount(row, found, n).astype(int).tolist()
+        assert rare == int((place % 2 == 1).sum())
+
+
 def test_windows_with_a_known_hash_are_compared(monkeypatch):
     """With a hash of four values windows clash, and the groups are the same."""
     pair = alignment.Pair(A, B)

@@ -14,6 +14,7 @@ travel to the tasks as a table; links of all other pairs get their counts by a j
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Iterator
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unveil.llm.shared import stored, text_of
-from unveil.llm.textblocks import blocks, buffers, per_row, same_spans, span_hashes
+from unveil.llm.textblocks import blocks, per_row, same_spans, span_hashes
 from unveil.llm.token_files import WordwiseTokenizer, _binaries, _Grown, _Numbers
 
 WINDOWS_HELD = 150_000
 UNITS_HELD = 400_000
 HELD = 1 << 20
-PAIRS_HELD = 1 << 21
+PAIRS_HELD = 1 << 19
+TEXT_BYTES = 1 << 18
+LINK_BYTES = 1 << 20
 GAP = 0xFFFFFFFF  # between the ids of both sides in a window's key; no id
 LONG_TEXT = 1 << 18  # characters; longer texts reach the piece tokenizer in parts, cut where no piece can cross
 
@@ -59,6 +62,15 @@ class Entries:
         return self.data[at]
 
 
+def give_back() -> None:
+    """Returns freed memory of Arrow and, where it can be asked to, of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not glibc
+
+
 class Windows:
     """Windows met so far by their id tuples, with their groups as text and their links."""
 
@@ -118,6 +130,7 @@ class Pair:
         """Frees what has been looked up so far."""
         self._clear()
         self.a._clear()
+        give_back()
 
     def pieces(self, text: str) -> list[int]:
         """Ids of a whole text by the piece tokenizer."""
@@ -253,7 +266,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
         for batch in batches:
-            for rows, data, offsets in blocks(batch, "text"):
+            for rows, data, offsets in blocks(batch, "text", TEXT_BYTES):
                 n_a, n_b, groups, links, first = pair.align(rows.column(2), data, offsets)
                 sha = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(groups, n_a.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -265,29 +278,26 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.mapInArrow(run, ALIGNED)
 
 
-def _keys(batch: pa.RecordBatch, place: int) -> tuple[np.ndarray, np.ndarray]:
-    """b << 32 | a of each link, and the first link of each row."""
-    data, offsets = buffers(batch.column(place))
-    links = data.view("<u4").reshape(-1, 2).astype(np.int64)
-    return links[:, 1] << 32 | links[:, 0], offsets // 8
-
+def _keys(data: np.ndarray) -> np.ndarray:
+    """b << 32 | a of each link."""
+    return data.view("<i8")
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """a, b, count (links of the pair), best (the count is the highest of its b) over all documents."""
 
-    def run(batches):
-        keys, n, held = [], [], 0
+def counted(batches) -> Iterator[pa.RecordBatch]:
+    """a, b, n of the links of a task; a pair may come more than once."""
+    keys, n, held = [], [], 0
 
-        def total():
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return [key], [np.bincount(inverse, np.concatenate(n)).astype(np.int64)]
+    def total():
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return [key], [np.bincount(inverse, np.concatenate(n)).astype(np.int64)]
 
-        def out():
-            (key,), (count,) = total()
-            return pa.RecordBatch.from_arrays([pa.array(key & 0xFFFFFFFF), pa.array(key >> 32), pa.array(count)], ["a", "b", "n"])
+    def out():
+        (key,), (count,) = total()
+        return pa.RecordBatch.from_arrays([pa.array(key & 0xFFFFFFFF), pa.array(key >> 32), pa.array(count)], ["a", "b", "n"])
 
-        for batch in batches:
-            key, count = np.unique(_keys(batch, 0)[0], return_counts=True)
+    for batch in batches:
+        for _, data, _ in blocks(batch, "links", LINK_BYTES):
+            key, count = np.unique(_keys(data), return_counts=True)
             keys.append(key)
             n.append(count)
             held += len(key)
@@ -297,52 +307,61 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
                 if held > PAIRS_HELD // 2:
                     yield out()
                     keys, n, held = [], [], 0
-        if keys:
-            yield out()
+    if keys:
+        yield out()
 
-    counts = aligned.select("links").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("count"))
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """a, b, count (links of the pair), best (the count is the highest of its b) over all documents."""
+    counts = aligned.select("links").mapInArrow(counted, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("count"))
     counts = stored(counts, "pair-counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def with_counts(aligned: DataFrame, pairs: DataFrame, held: int = HELD) -> DataFrame:
-    """uid, n_best, count_sum of each row of ``aligned``."""
-    top = pairs.orderBy(F.desc("count"), "b", "a").limit(held).select((F.col("b") * (1 << 32) + F.col("a")).alias("key"), "count", "best").toArrow().sort_by("key")
-    all_held = top.num_rows < held or pairs.count() == held
-    table = aligned.sparkSession.sparkContext.broadcast((top["key"].to_numpy(), top["count"].to_numpy(), top["best"].to_numpy(zero_copy_only=False).astype(np.int64)))
-
-    def known(batches):
-        keys, count, best = table.value
-        for batch in batches:
-            key, first = _keys(batch, 1)
-            unique, inverse = np.unique(key, return_inverse=True)
+def summed(batches, keys: np.ndarray, count: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns before ``links``, n_best and count_sum over links whose keys are in the table."""
+    for batch in batches:
+        for rows, data, offsets in blocks(batch, "links", LINK_BYTES):
+            unique, inverse = np.unique(_keys(data), return_inverse=True)
             at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
             hit = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
-            c = np.where(hit, count[at], 0) if len(keys) else np.zeros(len(unique))
-            b = np.where(hit, best[at], 0) if len(keys) else np.zeros(len(unique))
-            sums = [np.concatenate([[0], np.cumsum(x[inverse].astype(np.int64))]) for x in (b, c)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[first[1:]] - s[first[:-1]]) for s in sums)], ["uid", "n_best", "count_sum"])
-
-    def others(batches):
-        keys = table.value[0]
-        for batch in batches:
-            key, first = _keys(batch, 1)
+            c = np.where(hit, count[at], 0) if len(keys) else np.zeros(len(unique), np.int64)
+            b = np.where(hit, best[at], 0) if len(keys) else np.zeros(len(unique), np.int64)
+            first = offsets // 8
+            sums = [np.concatenate([[0], np.cumsum(x[inverse])]) for x in (b, c)]
+            names = [f for f in rows.schema.names if f != "links"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(f) for f in names), *(pa.array(s[first[1:]] - s[first[:-1]]) for s in sums)], [*names, "n_best", "count_sum"])
+
+
+def beyond(batches, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """uid, a, b of each link whose key is not in the table."""
+    for batch in batches:
+        for rows, data, offsets in blocks(batch, "links", LINK_BYTES):
+            key = _keys(data)
             at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             rare = np.flatnonzero(keys[at] != key) if len(keys) else np.arange(len(key))
-            row = np.searchsorted(first, rare, side="right") - 1
+            row = np.searchsorted(offsets // 8, rare, side="right") - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(key[rare] & 0xFFFFFFFF), pa.array(key[rare] >> 32)], ["uid", "a", "b"]
+                [rows.column("uid").take(pa.array(row)), pa.array(key[rare] & 0xFFFFFFFF), pa.array(key[rare] >> 32)], ["uid", "a", "b"]
             )
 
-    rows = aligned.select("uid", "links")
-    sums = rows.mapInArrow(known, "uid long, n_best long, count_sum long")
+
+def with_counts(aligned: DataFrame, pairs: DataFrame, held: int = HELD) -> DataFrame:
+    """The rows of ``aligned`` with n_best and count_sum in place of the links."""
+    top = pairs.orderBy(F.desc("count"), "b", "a").limit(held).select((F.col("b") * (1 << 32) + F.col("a")).alias("key"), "count", "best").toArrow().sort_by("key")
+    all_held = top.num_rows < held or pairs.count() == held
+    table = aligned.sparkSession.sparkContext.broadcast((top["key"].to_numpy(), top["count"].to_numpy(), top["best"].to_numpy(zero_copy_only=False).astype(np.int64)))
+    sums = aligned.mapInArrow(lambda batches: summed(batches, *table.value), ALIGNED.removesuffix("links binary") + "n_best long, count_sum long")
     if all_held:
         return sums
     # pairs beyond the table are rarer than all in it, so none of them is hot
-    rare = rows.mapInArrow(others, "uid long, a long, b long").groupBy("uid", "a", "b").agg(F.count("*").alias("n"))
-    found = rare.join(pairs.hint("merge"), ["a", "b"]).select("uid", F.when(F.col("best"), F.col("n")).otherwise(0).alias("n_best"), (F.col("n") * F.col("count")).alias("count_sum"))
-    return sums.unionByName(found).groupBy("uid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    rare = aligned.select("uid", "links").mapInArrow(lambda batches: beyond(batches, table.value[0]), "uid long, a long, b long")
+    found = rare.groupBy("uid", "a", "b").agg(F.count("*").alias("n")).join(pairs.hint("merge"), ["a", "b"]).groupBy("uid").agg(
+        F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("count")).alias("more_sum")
+    )
+    more = {"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))}
+    return sums.join(found.hint("merge"), "uid", "left").withColumns(more).drop("more_best", "more_sum")
 
 
 def report(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", held: int = HELD) -> DataFrame:
@@ -361,7 +380,5 @@ def report(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", te
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("bigint").alias("doc_id"), lead)
     aligned = stored(align(rows, path_a, path_b), "aligned", compression="zstd")
     pairs = stored(pair_counts(aligned), "pairs")
-    found = with_counts(aligned, pairs, held)
-    base = aligned.select("uid", "doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "groups_sha256")
-    out = base.join(found.hint("merge"), "uid")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).cast("bigint").alias("n_best"), F.coalesce("count_sum", F.lit(0)).cast("bigint").alias("count_sum"), "groups_sha256")
+    out = with_counts(aligned, pairs, held)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
