@@ -1,12 +1,14 @@
 """The state of ST1 with late replies: each document comes out once, whatever the order of arrival."""
 
 import itertools
+import random
+from collections import Counter
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from unveil.operators.pipeline import replies_by_evidence
-from unveil.streaming.late_replies import DOCUMENT, AwaitReplies, parsed_replies
+from unveil.streaming.late_replies import DOCUMENT, AwaitBuckets, AwaitReplies, parsed_replies
 
 
 class Held:
@@ -134,3 +136,82 @@ def test_the_stream_runs(spark):
     rows = st1_late_replies(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len({r.evidence_id for r in rows}) == 200
     assert {r.reply_state for r in rows} == {"complete", "missing_canary", "missing_detection"}
+
+
+class Counted(Held):
+    """A state variable that counts the trips to it."""
+
+    trips = 0
+
+    def get(self):
+        Counted.trips += 1
+        return super().get()
+
+    def update(self, value):
+        Counted.trips += 1
+        super().update(value)
+
+    def clear(self):
+        Counted.trips += 1
+        super().clear()
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_bucket_is_its_ids_one_by_one():
+    """Batches and timers over a bucket give what they give over each id, for few trips to the state."""
+    rng = random.Random(4)
+    ids = [None, "", *(f"e{i}" for i in range(60))]
+    for clocks in ([0, 0, 0, 0], [3, 9, 14, 40], [0, 12, 13, 100]):
+        batches = []
+        for passed in [0, *clocks[:-1]]:  # rows whose time is up do not reach the state
+            rows = []
+            for _ in range(150):
+                kind, until = rng.choice([DOCUMENT, "detection", "canary", "clock"]), passed + rng.randint(1, 20)
+                made = {DOCUMENT: {"doc": f"d{rng.random()}"}, "detection": {"detected": rng.choice([True, False, None]), "category": rng.choice(["a", "b", None])}, "canary": {"words": rng.choice(["X Y", "Z", None])}}
+                rows.append(Row(evidence_id=rng.choice(ids), **row(kind, until, **made.get(kind, {})).asDict()))
+            batches.append(rows)
+        want, one = Counter(), {}
+        bucket, handle, got = AwaitBuckets(), Handle(), Counter()
+        handle.getValueState = lambda name, schema: Counted(False)
+        bucket.init(handle)
+        for rows, now in zip(batches, clocks):
+            for x in ids:
+                own = [r for r in rows if r.evidence_id == x]
+                if x not in one:
+                    one[x] = AwaitReplies(), Handle()
+                    one[x][0].init(one[x][1])
+                p, h = one[x]
+                want.update(p.handleInputRows((x,), iter(own), None) if own else ())
+                for at in sorted(t for t in h.timers if t <= now):
+                    want.update(p.handleExpiredTimer((x,), None, Expired(at)))
+                h.timers = {t for t in h.timers if t > now}
+            Counted.trips = 0
+            got.update(bucket.handleInputRows((7,), iter(rows), None))
+            bucket.seen = {}  # a task of its own
+            for at in sorted(t for t in handle.timers if t <= now):
+                got.update(bucket.handleExpiredTimer((7,), Clock(now), Expired(at)))
+            handle.timers = {t for t in handle.timers if t > now}
+            assert Counted.trips <= 4
+            assert got == want
+            held = {x: ([tuple(d) for d in p.docs.get()] if p.docs.exists() else [], p._replies()) for x, (p, _) in one.items()}
+            assert bucket._load() == {x: v for x, v in held.items() if v[0] or one[x][0].fold.exists()}
+
+
+def test_rounds_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from unveil.plans import streaming_queries as S
+
+    rows = [(i, None if i == 4 else f"text {i}", "en", "web") for i in range(60)] + [(7, "text 7, once more", "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(S, "work_path", lambda spark, name: str(tmp_path / name))
+    got = Counter((r.evidence_id, r.reply_state) for r in S.st1_late_replies(spark, str(tmp_path)).collect())
+    state = lambda i: "missing_canary" if i % 17 == 3 else "missing_detection" if i % 19 == 5 else "complete"
+    assert got == Counter((f"doc-{i}", state(i)) for i, *_ in rows)
+    files = [f for f in (tmp_path / "late-replies" / "replies").iterdir() if f.suffix == ".parquet"]
+    assert len(files) > 2 * (S.ROUNDS + 1)
