@@ -246,6 +246,24 @@ def test_wordwise_ids_equal_the_tokenizers():
     assert all(w[:-1] == ids[c - k : c].tolist() for w, c, k in zip(want, cuts, n))
 
 
+def test_words_and_marks_are_units_of_their_own():
+    """40 words with each of 32 marks behind them are 72 units and no 1,280; the ids are the library's."""
+    marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    stems = sorted(set(words(random.Random(16), 400, ("ran", "é", "to", "ß", "Ü")).split()))[:40]
+    tok = token_files.WordwiseTokenizer(VOCABULARY, literal=False)
+    column = pa.array(["", " " + " ".join(w + m for w in stems for m in marks), None])
+    ids, n = tok.encode(column, *buffers(column))
+    assert tok.numbers.n == len(stems) + len(marks) == 72
+    assert n[0] == n[2] == 0 and ids.tolist() == tok.tokenizer.encode(column[1].as_py(), add_special_tokens=False).ids
+    rng = random.Random(17)
+    parts = ["a", "Ž", "ÿ", "×", "÷", "é", "e\u0301", "日", "7", "\x7f", " ", "\n", "\n\n", "'", "'s", "'ve,", *marks]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(10_000)]
+    column = pa.array(texts)
+    ids, n = tok.encode(column, *buffers(column))
+    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
 def test_token_files_round_trip(hostile, empty, small_docs):
     for docs in (small_docs, hostile):
         rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.text or "") for r in docs.select("doc_id", "text").collect())

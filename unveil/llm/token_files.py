@@ -9,8 +9,6 @@ offset of every STRIDE-th id of each document within the payload. The codebook
 
 from __future__ import annotations
 
-import re
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +19,20 @@ from pyspark.sql import functions as F
 from unveil.llm import huffman
 from unveil.llm.ordered import bucket_of, buckets_for, id_cuts
 from unveil.llm.shared import stored, text_of
-from unveil.llm.textblocks import blocks, per_row, same_spans, span_hashes
+from unveil.llm.textblocks import blocks, same_spans, span_hashes
 
 END = 0
 BLOCK_TOKENS = 1 << 17
 UNITS_HELD = 1_500_000
 NEWLINE = 198  # the byte-level vocabulary's id of a line feed
-PLAIN = re.compile(r" ?[^\s]+")
-MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
-_rare = np.zeros(256, bool)  # bytes without which a text has no white space but blanks and line feeds, and no NUL
-_rare[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+JOINED = 2000  # new units that the tokenizer gets in one string
+_BLANK, _LINE, _RARE, _LETTER, _TAIL, _MARK = 1, 2, 4, 8, 16, 32
+_KIND = np.zeros(256, np.uint8)
+_KIND[32], _KIND[10] = _BLANK, _LINE
+_KIND[[0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = _RARE  # a text without them has no white space but blanks and line feeds, and no NUL
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = _TAIL  # behind 0xC3 the end of a letter
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
 
 
 class _Grown:
@@ -83,18 +85,34 @@ class _Numbers:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
 
+def _rows_of(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows in which the bytes at ``at`` stand."""
+    return np.searchsorted(offsets, at, side="right") - 1
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after the other, and where each begins (and the end)."""
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)])
+    return data[np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], ends - starts)], cuts
+
+
+def _lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The spans as lines, a line feed between two."""
+    raw, cuts = _spans(data, starts, ends)
+    return np.insert(raw, cuts[1:-1], np.uint8(10)).tobytes().decode()
+
+
 class WordwiseTokenizer:
     """The ids that the tokenizer gives to whole texts, found unit by unit.
 
     A byte-level pre-tokenizer always cuts before a single blank that is
-    followed by a non-blank, and around a single line feed. Texts whose blanks
-    are all of that kind are cut there into units (" word", "word" at the
-    start of a line, a line feed); a unit is looked up by the 64-bit hash of
+    followed by a non-blank, around a single line feed, and between a letter
+    and an ASCII mark behind it. Texts whose blanks are all of that kind are
+    cut there into units (" word", "word" at the start of a line, "," behind a
+    word, a line feed); a unit is looked up by the 64-bit hash of
     its bytes and encoded when it is new. Its bytes are kept and compared, and
     a text with a unit that only shares the hash of a known one goes to the
-    tokenizer whole. The pre-tokenizer also
-    cuts between letters and the marks that follow them, so " word," is put
-    together from " word" and ",". Other texts go to the tokenizer whole, as do
+    tokenizer whole. Other texts go to the tokenizer whole, as do
     texts with the string of an added token, which the library finds before it
     cuts; with ``literal`` such a string is ordinary text. The
     table of units is emptied when it has grown large.
@@ -139,58 +157,31 @@ class WordwiseTokenizer:
         other[long] = ~same_spans(data, starts[long], ends[long], self.raw.room[: self.raw.n], lo[long], hi[long])
         return np.flatnonzero(other)
 
-    def _number(self, units: list[str]) -> np.ndarray:
-        """The numbers of units given as strings; new ones are learned. -1 where a known one has the hash."""
-        raw = [u.encode() for u in units]
-        ends = np.cumsum([len(x) for x in raw])
-        starts, data = np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(raw), np.uint8)
-        keys = span_hashes(data, starts, ends, fold=False)
-        new = np.flatnonzero(self.numbers.get(keys) < 0)
-        if len(new):
-            unique, at = np.unique(keys[new], return_index=True)
-            self._learn(unique, [units[i] for i in new[at]])
-        numbers = self.numbers.get(keys)
-        numbers[self._clashes(numbers, data, starts, ends)] = -1
-        return numbers
-
-    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        """Finds the ids of new units. Plain ones are encoded in strings of many, a line feed between them."""
-        kinds, parts = np.zeros(len(units), np.int8), []
-        for i, u in enumerate(units):
-            marked = MARKED.fullmatch(u)
-            if marked:
-                kinds[i] = 2
-                parts += marked.groups()
-            elif not PLAIN.fullmatch(u):
-                kinds[i] = 1
-        pairs = self._number(parts).reshape(-1, 2) if parts else None
-        if parts and (pairs < 0).any():
-            kinds[np.flatnonzero(kinds == 2)[(pairs < 0).any(axis=1)]] = 1
-            pairs = pairs[(pairs >= 0).all(axis=1)]
-        first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
-
-        def put(kind, ids, sizes):
-            size[kinds == kind] = sizes
-            first[kinds == kind] = self.flat.n + np.cumsum(sizes) - sizes
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Finds the ids of new units. Those without a line feed are encoded in strings of many, a line feed between them."""
+        raw, cuts = _spans(data, starts, ends)
+        whole = np.zeros(len(keys), bool)
+        whole[np.searchsorted(cuts, np.flatnonzero(raw == 10), side="right") - 1] = True
+        first, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+
+        def put(at, ids, sizes):
+            size[at] = sizes
+            first[at] = self.flat.n + np.cumsum(sizes) - sizes
             self.flat.add(ids)
 
-        plain = [u for u, k in zip(units, kinds) if k == 0]
-        found = [np.array([NEWLINE], np.uint32)]
-        for lo in range(0, len(plain), 2000):
-            found += [*self._whole(["\n".join(plain[lo : lo + 2000])]), found[0]]
-        ids = np.concatenate(found)
-        breaks = np.flatnonzero(ids == NEWLINE)
-        put(0, ids[ids != NEWLINE], np.diff(breaks) - 1)
-        others = self._whole([u for u, k in zip(units, kinds) if k == 1])
-        if others:
-            put(1, np.concatenate(others), np.array([len(x) for x in others]))
-        if pairs is not None and len(pairs):
-            put(2, self._joined(pairs.ravel()), self.size.room[pairs].sum(axis=1))
-        raw = [u.encode() for u in units]
-        ends = self.raw.n + np.cumsum([len(x) for x in raw])
-        self.raw.add(np.frombuffer(b"".join(raw), np.uint8))
-        self.raw_end.add(ends)
-        self.numbers.add(keys, np.arange(self.first.n, self.first.n + len(units), dtype=np.int32))
+        plain = np.flatnonzero(~whole)
+        for lo in range(0, len(plain), JOINED):
+            at = plain[lo : lo + JOINED]
+            ids = self._whole([_lines(raw, cuts[at], cuts[at + 1])])[0]
+            breaks = np.flatnonzero(ids == NEWLINE)
+            put(at, ids[ids != NEWLINE], np.diff(breaks, prepend=-1, append=len(ids)) - 1)
+        at = np.flatnonzero(whole)
+        if len(at):
+            found = self._whole([raw[cuts[i] : cuts[i + 1]].tobytes().decode() for i in at])
+            put(at, np.concatenate(found), np.array([len(x) for x in found]))
+        self.raw_end.add(self.raw.n + cuts[1:])
+        self.raw.add(raw)
+        self.numbers.add(keys, np.arange(self.first.n, self.first.n + len(keys), dtype=np.int32))
         self.first.add(first)
         self.size.add(size)
 
@@ -202,25 +193,33 @@ class WordwiseTokenizer:
             while found >= 0:
                 at.append(found)
                 found = raw.find(token, found + 1)
-        return np.searchsorted(offsets, at, side="right") - 1
+        return _rows_of(at, offsets)
 
     def encode(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a block one after the other, and each text's number of ids."""
         if self.numbers.n > UNITS_HELD:
             self._clear()
-        n = len(offsets) - 1
-        blank = data == 32
-        behind = np.append(data[1:], np.uint8(32))  # what follows each byte
-        behind[offsets[1:][offsets[1:] > 0] - 1] = 32  # the end of a text counts as a blank
-        odd_byte = blank & ((behind == 32) | (behind == 10)) | _rare[data] | (data == 0)
-        odd = per_row(odd_byte, offsets) > 0
+        kind = np.concatenate([_KIND[data], np.array([_BLANK], np.uint8)])
+        blank, line = kind[:-1] == _BLANK, kind[:-1] == _LINE
+        closed = kind[1:] & (_BLANK | _LINE) > 0  # whether a blank or a line feed follows; the end of a text counts as a blank
+        closed[offsets[1:][offsets[1:] > 0] - 1] = True
+        odd = np.zeros(len(offsets) - 1, bool)
+        odd[_rows_of(np.flatnonzero(blank & closed | (kind[:-1] == _RARE)), offsets)] = True
         odd[self._with_added(data, offsets)] = True
-        ahead = np.concatenate([[np.uint8(32)], data[:-1]])[: len(data)]  # what precedes each byte
-        ahead[offsets[:-1][offsets[:-1] < len(data)]] = 32
-        line = (data == 10) & (behind != 10) & (ahead != 10)
-        cut = blank | line
-        cut[1:] |= line[:-1]
-        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        cut = blank.copy()
+        at = np.flatnonzero(line)
+        if len(at):
+            fresh = np.zeros(len(data) + 1, bool)
+            fresh[heads] = True
+            beside = (fresh[at] | (data[at - 1] != 10)) & (fresh[at + 1] | (kind[at + 1] != _LINE))  # a line feed alone
+            cut[at[beside]] = True
+            behind = at[beside] + 1
+            cut[behind[behind < len(data)]] = True
+        at = np.flatnonzero((kind[1:-1] == _MARK) & (kind[:-2] & (_LETTER | _TAIL) > 0)) + 1
+        letter = (kind[at - 1] == _LETTER) | (at > 1) & (data[at - 2] == 0xC3)
+        cut[at[letter]] = True
+        cut[heads] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         row_first = np.searchsorted(starts, offsets)
@@ -233,9 +232,8 @@ class WordwiseTokenizer:
         new = np.flatnonzero(numbers < 0)
         if len(new):
             unique, at = np.unique(keys[new], return_index=True)
-            raw = data.tobytes()
-            self._learn(unique, [raw[starts[i] : ends[i]].decode() for i in new[at]])
-            numbers = self.numbers.get(keys)
+            self._learn(unique, data, starts[new[at]], ends[new[at]])
+            numbers[new] = self.numbers.get(keys[new])
         odd[np.searchsorted(row_first, self._clashes(numbers, data, starts, ends), side="right") - 1] = True
         ids = self._joined(numbers)
         sizes = np.concatenate([[0], np.cumsum(self.size.room[numbers])])
