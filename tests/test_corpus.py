@@ -124,3 +124,70 @@ def test_strict_reader_of_many_small_files_runs_in_few_tasks(spark, tmp_path):
     got = {r.label: r.text for r in corpus.where("label like 'doc=%'").collect()}
     assert got == {f"doc={k}": f"text {k}\n" for k in range(3000) if k != 7} | {"doc=7": got["doc=7"], "doc=__HIVE_DEFAULT_PARTITION__": "none\n"}
     assert sorted(got["doc=7"].splitlines()) == ["again", "text 7"] and aside.isEmpty()
+
+
+def test_strict_reader_holds_no_list_of_the_files_on_the_driver(spark, tmp_path):
+    """The driver's index had every file and its folder: 1.4 KB of heap for each."""
+    from unveil.sources.tables import one_file_each
+
+    root = str(tmp_path / "each")
+    rows = [(k, f"text {k}\n".encode() + (b"\xff" if k % 50 == 7 else b"")) for k in range(600)]
+    one_file_each(spark.createDataFrame(rows, "doc long, body binary"), root)
+    corpus, aside = strict_text_corpus(spark, root)
+    assert len(corpus.inputFiles()) < 100 and len(aside.inputFiles()) < 100
+    assert {r.label: r.text for r in corpus.collect()} == {f"doc={k}": f"text {k}\n" for k in range(600) if k % 50 != 7}
+    assert {r.label for r in aside.collect()} == {f"doc={k}" for k in range(600) if k % 50 == 7}
+
+
+@pytest.mark.parametrize("reach", ["path", "arrow", "spark"])
+def test_files_read_by_tasks_are_the_binary_file_table(spark, tmp_path, monkeypatch, reach):
+    """By local paths, by Arrow's file systems and, where Arrow has none, by Spark's index: the same rows as a plain scan."""
+    from unveil.sources import tables
+
+    if reach == "arrow":
+        monkeypatch.setattr(tables, "_arrow_path", lambda root: root.replace("file:", "file://"))
+    root = str(tmp_path / "some %41 é")
+    (tmp_path / "some %41 é").mkdir()
+    bodies = {f"f{k}/a b#{k}.txt": b"\xff\x00" * k for k in range(40)} | {
+        "big/one.txt": b"x" * (tables.READ_BYTES + 1), "big/two.txt": b"y", "_metadata_k=1/_k=2.txt": b"z", "p/_metadata.txt": b"m", "p/_not.txt": b"n",
+        "p/.dot.txt": b"d", "p/q.txt/deep.txt": b"e", "p/no.text": b"o", ".h/i.txt": b"i", "t.txt": b"t"}
+    for name, body in bodies.items():
+        path = tmp_path / "some %41 é" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body)
+    if reach == "arrow":
+        # a URI that Arrow takes has no such characters
+        (tmp_path / "plain").symlink_to(root)
+        root = str(tmp_path / "plain")
+    plain = sorted(spark.read.format("binaryFile").load(f"{root}/*/*.txt").where("path not like '%/deep.txt'").collect())
+    if reach == "spark":
+        spark.conf.set("fs.viewfs.mounttable.held.link./in", f"file://{tmp_path}/in")
+        (tmp_path / "in").symlink_to(root)
+        root = "viewfs://held/in"
+        assert tables.file_list(spark, root) is None
+    got = sorted(tables.binary_files(spark, root).collect())
+    assert len(got) == len(plain) == 43
+    if reach == "spark":
+        assert [r.content for r in got] == [r.content for r in plain]
+    else:
+        assert got == plain
+    assert tables.binary_files(spark, root, "f1*/*.txt").count() == 11
+
+
+def test_local_files_are_held_to_their_checksums(spark, tmp_path):
+    spark.createDataFrame([("some text " * 200,)], "value string").coalesce(1).write.text(str(tmp_path / "w" / "x"))
+    [part] = (tmp_path / "w" / "x").glob("*.txt")
+    assert part.with_name(f".{part.name}.crc").exists()
+    [row] = strict_text_corpus(spark, str(tmp_path / "w"))[0].collect()
+    assert row.text == "some text " * 200 + "\n"
+    part.write_text("some text " * 199 + "some texts\n")
+    with pytest.raises(Exception, match="Checksum"):
+        strict_text_corpus(spark, str(tmp_path / "w"))[0].collect()
+
+
+def test_strict_reader_of_folders_without_files(spark, tmp_path):
+    (tmp_path / "none" / "x").mkdir(parents=True)
+    corpus, aside = strict_text_corpus(spark, str(tmp_path / "none"))
+    assert corpus.isEmpty() and aside.isEmpty()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        strict_text_corpus(spark, str(tmp_path / "gone"))
