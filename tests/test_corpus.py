@@ -185,6 +185,20 @@ def test_local_files_are_held_to_their_checksums(spark, tmp_path):
         strict_text_corpus(spark, str(tmp_path / "w"))[0].collect()
 
 
+def test_settings_that_pass_over_files_apply(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / "w" / name).mkdir(parents=True)
+        (tmp_path / "w" / name / "t.txt").write_text(name)
+    corpus, _ = strict_text_corpus(spark, str(tmp_path / "w"))
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    lenient, _ = strict_text_corpus(spark, str(tmp_path / "w"))
+    spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+    (tmp_path / "w" / "a" / "t.txt").unlink()
+    assert [r.label for r in lenient.collect()] == ["b"]
+    with pytest.raises(Exception, match="No such file"):
+        corpus.collect()
+
+
 def test_strict_reader_of_folders_without_files(spark, tmp_path):
     (tmp_path / "none" / "x").mkdir(parents=True)
     corpus, aside = strict_text_corpus(spark, str(tmp_path / "none"))

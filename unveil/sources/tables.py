@@ -115,6 +115,7 @@ def file_list(spark: SparkSession, root: str, pattern: str = "*/*.txt") -> DataF
     if base is None:
         return None
     local = base.startswith("/")
+    missing = spark.conf.get("spark.sql.files.ignoreMissingFiles").lower() == "true"
 
     def folders(batches):
         import os
@@ -169,13 +170,17 @@ def file_list(spark: SparkSession, root: str, pattern: str = "*/*.txt") -> DataF
         for batch in batches:
             part = []
             for folder in batch.column(0).to_pylist():
-                for name, at, size in within(folder):
-                    # Spark's file sources pass over files of no bytes
-                    if size:
-                        part.append((folder, name, at // 10**6 * 1000, size))
-                    if len(part) == 10000:
-                        yield table(part)
-                        part = []
+                try:
+                    for name, at, size in within(folder):
+                        # Spark's file sources pass over files of no bytes
+                        if size:
+                            part.append((folder, name, at // 10**6 * 1000, size))
+                        if len(part) == 10000:
+                            yield table(part)
+                            part = []
+                except FileNotFoundError:
+                    if not missing:
+                        raise
             yield table(part)
 
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -208,11 +213,13 @@ def contents(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
     """The ``binaryFile`` table of files that ``file_list`` found: each is read by one task, in parts of about READ_BYTES.
 
     A task gets TASK_BYTES or TASK_FILES on average. As in Spark's readers, a local file with
-    Hadoop's checksums beside it is held to them.
+    Hadoop's checksums beside it is held to them, and the settings that pass over files that are
+    gone or cannot be read apply.
     """
     top = store.qualified(spark, root).rstrip("/")
     base, most = _arrow_path(top), READ_BYTES
     local = base.startswith("/")
+    missing, corrupt = (spark.conf.get(f"spark.sql.files.ignore{kind}Files").lower() == "true" for kind in ("Missing", "Corrupt"))
 
     def read(batches):
         import zlib
@@ -244,23 +251,33 @@ def contents(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
                         raise OSError(f"Checksum error: {path} at {i}")
             return data
 
-        def table(batch, first, texts):
+        def table(batch, rows, texts):
             bounds = array("i", accumulate(map(len, texts), initial=0))
             body = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(texts))])
-            path, changed = (c.slice(first, len(texts)) for c in batch.columns)
+            path, changed = (c.take(pa.array(rows, pa.int64())) for c in batch.columns)
             return pa.RecordBatch.from_arrays(
                 [path, changed, pa.array([len(t) for t in texts], pa.int64()), body], ["path", "modificationTime", "length", "content"])
 
         for batch in batches:
-            first, texts, held = 0, [], 0
+            rows, texts, held = [], [], 0
             for k, path in enumerate(batch.column(0).to_pylist()):
-                data = content(path)
+                try:
+                    data = content(path)
+                except FileNotFoundError:
+                    if missing:
+                        continue
+                    raise
+                except OSError:
+                    if corrupt:
+                        continue
+                    raise
                 if texts and held + len(data) > most:
-                    yield table(batch, first, texts)
-                    first, texts, held = k, [], 0
+                    yield table(batch, rows, texts)
+                    rows, texts, held = [], [], 0
+                rows.append(k)
                 texts.append(data)
                 held += len(data)
-            yield table(batch, first, texts)
+            yield table(batch, rows, texts)
 
     n, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     parts = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES, n // TASK_FILES)))
